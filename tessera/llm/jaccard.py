@@ -1 +1,303 @@
-def components(docs): raise NotImplementedError
+"""N-gram Jaccard join by prefixes under several global orders of the tokens."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.llm.common import partitions, stored
+from tessera.llm.graph import components as connected
+
+#: Production parameters: words of a shingle, and the similarity as a fraction.
+WORDS, TOP, BOTTOM = 5, 80, 100
+#: Tokens that two linked documents share within their prefixes of the first order, as a share of
+#: the smaller set (1/20): prefixes are longer by as much.
+SHARED = 20
+#: A token with up to so many documents in a group gives all their pairs; a larger group, leaders.
+SMALL, LEADERS = 8, 6
+#: Tokens with so many documents in one chunk are dealt out by chunk.
+HOT, CHUNK = 64, 1 << 19
+
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+
+def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Another order of 64-bit tokens: a bijection, so orders have no ties."""
+    x = x ^ np.uint64(seed * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Shingler:
+    """Sets of 64-bit tokens of texts: the distinct shingles of lower-cased (A-Z) words; with fewer
+    words than a shingle has, the whole sequence is the one token; without words none.  Words and
+    shingles are told apart by 64-bit hashes."""
+
+    MOST = 250_000
+
+    def __init__(self, n: int = WORDS):
+        self.n, self.words = n, {}
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        import xxhash
+
+        found = (text or b"").lower().split()  # bytes: A-Z alone, and splits at [\x20\x09-\x0D]
+        known = self.words
+        if len(known) > self.MOST:
+            known.clear()
+        for w in set(found).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        ids = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+        if not len(ids):
+            return ids
+        n = min(self.n, len(ids))
+        token = np.full(len(ids) - n + 1, n, np.uint64)
+        for k in range(n):
+            token = mixed(token * _A + ids[k : len(ids) - n + 1 + k])
+        token.sort()
+        return token[np.r_[True, token[1:] != token[:-1]]]
+
+
+def signature(tokens: np.ndarray) -> int:
+    """64 bits that stand for a set, whatever the order of its tokens."""
+    both = np.bitwise_xor.reduce(mixed(tokens, 7), keepdims=True) * _B + tokens.sum(keepdims=True) * _C + np.uint64(len(tokens))
+    return int(mixed(both).view(np.int64)[0])
+
+
+def least_overlap(n, top: int = TOP, bottom: int = BOTTOM):
+    """Tokens that a set of n shares at least with any set that it is linked with."""
+    return -(-n * top // bottom)
+
+
+def assured(n, top: int = TOP, bottom: int = BOTTOM):
+    """Tokens within their prefixes that a set of n shares at least with any set it is linked with;
+    the partner may be smaller, down to least_overlap(n)."""
+    return np.maximum(least_overlap(n, top, bottom) // SHARED, 1)
+
+
+def prefix_length(n, top: int = TOP, bottom: int = BOTTOM):
+    """Linked sets share max(1, n // SHARED) of their first so many tokens, under any order; n is
+    the smaller size.  A larger set's prefix is the longer one, so it holds for both."""
+    return np.minimum(n, n - least_overlap(n, top, bottom) + np.maximum(n // SHARED, 1))
+
+
+DOC, POSTING, COUNT, HOT_POSTING = range(4)
+ROW = "kind tinyint, deal long, token long, node long, n int, doc_id long"
+
+
+def first_order(batches: Iterator[pa.RecordBatch], words: int, top: int, bottom: int) -> Iterator[pa.RecordBatch]:
+    """For each document a DOC row, and for each set of a chunk POSTING rows of its prefix under
+    the order of hashes.  A token of many sets of a chunk is dealt out by chunk, as HOT_POSTING
+    rows, with a COUNT row that says how many."""
+    shingle = Shingler(words)
+    docs: list[tuple] = []
+    prefixes: list[np.ndarray] = []
+    nodes: dict[tuple[int, int], int] = {}
+    held, salt = 0, 0
+
+    def rows():
+        nonlocal salt
+        doc_ids, sigs, sizes = zip(*docs, strict=True)
+        m = len(docs)
+        seed = np.uint64(hash((doc_ids[0], sigs[0], m)) & 0xFFFFFFFF)
+        anywhere = mixed(np.arange(m, dtype=np.uint64) + (seed << np.uint64(32)), 5).view(np.int64)  # equal sets too are spread
+        yield _rows(np.full(m, DOC), anywhere, np.zeros(m, np.int64), np.array(sigs, np.int64), np.array(sizes), pa.array(doc_ids, pa.int64()))
+        if not prefixes:
+            return
+        sets = list(nodes)
+        lengths = [len(p) for p in prefixes]
+        token = np.concatenate(prefixes).view(np.int64)
+        node = np.repeat(np.array([x for x, _ in sets], np.int64), lengths)
+        size = np.repeat(np.array([k for _, k in sets]), lengths)
+        kinds, where, counts = np.unique(token, return_inverse=True, return_counts=True)
+        often = counts[where] >= HOT
+        salt += 1
+        spread = mixed(token.view(np.uint64) + np.uint64(hash((doc_ids[0], sigs[0], salt)) & 0xFFFFFFFF), 3).view(np.int64)
+        yield _rows(np.where(often, HOT_POSTING, POSTING), np.where(often, spread, token), token, node, size, None)
+        if often.any():
+            hot = counts >= HOT
+            yield _rows(np.full(hot.sum(), COUNT), kinds[hot], kinds[hot], np.zeros(hot.sum(), np.int64), counts[hot], None)
+
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            tokens = shingle(text)
+            n = len(tokens)
+            sig = signature(tokens)
+            docs.append((doc_id, sig, n))
+            if n and (sig, n) not in nodes:
+                nodes[sig, n] = 1
+                prefixes.append(tokens[: int(prefix_length(n, top, bottom))])
+                held += len(prefixes[-1])
+            if held > CHUNK or len(docs) > CHUNK // 4:
+                yield from rows()
+                docs.clear(), prefixes.clear(), nodes.clear()
+                held = 0
+    if docs:
+        yield from rows()
+
+
+def _rows(kind, deal, token, node, n, doc_id) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(kind, pa.int8()), pa.array(deal), pa.array(token), pa.array(node), pa.array(n, pa.int32()), pa.nulls(len(kind), pa.int64()) if doc_id is None else doc_id],
+        ["kind", "deal", "token", "node", "n", "doc_id"],
+    )
+
+
+def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by ``deal``, without the postings of tokens that one set alone has.  ``n`` of
+    a posting stays the set's size; ``doc_id`` becomes the token's number of sets, or for a
+    HOT_POSTING null, as the COUNT row, which is handed on with the total, has it."""
+    rest = None
+    for batch in batches:
+        whole = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        deal = whole.column(1).to_numpy()
+        if not len(deal):
+            continue
+        end = int(np.searchsorted(deal, deal[-1], "left"))
+        if end:
+            yield _shared(whole.slice(0, end))
+        rest = whole.slice(end)
+    if rest is not None and rest.num_rows:
+        yield _shared(rest)
+
+
+def _shared(batch: pa.RecordBatch) -> pa.RecordBatch:
+    kind, deal, token, node, n = (batch.column(k).to_numpy() for k in range(5))
+    start = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1]])
+    group = np.cumsum(np.r_[0, (deal[1:] != deal[:-1]).astype(np.int64)])
+    posting, count = kind == POSTING, kind == COUNT
+    total = np.add.reduceat(np.where(count, n, posting.astype(np.int64)), start)[group]
+    seen = np.minimum.reduceat(np.where(posting, node, np.iinfo(np.int64).max), start)[group], np.maximum.reduceat(np.where(posting, node, np.iinfo(np.int64).min), start)[group]
+    several = (np.add.reduceat(count.astype(np.int64), start)[group] > 0) | (seen[0] < seen[1])
+    keep = (kind == DOC) | (kind == HOT_POSTING) | (posting & several)
+    # One COUNT row for each token that has any, with the total.
+    last = np.flatnonzero(count)
+    last = last[np.r_[group[last][1:] != group[last][:-1], True]] if len(last) else last
+    keep[last] = True
+    told = pa.array(total, mask=~(posting | count))
+    doc_id = pa.compute.if_else(pa.array(kind == DOC), batch.column(5), told)
+    out = pa.RecordBatch.from_arrays([*batch.columns[:5], doc_id], batch.schema.names)
+    return out.filter(pa.array(keep))
+
+
+def set_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(node, tokens) of the documents (doc_id, text, node) whose set is the node's."""
+    shingle = Shingler(words)
+    for batch in batches:
+        for text, node in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            tokens = shingle(text)
+            if signature(tokens) == node:
+                yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([tokens.tobytes()], pa.binary())], ["node", "tokens"])
+
+
+def compared(batches: Iterator[pa.RecordBatch], top: int, bottom: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of (a, b, tokens of a, tokens of b) that are linked.  Prefixes under two
+    more orders must meet before the sets are compared."""
+    seen: dict[int, tuple] = {}
+
+    def known(node: int, data: bytes) -> tuple:
+        if node not in seen:
+            if len(seen) > 512:
+                seen.clear()
+            tokens = np.frombuffer(data, np.uint64)
+            n = len(tokens)
+            p = n - least_overlap(n, top, bottom)
+            orders = [mixed(tokens, k) for k in (11, 12)]
+            seen[node] = tokens, [np.partition(o, p)[: p + 1] for o in orders]
+        return seen[node]
+
+    meet = lambda x, y: len(np.intersect1d(x, y, assume_unique=True))
+    for batch in batches:
+        links = []
+        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            (x, low_x), (y, low_y) = known(a, x), known(b, y)
+            if all(meet(u, v) for u, v in zip(low_x, low_y, strict=True)):
+                both = meet(x, y)
+                if bottom * both >= top * (len(x) + len(y) - both):
+                    links.append((a, b))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+
+def linked(docs: DataFrame, each: DataFrame, postings: DataFrame, words: int, top: int, bottom: int) -> DataFrame:
+    """Links (a, b) that connect all sets that links connect, from ``postings`` (token, node, n)."""
+    spark = docs.sparkSession
+    counts = postings.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
+    active = stored(postings.join(counts, "token"), "jaccard-groups")
+    wanted = each.join(active.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id_"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id_"))).select("doc_id", "text", "node")
+    sets = stored(texts.mapInArrow(lambda b: set_rows(b, words), "node long, tokens binary").dropDuplicates(["node"]), "jaccard-sets", codec="none")
+    links, labels, turn = spark.createDataFrame([], "a long, b long"), None, 0
+    while True:
+        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        leads = (F.col("many") <= SMALL) | (chance * F.col("many") < LEADERS * 4**turn)
+        told = active.withColumn("leads", leads)
+        one = told.where("leads").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), *([F.col("label").alias("l_a")] if labels else []))
+        pairs = told.join(one, "token").where((F.col("node") != F.col("a")) & (~F.col("leads") | (F.col("node") > F.col("a"))))
+        pairs = pairs.where((bottom * F.least("n", "n_a") >= top * F.greatest("n", "n_a")) & ((F.col("label") != F.col("l_a")) if labels else F.lit(True)))
+        pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
+        x, y = (sets.select(F.col("node").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
+        found = pairs.join(x, "a").join(y, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(lambda b: compared(b, top, bottom), "a long, b long")
+        links = links.unionByName(stored(found, "jaccard-links"))
+        rest = told.where("many > 1 and not leads").drop("leads", "many", "label")
+        if rest.isEmpty():
+            return links
+        labels = stored(connected(links), "jaccard-labels")
+        rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        open_ = rest.groupBy("token").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token", "many")
+        active = stored(rest.join(open_, "token"), "jaccard-groups")
+        turn += 1
+        if active.isEmpty():
+            return links
+
+
+def components(docs: DataFrame, words: int = WORDS, top: int = TOP, bottom: int = BOTTOM) -> DataFrame:
+    """For each row of ``docs``: doc_id, n_shingles (size of its set) and component_id, the smallest
+    id that can be reached by links.  Sets are linked when bottom * intersection >= top * union.
+
+    1.  First order, by hash: each set's prefix is dealt out by token.  Linked sets share a given
+        number of the tokens there (see prefix_length), so a set with fewer tokens that others
+        have too is linked with nothing but equal sets, and most postings go.
+    2.  Second order, rarest first, over what is left: linked sets share one of the first tokens
+        even after as many are left out as may be, so common tokens give no candidates.
+    3.  Candidates of a token: all pairs of up to SMALL sets; of more, each set with a few leaders.
+    4.  A candidate must share prefix tokens under two more orders before its sets are compared.
+    5.  Larger groups go on with other leaders until what is left of each lies in one component,
+        so no link between different components is missed, and no group's pairs are all made.
+
+    Documents with equal sets are one node from the start.  Texts without words, null ones
+    too, have size 0 and are linked with nothing; their component is their own id.  Null ids
+    count only if a component has no other, which is then null.  Repeated rows are equal sets.  An
+    empty table gives no rows; other columns are ignored."""
+    spark = docs.sparkSession
+    n_parts = partitions(spark)
+    dealt = docs.select("doc_id", "text").mapInArrow(lambda b: first_order(b, words, top, bottom), ROW).repartition(n_parts, "deal").sortWithinPartitions("deal").mapInArrow(shared_only, ROW)
+    rows = stored(dealt, "jaccard-first", "kind")
+    each = rows.where(F.col("kind") == DOC).select("doc_id", "node", "n")
+    totals = rows.where(F.col("kind") == COUNT).groupBy("token").agg(F.max("doc_id").alias("total"))
+    hot = rows.where(F.col("kind") == HOT_POSTING).join(totals, "token").select("token", "node", "n", F.col("total").alias("df"))
+    shared = rows.where(F.col("kind") == POSTING).select("token", "node", "n", F.col("doc_id").alias("df")).unionByName(hot)
+    # One exchange, by set, for what follows; a set of several chunks has its rows merged first.
+    shared = shared.repartition(n_parts, "node").groupBy("token", "node", "n").agg(F.max("df").alias("df"))
+    need = F.greatest(F.floor(F.ceil(F.col("n") * top / bottom) / SHARED), F.lit(1))
+    of_set = Window.partitionBy("node", "n")
+    postings = (
+        shared.withColumn("rank", F.row_number().over(of_set.orderBy("df", F.xxhash64("token"), "token")))
+        .withColumn("have", F.count("*").over(of_set))
+        .where((F.col("have") >= need) & (F.col("rank") <= F.col("have") - need + 1))
+    )
+    postings = stored(postings.select("token", "node", "n"), "jaccard-second")
+    links = linked(docs, each, postings, words, top, bottom)
+    nodes = connected(links)
+    ids = each.groupBy("node", "n").agg(F.min("doc_id").alias("least"))
+    named = ids.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    leasts = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(leasts, "component").select("node", "n", "component_id")
+    full = each.where("n > 0").join(named, ["node", "n"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return full.unionByName(each.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact, jaccard, mixing, packing, quality, secrets, sharding, tokens
+from tessera.llm import chat, exact, jaccard, lm, mixing, packing, quality, secrets, sharding, tokens
 from tessera.llm.common import documents
 
 
@@ -33,6 +33,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_secret_scan": op5_secret_scan,
     "op6_mix_sources": op6_mix_sources,
+    "op7_lm_score": op7_lm_score,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_shard": op9_shard,
     "op10_pack": op10_pack,

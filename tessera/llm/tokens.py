@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,12 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import partitions, shared_dir
 
-#: Words whose ids an encoder remembers at most; then it starts anew.
-MOST_WORDS = 250_000
+#: Words whose ids an encoder remembers, at most and twice over; see Kept.
+MOST_WORDS = 600_000
+#: Marks after a word that the tokenizer splits off if a letter comes before them.
+MARKS = ".,:;!?"
+#: Texts are split into words in chunks of so many bytes.
+CHUNK_BYTES = 16 << 20
 #: The dictionary is fitted on the documents with the smallest hashes of their ids: so many, and of
 #: these on those up to so many bytes of ids.  Every document is then compressed with it.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICTIONARY_BYTES = 2000, 1 << 18, 1 << 16
@@ -37,12 +42,59 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Kept(dict):
+    """A dict of bounded size that forgets what wasn't asked for since it last filled up."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def lacking(self, keys: list) -> list:
+        """Those of the distinct ``keys`` that aren't known; what only the older half knows is taken
+        over first."""
+        new = [k for k in keys if k not in self]
+        if len(self) + len(new) > self.most:
+            self.old, new = dict(self), keys
+            self.clear()
+        old = self.old
+        self.update((k, old[k]) for k in new if k in old)
+        return [k for k in new if k not in old]
+
+
+class Ragged:
+    """Arrays of ids one after another: ``flat`` with the lengths of each."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.lengths = flat, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    @classmethod
+    def of(cls, items: list[bytes]) -> Ragged:
+        lengths = np.fromiter(map(len, items), np.int64, len(items)) // 4
+        return cls(np.frombuffer(b"".join(items), "<u4"), lengths)
+
+    def take(self, which: np.ndarray) -> Ragged:
+        lengths = self.lengths[which]
+        at = np.repeat(self.starts[which] - (np.cumsum(lengths) - lengths), lengths)
+        at += np.arange(len(at))
+        return Ragged(self.flat[at], lengths)
+
+    def followed_by(self, other: Ragged) -> Ragged:
+        """Each array with the other's after it."""
+        both = Ragged(np.concatenate([self.flat, other.flat]), np.concatenate([self.lengths, other.lengths]))
+        n = len(self.lengths)
+        taken = both.take(np.stack([np.arange(n), np.arange(n) + n], 1).ravel())
+        return Ragged(taken.flat, self.lengths + other.lengths)
+
+
 class Encoder:
     """Ids of whole texts as packed little-endian unsigned 32-bit integers.
 
-    The tokenizer normalises white space and never joins what it separates, so the ids of a text
-    are those of its words, one after another, and each word is tokenized once.  This holds for
-    tokenizers whose pre-tokenizer drops white space; ``by_word`` is False for others."""
+    The tokenizer drops white space before it splits, and never joins what white space separates,
+    so the ids of a text are those of its words, one after another, and a word that comes often is
+    tokenized once.  Of a word, marks after a final ASCII letter are split off as the tokenizer
+    does, and ASCII capitals are lowered as it does, so that forms of a word share an entry.  This
+    holds for tokenizers that lower case and drop white space; ``by_word`` is False for others."""
 
     _kept: dict = {}
 
@@ -50,7 +102,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.cache = Tokenizer.from_file(path), by_word, {}
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.stems = Kept(MOST_WORDS)
 
     @classmethod
     def of(cls, path: str, by_word: bool = True) -> Encoder:
@@ -59,23 +112,56 @@ class Encoder:
             cls._kept[path, by_word] = cls(path, by_word)
         return cls._kept[path, by_word]
 
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        done = self.tokenizer.encode_batch([x.decode() for x in texts], add_special_tokens=False)
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in done]
 
-    def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
+    def _known(self, stems: list[str]) -> Ragged:
+        """Ids of distinct stems.  New plain ones are tokenized as one text, whose tokens are dealt
+        to stems by their places."""
+        new = self.stems.lacking(stems)
+        other = [x for x in new if not x.isascii() or "<|" in x]
+        self.stems.update(zip(other, self._encode(other), strict=True))
+        plain = [x for x in new if x.isascii() and "<|" not in x]
+        for k in range(0, len(plain), 512):
+            some = plain[k : k + 512]
+            done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, at = np.array(done.ids, "<u4").tobytes(), np.fromiter((a for a, _ in done.offsets), np.int64, len(done.ids))
+            cuts = (np.searchsorted(at, np.cumsum([0, *(len(x) + 1 for x in some)])) * 4).tolist()
+            self.stems.update(zip(some, (ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
+        return Ragged.of(list(map(self.stems.__getitem__, stems)))
+
+    def _words(self, words: pa.Array) -> Ragged:
+        """Ids of distinct words."""
+        low = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+        cut = pc.ascii_rtrim(low, characters=MARKS)
+        apart = pc.and_(pc.match_substring_regex(cut, "[a-z]$"), pc.invert(pc.match_substring(low, "<|")))
+        stem = pc.if_else(apart, cut, low)
+        marked = np.flatnonzero(pc.not_equal(pc.binary_length(low), pc.binary_length(stem)).to_numpy(zero_copy_only=False))
+        at = pa.array(marked)
+        ends = [x[n:] for x, n in zip(low.take(at).to_pylist(), pc.utf8_length(stem.take(at)).to_pylist(), strict=True)]
+        stem, mark = stem.dictionary_encode(), pa.array(["", *ends]).dictionary_encode()
+        which = np.zeros(len(words), np.int64)  # "" is the first mark
+        which[marked] = mark.indices.to_numpy()[1:]
+        ids, tails = self._known(stem.dictionary.to_pylist()), Ragged.of(self._encode(mark.dictionary.to_pylist()))
+        return ids.take(stem.indices.to_numpy()).followed_by(tails.take(which))
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.by_word:
-            yield from (self._encode([x or b""])[0] for x in texts)
+            yield from (self._encode([x])[0] for x in texts.to_pylist())
             return
-        cache = self.cache
-        for text in texts:
-            found = (text or b"").split()  # at the bytes of [\x20\x09-\x0D]
-            if new := list(set(found).difference(cache)):
-                if len(cache) + len(new) > MOST_WORDS:
-                    cache.clear()
-                    new = list(set(found))
-                cache.update(zip(new, self._encode(new), strict=True))
-            yield b"".join(map(cache.__getitem__, found))
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        first = 0
+        while first < len(texts):
+            done = sizes[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, done + CHUNK_BYTES, "right")))
+            split = pc.ascii_split_whitespace(texts.slice(first, last - first))  # at runs of [\x20\x09-\x0D]
+            words = split.flatten().dictionary_encode()
+            ids = self._words(words.dictionary).take(words.indices.to_numpy())
+            ends = np.r_[0, np.cumsum(ids.lengths)][split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+            yield from (ids.flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False))
+            first = last
 
 
 def encoded(path: str, by_word: bool = True):
@@ -84,8 +170,7 @@ def encoded(path: str, by_word: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bytes]]:
         encode = Encoder.of(path, by_word)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            yield from zip(ids, encode(batch.column(1).cast(pa.binary()).to_pylist()), strict=True)
+            yield from zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True)
 
     return run
 

@@ -1,7 +1,673 @@
-"""All queries of the engine by name."""
-QUERIES: dict = {}
-SQL: dict = {}
+"""All queries of the engine by name, bound to the driver's tables, with SQL for the same results."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions import text as T
+from tessera.functions import vectors as V
+from tessera.operators import chunk, embed, evaluate, refresh, search, status
+from tessera.plans import tables as B
+from tessera.plans.tables import EXPECTED, FILES, MANIFEST, POINTS
+from tessera.sources import catalog, scan, store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _in(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+# Scans
+
+#: Paths with folders and names of all kinds, made of the files' own.
+_PATHS = """SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'node_modules/' || doc_id || '.js' WHEN 1 THEN '.github/w' || doc_id || '.yml' WHEN 2 THEN '.hidden/x.py'
+  WHEN 3 THEN source || '/' || doc_id || '.min.js' WHEN 4 THEN source || '/' || doc_id || '.PNG' WHEN 5 THEN 'logs/keep/' || doc_id || '.txt' WHEN 6 THEN source || '/app.log'
+  WHEN 7 THEN source || '/important.log' WHEN 8 THEN source || '/Build/' || doc_id || '.c' WHEN 9 THEN 'docs/gen/' || doc_id || '.md' ELSE source || '/' || lang || '/' || doc_id || '.txt' END AS path,
+  CASE WHEN doc_id % 29 = 0 THEN 0 ELSE n_chars * 100 END AS size FROM documents"""
+_RULES = ["*.log", "!important.log", "/logs/", "!logs/keep/", "docs/**/1*.md", "src?/en/*[02468].txt"]
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    i = F.col("doc_id").cast("string")
+    slash = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    s = F.col("source")
+    forms = [
+        slash("node_modules/", i, ".js"),
+        slash(".github/w", i, ".yml"),
+        F.lit(".hidden/x.py"),
+        slash(s, "/", i, ".min.js"),
+        slash(s, "/", i, ".PNG"),
+        slash("logs/keep/", i, ".txt"),
+        slash(s, "/app.log"),
+        slash(s, "/important.log"),
+        slash(s, "/Build/", i, ".c"),
+        slash("docs/gen/", i, ".md"),
+    ]
+    path = slash(s, "/", F.col("lang"), "/", i, ".txt")
+    for k, form in enumerate(forms):
+        path = F.when(F.col("doc_id") % 12 == k, form).otherwise(path)
+    return d.select("doc_id", path.alias("path"), F.when(F.col("doc_id") % 29 == 0, 0).otherwise(F.col("n_chars") * 100).alias("size"))
+
+
+_IGNORED = """regexp_matches(path, '^logs(/|$)') OR regexp_matches(path, '^docs/(.*/)?1[^/]*\\.md$') OR regexp_matches(path, '^src[^/]/en/[^/]*[02468]\\.txt$')
+  OR (regexp_matches(path, '\\.log$') AND NOT regexp_matches(path, '(^|/)important\\.log$'))"""
+_GLOBBED = r"regexp_matches(path, '\.min\.(js|css)$|\.map$|\.lock$|(^|/)package-lock\.json$|\.snap$|\.generated\.[^/]*$')"
+
+
+@query(
+    f"""WITH p AS ({_PATHS}), s AS (SELECT *, list_transform(string_split(path, '/')[:-2], lambda x: lower(x)) AS f FROM p)
+SELECT doc_id, path, CASE WHEN len(list_filter(f, lambda x: x IN ({_in(scan.IGNORED_DIRS)}) OR (x LIKE '.%' AND x NOT IN ({_in(scan.ALLOWED_DOT_DIRS)})))) > 0 THEN 'pruned'
+  WHEN size <= 0 THEN 'empty' WHEN {_IGNORED} OR {_GLOBBED} THEN 'ignored'
+  WHEN lower(regexp_extract(path, '(\\.[^./]*)$', 1)) IN ({_in(scan.BINARY)}) THEN 'unwanted' WHEN size > 1048576 THEN 'too_large' ELSE 'kept' END AS verdict FROM s"""
+)
+def scan_filter_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan.verdict(F.col("path"), F.col("size"), [*scan.IGNORED_GLOBS, *_RULES])
+    return _paths(spark, sf_dir).select("doc_id", "path", found.alias("verdict"))
+
+
+@query(f"SELECT doc_id, path, {_IGNORED} AS ignored FROM ({_PATHS})")
+def ignore_glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("doc_id", "path", scan.ignored(F.col("path"), _RULES).alias("ignored"))
+
+
+@query(f"SELECT rel_path, size, (SELECT count(*) FROM documents) >= 100 AS truncated FROM ({FILES}) ORDER BY rel_path LIMIT 100")
+def scan_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = B.files(spark, sf_dir).select("rel_path", "size").orderBy("rel_path").limit(100)
+    n = first.agg((F.count("*") >= 100).alias("truncated"))
+    return first.crossJoin(F.broadcast(n))  # one row
+
+
+@query(f"SELECT id, file_path, NULL::VARCHAR AS segment_hash, code_chunk FROM ({POINTS})")
+def schema_tolerant_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.projected(B.points(spark, sf_dir), ["id", "file_path", "segment_hash", "code_chunk"])
+
+
+_METADATA = """SELECT * FROM (VALUES ('provider', 'local'), ('model', ' hashed-64 '), ('complete', 'true'), ('schema', '2')) t(key, value)
+  UNION ALL SELECT 'dimension', max(len(embedding))::VARCHAR FROM embeddings"""
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = spark.createDataFrame([("provider", "local"), ("model", " hashed-64 "), ("complete", "true"), ("schema", "2")], store.METADATA)
+    dim = B.table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding")).cast("string").alias("value"))
+    return fixed.unionByName(dim.select(F.lit("dimension").alias("key"), "value"))
+
+
+@query(f"WITH m AS ({_METADATA}) SELECT 'local:hashed-64:' || value AS profile, true AS complete, '2' AS schema FROM m WHERE key = 'dimension'")
+def metadata_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.metadata_row(_metadata(spark, sf_dir))
+
+
+@query(f"WITH m AS ({_METADATA}) SELECT count(*) AS points, count(DISTINCT file_path) AS files, (SELECT 'local:hashed-64:' || value FROM m WHERE key = 'dimension') AS profile, true AS complete FROM ({POINTS})")
+def store_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = B.points(spark, sf_dir).agg(F.count("*").alias("points"), F.countDistinct("file_path").alias("files"))
+    return n.crossJoin(store.metadata_row(_metadata(spark, sf_dir)).select("profile", "complete"))  # one row each
+
+
+@query(f"SELECT rel_path AS key, size AS value FROM ({FILES}) WHERE rel_path LIKE 'src1/%' AND rel_path > 'src1/en/2' ORDER BY rel_path LIMIT 20")
+def kv_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kv = B.files(spark, sf_dir).select(F.col("rel_path").alias("key"), F.col("size").alias("value"))
+    return kv.where(F.startswith("key", F.lit("src1/")) & (F.col("key") > "src1/en/2")).orderBy("key").limit(20)
+
+
+@query(f"SELECT rel_path, NOT (doc_id % 9 = 0 OR contains(left(content, 1024), chr(0))) AS is_text FROM ({FILES})")
+def text_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = B.files(spark, sf_dir).withColumn("content", F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("\0"), "content")).otherwise(F.col("content")))
+    return f.select("rel_path", scan.looks_like_text(F.col("content")).alias("is_text"))
+
+
+# Stores
+
+
+@query(
+    f"""WITH p AS (SELECT id, file_path, code_chunk, start_line, end_line FROM ({POINTS})),
+n AS (SELECT id, file_path, 'new ' || max(v) AS code_chunk, any_value(start_line) AS start_line, any_value(end_line) AS end_line FROM (SELECT p.*, unnest([1, 2]) AS v FROM p WHERE id % 3 = 0) GROUP BY ALL)
+SELECT id, file_path, code_chunk, start_line, end_line FROM p WHERE id % 3 <> 0 UNION ALL SELECT id, file_path, code_chunk, start_line, end_line FROM n"""
+)
+def upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.points(spark, sf_dir).select("id", "file_path", "code_chunk", "start_line", "end_line")
+    new = p.where("id % 3 = 0").withColumn("v", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("code_chunk", F.concat(F.lit("new "), F.col("v").cast("string")))
+    return store.upserted(p.withColumn("v", F.lit(0)), new, order="v").drop("v")
+
+
+@query(f"SELECT id, file_path FROM ({POINTS}) WHERE file_path NOT IN (SELECT file_path FROM ({POINTS}) WHERE id % 50 = 7)")
+def delete_by_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.points(spark, sf_dir)
+    gone = p.where("id % 50 = 7").select(F.translate("file_path", "/", "\\").alias("file_path"))
+    return store.without_paths(p, gone).select("id", "file_path")
+
+
+# Chunks
+
+_LINES = f"""f AS (SELECT rel_path, string_split(content, chr(10)) AS ln FROM ({FILES})),
+g AS (SELECT *, len(ln) AS n, list_transform(ln, lambda x, j: length(x) + CASE WHEN j < len(ln) THEN 1 ELSE 0 END) AS s FROM f),
+h AS (SELECT *, list_transform(range(0, n + 1), lambda j: coalesce(list_sum(s[1:j]), 0)::BIGINT) AS b FROM g)"""
+_CHUNKS = f"""{_LINES},
+r AS (SELECT rel_path, 0::BIGINT AS i, 0::BIGINT AS label, 0::BIGINT AS held, -1::BIGINT AS es, -1::BIGINT AS ee, -1::BIGINT AS fs, -1::BIGINT AS fe FROM h
+UNION ALL SELECT rel_path, i + 1, CASE kind WHEN 1 THEN i + 1 WHEN 2 THEN last + 1 ELSE label END, CASE kind WHEN 1 THEN i + 1 WHEN 2 THEN i ELSE held END,
+  CASE WHEN kind > 0 AND have >= 50 AND held < i THEN label ELSE -1 END, CASE kind WHEN 2 THEN last ELSE i - 1 END, held, i - 1
+FROM (SELECT *, CASE WHEN have >= 50 AND b[n+1] - b[i+1] < 200 AND i - held > 1 THEN
+    coalesce(list_max(list_filter(range(label, i - 1), lambda k: b[k+2] - b[label+1] >= 50 AND b[n+1] - b[k+2] + 1 >= 200)), i - 1) ELSE i - 1 END AS last,
+  CASE WHEN i = n THEN 3 WHEN s[i+1] > 1150 THEN 1 WHEN have > 0 AND have + s[i+1] > 1150 THEN 2 ELSE 0 END AS kind
+  FROM (SELECT r.rel_path, r.i, r.label, r.held, h.n, h.s, h.b, h.b[r.i+1] - h.b[r.held+1] AS have FROM r JOIN h USING (rel_path) WHERE r.i <= h.n))),
+c AS (SELECT rel_path, es + 1 AS start_line, ee + 1 AS end_line, 'fallback_chunk' AS type, array_to_string(ln[fs+1:fe+1], chr(10)) AS content, '' AS start_char FROM r JOIN h USING (rel_path) WHERE es >= 0
+UNION ALL SELECT rel_path, j + 1, j + 1, 'fallback_chunk_segment', substr(ln[j+1], k + 1, 1000), k || '-' FROM
+  (SELECT rel_path, ln, j, unnest(range(0, length(ln[j+1]), 1000)) AS k FROM (SELECT *, unnest(range(0, n)) AS j FROM h) WHERE s[j+1] > 1150)),
+k AS (SELECT rel_path AS file_path, start_line::INT AS start_line, end_line::INT AS end_line, type, length(content)::INT AS length, content,
+  sha256(rel_path || '-' || start_line || '-' || end_line || '-' || start_char || length(content) || '-' || left(content, 100)) AS segment_hash FROM c)"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.chunk_files(B.files(spark, sf_dir).select("rel_path", "content"))
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT DISTINCT file_path, start_line, end_line, type, length, segment_hash FROM k")
+def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).select("file_path", "start_line", "end_line", "type", "length", "segment_hash")
+
+
+@query(f"WITH {_LINES} SELECT rel_path, line_no::INT AS line_no, start_char::INT AS start_char, substr(ln[line_no], start_char + 1, 1000) AS content FROM (SELECT rel_path, ln, j + 1 AS line_no, unnest(range(0, length(ln[j+1]), 1000)) AS start_char FROM (SELECT *, unnest(range(0, n)) AS j FROM h) WHERE s[j+1] > 1150)")
+def chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.segments(B.files(spark, sf_dir))
+
+
+@query("SELECT source AS file_path, text_hash, min(doc_id) AS first_doc FROM (SELECT source, doc_id, sha256(left(text, 100)) AS text_hash FROM documents) GROUP BY ALL")
+def chunk_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), "doc_id", T.sha256_text(F.substring("text", 1, 100)).alias("text_hash"))
+    return d.groupBy("file_path", "text_hash").agg(F.min("doc_id").alias("first_doc"))
+
+
+_EXTENSIONS = [".py", ".md", ".sql", ".swift", ".ts", ".markdown", ".txt", ".m"]
+_NAMED = f"SELECT doc_id, source || '/' || doc_id || [{_in(_EXTENSIONS)}][doc_id % 8 + 1] AS path FROM documents"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    ext = F.get(F.array(*map(F.lit, _EXTENSIONS)), (F.col("doc_id") % 8).cast("int"))
+    return d.withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext))
+
+
+@query(f"SELECT doc_id, CASE WHEN path LIKE '%.md' OR path LIKE '%.markdown' THEN 'markdown' WHEN regexp_extract(path, '(\\.[^.]*)$', 1) IN ({_in(chunk.LINES_ONLY)}) THEN 'lines' ELSE 'syntax_or_lines' END AS route FROM ({_NAMED})")
+def chunk_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(spark, sf_dir).select("doc_id", chunk.route(F.col("path"), F.col("text").isNotNull()).alias("route"))
+
+
+#: Documents as Markdown: every third line a heading, every fifth underlined.
+_MARKDOWN = f"""SELECT rel_path, array_to_string(list_transform(string_split(content, chr(10)), lambda x, j: CASE WHEN j % 3 = 1 THEN repeat('#', ((j // 3) % 6 + 1)::INT) || ' ' || x WHEN j % 5 = 0 THEN x || chr(10) || '---' ELSE x END), chr(10)) AS content FROM ({FILES})"""
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = lambda x, i: (
+        F.when((i + 1) % 3 == 1, F.concat(F.repeat(F.lit("#"), (F.floor((i + 1) / 3) % 6 + 1).cast("int")), F.lit(" "), x)).when((i + 1) % 5 == 0, F.concat(x, F.lit("\n---"))).otherwise(x)
+    )
+    return B.files(spark, sf_dir).select("rel_path", F.array_join(F.transform(F.split("content", "\n", -1), head), "\n").alias("content"))
+
+
+@query(
+    rf"""WITH l AS (SELECT rel_path, ln, len(ln) AS n, unnest(range(0, len(ln))) AS i FROM (SELECT rel_path, string_split(content, chr(10)) AS ln FROM ({_MARKDOWN}))),
+x AS (SELECT rel_path, n, i, ln[i+1] AS a, CASE WHEN i > 0 THEN ln[i] END AS p FROM l),
+t AS (SELECT rel_path, n, CASE WHEN regexp_full_match(a, '#{{1,6}}\s+.+') THEN i ELSE i - 1 END AS row, CASE WHEN regexp_full_match(a, '#{{1,6}}\s+.+') THEN length(regexp_extract(a, '^(#{{1,6}})\s', 1))
+  WHEN regexp_full_match(p, '\s*[^#<>!\[\]`\t]+[^\n]') AND regexp_full_match(a, '={{3,}}\s*') THEN 1 WHEN regexp_full_match(p, '\s*[^#<>!\[\]`\t]+[^\n]') AND regexp_full_match(a, '-{{3,}}\s*') THEN 2 END AS level FROM x),
+u AS (SELECT rel_path, n, row, max(level) AS level FROM (SELECT rel_path, n, row, level FROM t WHERE level IS NOT NULL UNION ALL SELECT DISTINCT rel_path, n, 0, 0 FROM l) GROUP BY ALL)
+SELECT rel_path, (row + 1)::INT AS start_line, coalesce(lead(row) OVER (PARTITION BY rel_path ORDER BY row), n)::INT AS end_line, level::INT AS level FROM u"""
+)
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.sections(_markdown(spark, sf_dir))
+
+
+# Hashes, strings, paths
+
+
+@query("SELECT doc_id, sha256(source || '-1-9-' || length(text) || '-' || left(text, 100)) AS segment_hash, sha256(source || '-3-3-1000-' || length(text) || '-' || left(text, 100)) AS part_hash FROM documents")
+def segment_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.table(spark, sf_dir, "documents")
+    whole = T.segment_hash(F.col("source"), F.lit(1), F.lit(9), F.col("text"))
+    return d.select("doc_id", whole.alias("segment_hash"), T.segment_hash(F.col("source"), F.lit(3), F.lit(3), F.col("text"), F.lit(1000)).alias("part_hash"))
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, sha1(from_hex('{T.POINT_NAMESPACE}') || encode(sha256(text))) AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex(((('0x' || substr(h, 17, 2))::INT & 63) | 128)::INT)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS point_id FROM h"""
+)
+def point_uuid5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.table(spark, sf_dir, "documents").select("doc_id", T.uuid5(T.sha256_text(F.col("text"))).alias("point_id"))
+
+
+@query("SELECT doc_id, '.' || lang || ',.' || source || ',.py' AS extensions FROM documents")
+def normalize_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.array(F.concat(F.lit(" ."), F.upper("lang"), F.lit(" ")), F.col("source"), F.lit("PY"), F.lit("  "), F.lit(".py"))
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.normalized_extensions(raw), ",").alias("extensions"))
+
+
+@query("SELECT page_id, list_filter(regexp_split_to_array(url, '[\\\\/]+'), lambda x: x <> '') AS segments, lower(regexp_extract(url, '(\\.[^.]*)$', 1)) AS extension FROM pages")
+def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.table(spark, sf_dir, "pages")
+    return p.select("page_id", T.path_segments(F.col("url")).alias("segments"), T.extension_of_path(F.col("url")).alias("extension"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN n < 0 THEN '?' WHEN n < 1000 THEN n::VARCHAR WHEN n < 1000000 THEN round(n / 1000.0, 1)::DECIMAL(20,1)::VARCHAR || 'k' ELSE round(n / 1000000.0, 1)::DECIMAL(20,1)::VARCHAR || 'M' END AS label
+FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 1000 WHEN 1 THEN o_orderkey * 37 % 1000000 WHEN 2 THEN o_orderkey * 4001 ELSE -1 END AS n FROM orders)"""
+)
+def format_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    n = F.when(k % 4 == 0, k % 1000).when(k % 4 == 1, k * 37 % 1_000_000).when(k % 4 == 2, k * 4001).otherwise(F.lit(-1))
+    return B.table(spark, sf_dir, "orders").select(k, T.format_points(n).alias("label"))
+
+
+@query("SELECT doc_id, CASE WHEN length(s) <= 8 THEN repeat('•', 8) ELSE left(s, 4) || '…' || right(s, 4) END AS masked FROM (SELECT doc_id, left(text, (doc_id % 20)::INT) AS s FROM documents)")
+def mask_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.table(spark, sf_dir, "documents").withColumn("s", F.expr("left(text, cast(doc_id % 20 as int))"))
+    return d.select("doc_id", T.mask_secret(F.col("s")).alias("masked"))
+
+
+_TERMS = f"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({_in(T.STOP_WORDS)})))"
+
+
+@query(f"SELECT item_id, list_sort({_TERMS}) AS terms FROM benchmark")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.table(spark, sf_dir, "benchmark").select("item_id", F.sort_array(T.query_terms(F.col("text"))).alias("terms"))
+
+
+@query("SELECT doc_id, term, least(20, ((length(t) - length(replace(t, term, ''))) / length(term))::INT)::INT AS n FROM (SELECT doc_id, lower(text) AS t, unnest(['the', 'und', 'que', 'aa', 'tion']) AS term FROM documents)")
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"), F.explode(F.array(*map(F.lit, ("the", "und", "que", "aa", "tion")))).alias("term"))
+    return d.select("doc_id", "term", T.occurrences(F.col("t"), F.col("term")).alias("n"))
+
+
+@query("SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS batch_id FROM documents")
+def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return B.table(spark, sf_dir, "documents").select("source", "doc_id", F.floor((nth - 1) / 100).alias("batch_id"))
+
+
+# Embeddings
+
+
+@query(None)
+def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each source's texts: a running count by item and token ceilings."""
+    import pandas as pd
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        sizes = [len(b) for b in embed.request_batches(pdf["text"].tolist(), 60, 30_000)]
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "request": [k for k, n in enumerate(sizes) for _ in range(n)]})
+
+    # A group is a fixed run of ids, so no source is brought together.
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 500).alias("run"))
+    return d.groupBy("run").applyInPandas(lambda key, pdf: pack(pdf).assign(run=key[0]), "doc_id long, request int, run long")
+
+
+@query("SELECT doc_id, left(text, 1945) AS cut, CASE WHEN starts_with(text, 'search_query: ') OR length(text) + 14 > 32768 THEN length(text) ELSE length(text) + 14 END AS prefixed_chars, ceil(length(text) / 4)::BIGINT AS tokens FROM documents")
+def truncate_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return B.table(spark, sf_dir, "documents").select("doc_id", T.shortened(t, 512).alias("cut"), F.length(T.prefixed(t, "search_query: ")).cast("long").alias("prefixed_chars"), T.estimated_tokens(t).alias("tokens"))
+
+
+_EMBED = """t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents),
+x AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::INT AS dim, sum(CASE WHEN ('0x' || substr(md5(term), 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS x FROM t WHERE term <> '' GROUP BY ALL),
+v AS (SELECT doc_id, dim, x, sqrt(sum((x * x)::DOUBLE) OVER (PARTITION BY doc_id)) AS l FROM x)"""
+
+
+@query(f"WITH {_EMBED} SELECT doc_id, dim, round(x / l, 6) AS weight FROM v WHERE l > 0 AND x <> 0")
+def static_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.hashed_dimensions(B.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(
+    """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS m FROM embeddings)
+SELECT vec_id, round(CASE WHEN m > 0 THEN m / 127 ELSE 1 END, 9) AS scale, list_transform(e, lambda x: greatest(-127, least(127, floor(x / CASE WHEN m > 0 THEN m / 127 ELSE 1 END + 0.5)))::INT) AS codes FROM s"""
+)
+def quantize_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.table(spark, sf_dir, "embeddings").select("vec_id", V.quantize(F.col("embedding")).alias("q"))
+    return e.select("vec_id", F.round("q.scale", 9).alias("scale"), "q.codes")
+
+
+_ASKED = "SELECT doc_id, ['openai', 'local', 'voyage', 'nobody'][doc_id % 4 + 1] AS provider, ['text-embedding-3-small', 'potion-base-8M-128d', 'voyage-4-lite', 'x'][doc_id % 4 + 1] AS model FROM documents"
+
+
+@query(
+    f"""SELECT doc_id, provider, model, dimension, score_threshold, items, tokens, floor(least_tokens * 4 * 0.95)::BIGINT AS input_chars FROM ({_ASKED}) LEFT JOIN (VALUES ('openai', 1536, 0.4::DOUBLE), ('local', 128, 0.3), ('voyage', 1024, 0.35)) c(provider, dimension, score_threshold) USING (provider)
+JOIN (VALUES ('openai', 60, 300000, 8192), ('local', 60, 100000, 512), ('voyage', 60, 1000000, 32000), ('nobody', 60, 100000, 512)) k(provider, items, tokens, least_tokens) USING (provider)"""
+)
+def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda *v: F.get(F.array(*map(F.lit, v)), (F.col("doc_id") % 4).cast("int"))
+    d = B.table(spark, sf_dir, "documents").select("doc_id", pick("openai", "local", "voyage", "nobody").alias("provider"), pick("text-embedding-3-small", "potion-base-8M-128d", "voyage-4-lite", "x").alias("model"))
+    limits = catalog.with_limits(d.select("provider", "model").distinct(), 60)
+    return d.join(F.broadcast(limits), ["provider", "model"])  # a row for each model in use
+
+
+# Search
+
+_SCORED = f"(SELECT p.*, round(list_cosine_similarity(p.vector, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM ({POINTS}) p)"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.scored(B.points(spark, sf_dir), B.query_vector(spark, sf_dir))
+
+
+@query(f"SELECT id, score FROM {_SCORED} WHERE score >= 0.2 ORDER BY score DESC, id LIMIT 10")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(_scored(spark, sf_dir).where("score >= 0.2"), 10, "id").select("id", "score")
+
+
+@query(
+    """SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, p.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, p.vec_id)::INT AS rank
+  FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0) WHERE rank <= 10 AND score >= 0.2"""
+)
+def vector_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.top_k_per_query(e, e.where("vec_id % 100 = 0"), 10, 0.2)
+
+
+@query(f"SELECT id, score FROM {_SCORED} WHERE score >= 0.3")
+def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _scored(spark, sf_dir).withColumn("least", search.threshold(F.lit(None).cast("double"), F.lit(0.3)))
+    return hits.where("score >= least").select("id", "score")
+
+
+@query(f"SELECT id, file_path, score FROM {_SCORED} WHERE file_path = 'src1' OR starts_with(file_path, 'src1/') ORDER BY score DESC, id LIMIT 20")
+def prefix_search_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _scored(spark, sf_dir).where(T.under_segments(F.col("file_path"), "./src1/"))
+    return search.top_k(hits, 20, "id").select("id", "file_path", "score")
+
+
+@query(f"SELECT id, file_path, score FROM {_SCORED} WHERE file_path LIKE 'src1/pkg%' ORDER BY score DESC, id LIMIT 20")
+def prefix_search_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _scored(spark, sf_dir).where(T.under_string(F.col("file_path"), "src1/pkg"))
+    return search.top_k(hits, 20, "id").select("id", "file_path", "score")
+
+
+_HITS = f"""o AS (SELECT file_path, start_line, end_line, max(score) AS score FROM {_SCORED} WHERE id % 3 <> 0 AND file_hash IS NOT NULL GROUP BY ALL),
+b AS (SELECT file_path, start_line, end_line, max(score) + 0.01 AS score FROM {_SCORED} WHERE id % 2 = 0 AND file_hash IS NOT NULL GROUP BY ALL),
+m AS (SELECT file_path, start_line, end_line, score, 'own' AS source FROM o UNION ALL SELECT file_path, start_line, end_line, score, 'baseline' FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file_path = b.file_path AND o.start_line = b.start_line AND o.end_line = b.end_line)),
+h AS (SELECT file_path, start_line, end_line, round(score, 6) AS score, source FROM m ORDER BY round(score, 6) DESC, file_path, start_line, end_line LIMIT 100)"""
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.valid_hits(_scored(spark, sf_dir), "file_path", "file_hash", "code_chunk")
+    best = lambda df: df.groupBy("file_path", "start_line", "end_line").agg(F.max("score").alias("score"))
+    baseline = best(hits.where("id % 2 = 0")).withColumn("score", F.round(F.col("score") + 0.01, 6))
+    return search.merged(baseline, best(hits.where("id % 3 <> 0")), search.clamp_limit(100))
+
+
+@query(f"WITH {_HITS} SELECT * FROM h")
+def merge_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select("file_path", "start_line", "end_line", "score", "source")
+
+
+@query(f"WITH {_HITS}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_path, start_line, end_line)::INT AS rank FROM h) SELECT file_path, start_line, end_line, score, rank FROM r WHERE rank > 60 OR file_path NOT LIKE '%/f1%'")
+def ghost_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = B.points(spark, sf_dir).where("file_path not like '%/f1%'").select(F.col("file_path").alias("rel_path"))
+    return search.without_ghosts(_merged(spark, sf_dir), there).select("file_path", "start_line", "end_line", "score", "rank")
+
+
+# Refresh
+
+_STATES = f"""SELECT coalesce(m.rel_path, f.rel_path) AS rel_path, CASE WHEN m.rel_path IS NULL THEN 'added' WHEN f.rel_path IS NULL THEN 'deleted'
+  WHEN m.size = f.size AND m.mtime_ms = f.mtime_ms THEN 'unchanged' ELSE 'maybe_stale' END AS state FROM ({MANIFEST}) m FULL JOIN ({FILES}) f ON m.rel_path = f.rel_path"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.diff(B.manifest(spark, sf_dir), B.files(spark, sf_dir))
+
+
+@query(_STATES)
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir)
+
+
+@query(f"SELECT s.rel_path, CASE WHEN sha256(f.content) = m.hash THEN 'unchanged' ELSE 'changed' END AS state FROM ({_STATES}) s JOIN ({FILES}) f USING (rel_path) JOIN ({MANIFEST}) m USING (rel_path) WHERE s.state = 'maybe_stale'")
+def stale_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.confirm_stale(_states(spark, sf_dir), B.manifest(spark, sf_dir), B.files(spark, sf_dir))
+
+
+@query(f"WITH c AS (SELECT DISTINCT file_path FROM ({POINTS}) WHERE id % 37 = 1) SELECT id, file_path, code_chunk FROM ({POINTS}) WHERE file_path NOT IN (SELECT file_path FROM c) UNION ALL SELECT id + 1000000, file_path, 'again' FROM ({POINTS}) WHERE id % 37 = 1")
+def clear_and_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.points(spark, sf_dir).select("id", "file_path", "code_chunk")
+    changed = p.where("id % 37 = 1")
+    new = changed.select((F.col("id") + 1_000_000).alias("id"), "file_path", F.lit("again").alias("code_chunk"))
+    return refresh.clear_and_insert(p, changed.select(F.col("file_path").alias("rel_path")), new).select("id", "file_path", "code_chunk")
+
+
+@query(f"SELECT file_path, count(*) AS n_chunks, count(*) FILTER (id % 31 <> 3) AS n_accepted, count(*) FILTER (id % 31 = 3) = 0 AS done FROM ({POINTS}) GROUP BY file_path")
+def file_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.points(spark, sf_dir).select("file_path", "id")
+    return refresh.finished_files(p, p.where("id % 31 <> 3"))
+
+
+def _foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.points(spark, sf_dir)
+    return p.withColumns({"code_chunk": F.when(F.col("id") % 41 != 0, F.col("code_chunk")), "vector": F.when(F.col("id") % 43 == 0, F.slice("vector", 1, 3)).otherwise(F.col("vector"))})
+
+
+@query(f"SELECT id, file_path FROM ({POINTS}) WHERE id % 41 <> 0 AND id % 43 <> 0")
+def import_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.importable(_foreign(spark, sf_dir), 64).select("id", "file_path")
+
+
+@query(f"SELECT file_path, arg_max(file_hash, id) AS file_hash FROM ({POINTS}) WHERE id % 41 <> 0 AND id % 43 <> 0 AND file_hash IS NOT NULL GROUP BY file_path")
+def import_hash_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.path_hashes(refresh.importable(_foreign(spark, sf_dir), 64))
+
+
+@query(f"SELECT count(*) FILTER (state = 'added') AS added, count(*) FILTER (state = 'maybe_stale') AS maybe_stale, count(*) FILTER (state = 'deleted') AS deleted, count(*) FILTER (state = 'unchanged') AS unchanged FROM ({_STATES})")
+def freshness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refresh.freshness(_states(spark, sf_dir))
+
+
+# Status
+
+_STATUS = """SELECT o_orderkey AS k, k % 2 = 0 AS enabled, CASE WHEN k % 3 = 0 THEN NULL ELSE k * 13 END AS own_points, CASE WHEN k % 5 = 0 THEN NULL ELSE k % 5 = 1 END AS own_complete,
+  k % 7 < 3 AS has_baseline, CASE WHEN k % 11 = 0 THEN NULL ELSE k % 11 > 4 END AS baseline_searched, CASE WHEN k % 13 < 6 THEN k * 7 END AS baseline_points, CASE WHEN k % 17 = 0 THEN false END AS own_store_reachable, CASE WHEN k % 4 > 0 THEN 'w' || k END AS root FROM orders"""
+_STATE = """CASE WHEN own_store_reachable = false THEN 'error' WHEN NOT enabled THEN 'paused' WHEN own_points IS NOT NULL AND coalesce(own_complete, false) THEN 'ready' WHEN own_points IS NOT NULL THEN 'stale'
+  WHEN baseline_searched = false OR has_baseline THEN 'empty' ELSE 'unavailable' END"""
+_COUNT = "CASE WHEN {0} < 1000 THEN {0}::VARCHAR WHEN {0} < 1000000 THEN round({0} / 1000.0, 1)::DECIMAL(20,1)::VARCHAR || 'k' ELSE round({0} / 1000000.0, 1)::DECIMAL(20,1)::VARCHAR || 'M' END"
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    return B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select(
+        k,
+        (k % 2 == 0).alias("enabled"),
+        F.when(k % 3 != 0, k * 13).alias("own_points"),
+        F.when(k % 5 != 0, k % 5 == 1).alias("own_complete"),
+        (k % 7 < 3).alias("has_baseline"),
+        F.when(k % 11 != 0, k % 11 > 4).alias("baseline_searched"),
+        F.when(k % 13 < 6, k * 7).alias("baseline_points"),
+        F.when(k % 17 == 0, F.lit(False)).alias("own_store_reachable"),
+        F.when(k % 4 > 0, F.concat(F.lit("w"), k.cast("string"))).alias("root"),
+    )
+
+
+@query(
+    f"""SELECT k, state, CASE state WHEN 'paused' THEN 'resume' WHEN 'ready' THEN 'pause' WHEN 'error' THEN 'restatus' ELSE 'start' END AS action,
+concat_ws(' · ', 'Index: ' || CASE state {" ".join(f"WHEN '{s}' THEN '{status.MARKS[s]} {status.LABELS[s]}'" for s in status.MARKS)} END,
+  CASE WHEN own_points IS NOT NULL THEN 'own ' || {_COUNT.format("own_points")} || ' pts' WHEN coalesce(baseline_searched, true) AND baseline_points IS NOT NULL THEN 'baseline ' || {_COUNT.format("baseline_points")} || ' pts' END, root) AS line
+FROM (SELECT *, {_STATE} AS state FROM ({_STATUS}))"""
+)
+def index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _status(spark, sf_dir).withColumns({"state": status.index_state(), "line": status.status_line()})
+    return s.select("k", "state", status.footer_action(F.col("state")).alias("action"), "line")
+
+
+_FACTS = """SELECT o_orderkey AS k, k % 23 = 0 AS profile_changed, k % 19 <> 0 AS reachable, k % 5 <> 0 AS baseline_searched, k % 2 = 0 AS own_exists, k % 7 <> 1 AS own_complete,
+  k % 3 <> 0 AS has_baseline, k % 11 <> 2 AS baseline_complete, k % 4 AS n_sources, least(k % 4, k % 3) AS n_compatible, greatest(0, k % 6 - 3) AS n_changed FROM orders"""
+
+
+@query(f"SELECT k, CASE {' '.join(f'WHEN {rule} THEN {name!r}' for name, rule in status.ADVICE)} ELSE 'healthy' END AS advice FROM ({_FACTS})")
+def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    facts = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select(
+        k,
+        (k % 23 == 0).alias("profile_changed"),
+        (k % 19 != 0).alias("reachable"),
+        (k % 5 != 0).alias("baseline_searched"),
+        (k % 2 == 0).alias("own_exists"),
+        (k % 7 != 1).alias("own_complete"),
+        (k % 3 != 0).alias("has_baseline"),
+        (k % 11 != 2).alias("baseline_complete"),
+        (k % 4).alias("n_sources"),
+        F.least(k % 4, k % 3).alias("n_compatible"),
+        F.greatest(F.lit(0), k % 6 - 3).alias("n_changed"),
+    )
+    return facts.select("k", status.advice().alias("advice"))
+
+
+@query(f"SELECT store, CASE WHEN store NOT LIKE '%3' THEN 'root-' || store END AS root, points, {_COUNT.format('points')} || ' pts' AS size_label FROM (SELECT source AS store, count(*) * 997 AS points FROM documents GROUP BY source)")
+def list_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = B.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("store")).agg((F.count("*") * 997).alias("points"))
+    roots = c.where("store not like '%3'").select("store", F.concat(F.lit("root-"), "store").alias("root"))
+    return status.workspaces(c, roots).orderBy(F.col("root").asc_nulls_last(), "store")
+
+
+@query(
+    f"""WITH p AS (SELECT 'k' || page_id AS key, page_id AS n, url FROM pages),
+s AS (SELECT key, n, CASE WHEN n % 2 = 0 THEN 'o' || n END AS o, CASE WHEN n % 3 = 0 THEN 'f' || n END AS f, CASE WHEN n % 5 = 0 THEN 'e' || n END AS e, CASE WHEN n % 7 = 0 THEN 't' || n END AS t FROM p)
+SELECT key, coalesce(o, f, e, t, 'd' || n) AS value, CASE WHEN o IS NOT NULL THEN 'options' WHEN f IS NOT NULL THEN 'file' WHEN e IS NOT NULL THEN 'environment' WHEN t IS NOT NULL THEN 'other' ELSE 'default' END AS origin FROM s"""
+)
+def settings_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.table(spark, sf_dir, "pages").select(F.concat(F.lit("k"), F.col("page_id").cast("string")).alias("key"), F.col("page_id").alias("n"))
+    layer = lambda head, m: p.where(F.col("n") % m == 0).select("key", F.concat(F.lit(head), F.col("n").cast("string")).alias("value"))
+    return status.settings(layer("o", 2), layer("f", 3), layer("e", 5), layer("t", 7), layer("d", 1))
+
+
+# Evaluation
+
+_TERMED = f"q AS (SELECT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark)"
+_KEYWORD = f"""{_TERMED}, f AS (SELECT rel_path, lower(content) AS low FROM ({FILES}) WHERE length(content) <= 2000000),
+m AS (SELECT query_id, rel_path, count(*) AS n_terms, sum(least(20, ((length(low) - length(replace(low, term, ''))) / length(term))::INT))::BIGINT AS n_hits FROM f JOIN q ON contains(low, term) GROUP BY ALL),
+kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_terms DESC, n_hits DESC, rel_path)::INT AS rank FROM m) WHERE rank <= 10)"""
+
+
+def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.keyword_ranked(B.queries(spark, sf_dir), B.files(spark, sf_dir), 10)
+
+
+@query(f"WITH {_KEYWORD} SELECT * FROM kw")
+def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyword(spark, sf_dir)
+
+
+_CHUNK_RANK = """cr AS (SELECT query_id, rel_path, row_number() OVER (PARTITION BY query_id ORDER BY first, rel_path)::INT AS rank FROM
+  (SELECT query_id, rel_path, min(rank) AS first FROM (SELECT q.vec_id AS query_id, 'f' || (p.vec_id % 50) AS rel_path, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, p.vec_id) AS rank
+    FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0 AND round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) >= 0.1) WHERE rank <= 30 GROUP BY ALL))"""
+
+
+@query(f"WITH {_CHUNK_RANK} SELECT * FROM cr")
+def file_rank_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    hits = search.top_k_per_query(e, e.where("vec_id % 100 = 0"), 30, 0.1)
+    return evaluate.files_of_hits(hits.select("query_id", F.concat(F.lit("f"), (F.col("vec_id") % 50).cast("string")).alias("rel_path"), "rank"))
+
+
+_NAMES = f"""nm AS (SELECT * FROM (SELECT query_id, rel_path, row_number() OVER (PARTITION BY query_id ORDER BY count(DISTINCT term) DESC, rel_path)::INT AS rank FROM
+  (SELECT DISTINCT query_id, term, rel_path FROM q JOIN (SELECT rel_path, unnest(list_filter(regexp_split_to_array(lower(rel_path), '[^a-z0-9]+'), lambda p: length(p) >= 4)) AS part FROM ({FILES})) ON starts_with(part, term) OR starts_with(term, part)) GROUP BY query_id, rel_path) WHERE rank <= 10)"""
+_FUSED = f"""{_KEYWORD}, {_NAMES}, fu AS (SELECT * FROM (SELECT query_id, rel_path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, rel_path)::INT AS rank
+  FROM (SELECT query_id, rel_path, rank FROM kw UNION ALL SELECT query_id, rel_path, rank FROM nm) GROUP BY query_id, rel_path) WHERE rank <= 10)"""
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = evaluate.name_ranked(B.queries(spark, sf_dir), B.files(spark, sf_dir), 10)
+    return evaluate.fused(_keyword(spark, sf_dir).select("query_id", "rel_path", "rank").unionByName(names), 10)
+
+
+@query(f"WITH {_FUSED} SELECT * FROM fu")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir)
+
+
+def _measured(ranked: str) -> str:
+    return f"""ex AS ({EXPECTED}), me AS (SELECT query_id, (count(*) FILTER (rank <= 10) > 0)::INT AS hit, round(count(*) FILTER (rank <= 10) / count(*), 9) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 9) AS rr,
+  round(coalesce(sum(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / log2(rank + 1.0::DOUBLE) END), 0) / list_sum(list_transform(range(1, least(10, count(*)) + 1), lambda i: 1.0::DOUBLE / log2(i + 1.0::DOUBLE))), 9) AS ndcg
+  FROM ex LEFT JOIN {ranked} USING (query_id, rel_path) GROUP BY query_id)"""
+
+
+@query(f"WITH {_KEYWORD}, {_measured('kw')} SELECT query_id, hit, recall FROM me")
+def hit_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.metrics(_keyword(spark, sf_dir), B.expected(spark, sf_dir), 10).select("query_id", "hit", "recall")
+
+
+@query(f"WITH {_KEYWORD}, {_measured('kw')} SELECT round(avg(rr), 6) AS mrr, count(*) AS n FROM me")
+def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = evaluate.metrics(_keyword(spark, sf_dir), B.expected(spark, sf_dir), 10)
+    return m.agg(F.round(F.avg("rr"), 6).alias("mrr"), F.count("*").alias("n"))
+
+
+@query(f"WITH {_FUSED}, {_measured('fu')} SELECT query_id, ndcg FROM me")
+def ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.metrics(_fused(spark, sf_dir), B.expected(spark, sf_dir), 10).select("query_id", "ndcg")
+
+
+@query(
+    f"""WITH {_KEYWORD}, {_measured('kw')} SELECT 'keyword' AS strategy, type, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg
+FROM (SELECT *, CASE WHEN query_id % 3 = 0 THEN 'identifier' ELSE 'concept' END AS type FROM me) GROUP BY GROUPING SETS ((), (type))"""
+)
+def metrics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = evaluate.metrics(_keyword(spark, sf_dir), B.expected(spark, sf_dir), 10)
+    typed = m.withColumns({"strategy": F.lit("keyword"), "type": F.when(F.col("query_id") % 3 == 0, "identifier").otherwise("concept")})
+    return evaluate.summary(typed)
+
+
+_COMMITS = """SELECT conv_id * 1000 + turn AS seq, CASE WHEN conv_id % 9 = 0 THEN 'Merge ' || left(text, 60) ELSE left(text, 60) END AS subject, CASE WHEN turn % 5 = 4 THEN ['a', 'b'] ELSE ['src/' || role || '_' || (conv_id % 7) || '.py'] END AS files FROM conversations"""
+_COMMIT_WORDS = f"list_filter(regexp_split_to_array(lower({{0}}), '[^a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({_in(T.COMMIT_STOP_WORDS)}))"
+
+
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = B.table(spark, sf_dir, "conversations")
+    subject = F.substring("text", 1, 60)
+    one = F.array(F.concat(F.lit("src/"), "role", F.lit("_"), (F.col("conv_id") % 7).cast("string"), F.lit(".py")))
+    return c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+        F.when(F.col("conv_id") % 9 == 0, F.concat(F.lit("Merge "), subject)).otherwise(subject).alias("subject"),
+        F.when(F.col("turn") % 5 == 4, F.array(F.lit("a"), F.lit("b"))).otherwise(one).alias("files"),
+    )
+
+
+@query(
+    f"""SELECT seq, query, rel_path FROM (SELECT seq, trim(subject) AS query, files[1] AS rel_path, row_number() OVER (PARTITION BY files[1] ORDER BY seq) AS nth FROM ({_COMMITS})
+WHERE len(files) = 1 AND NOT regexp_matches(trim(subject), '^(merge|bump|release|wip|initial commit|revert|update deps|dependabot|chore\\(deps\\))', 'i') AND len({_COMMIT_WORDS.format("subject")}) >= 2) WHERE nth <= 3 ORDER BY seq LIMIT 40"""
+)
+def commit_query_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.commit_queries(_commits(spark, sf_dir))
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN len(list_filter({_COMMIT_WORDS.format("left(text, 200)")}, lambda w: len(list_filter(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda p: length(p) >= 4), lambda p: starts_with(p, w) OR starts_with(w, p))) > 0)) > 0 THEN 'identifier' ELSE 'concept' END AS type
+FROM (SELECT doc_id, text, ['there', 'tion', 'under', 'quest'][doc_id % 4 + 1] || '_' || doc_id || '.py' AS name FROM documents)"""
+)
+def query_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.get(F.array(*map(F.lit, ("there", "tion", "under", "quest"))), (F.col("doc_id") % 4).cast("int")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".py"))
+    d = B.table(spark, sf_dir, "documents")
+    return d.select("doc_id", evaluate.query_type(F.substring("text", 1, 200), F.concat(F.lit("pkg/"), name)).alias("type"))
+
+
+@query(f"SELECT * FROM (SELECT lang AS language, count(*) AS n_files, sum(len(string_split(content, chr(10))))::BIGINT AS n_lines, row_number() OVER (ORDER BY count(*) DESC, lang)::INT AS rank FROM ({FILES}) GROUP BY lang) WHERE rank <= 3")
+def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.corpus_profile(B.files(spark, sf_dir), "lang")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk, embed and search: the ten best chunks for the first benchmark passage."""
+    chunks = _chunks(spark, sf_dir).withColumn("vector", embed.hashed_vector(F.col("content")))
+    q = B.queries(spark, sf_dir).orderBy("query_id").limit(1).select(embed.hashed_vector(F.col("query")).alias("v")).first()
+    hits = search.scored(chunks.where("vector is not null"), list(q["v"]))
+    return search.top_k(hits, 10, "file_path", "start_line").select("file_path", "start_line", "end_line", "score", F.col("content").alias("code_chunk"))

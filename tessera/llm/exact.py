@@ -167,7 +167,8 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     whole = heads[0]
     for more in heads[1:]:
         whole = whole.unionByName(more)
-    groups = whole.groupBy("sha").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
+    # Written, so that the join below has plain exchanges on both sides, and a large group is split.
+    groups = stored(whole.groupBy("sha").agg(F.max("best").alias("best"), F.sum("n").alias("group_size")), "exact-groups")
     return rows.join(groups, "sha").select(
         "doc_id",
         "row",

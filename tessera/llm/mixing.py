@@ -11,7 +11,7 @@ from tessera.llm.common import count_words, stored
 #: Production parameters of the mix.
 WEIGHTS, TOTAL_SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Rows of a salt bucket, on average.
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 256
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST) -> DataFrame:

@@ -312,13 +312,13 @@ def lookup(spark: SparkSession, out: str, doc_id: int) -> list[list[int]]:
     """Ids of one document, or of each that has this id, by the index: Parquet skips all segments
     but those whose range holds it, and of these only the document's own frame is decompressed."""
     dictionary = dictionary_of(spark, out)
-    rows = spark.read.schema(SEGMENT_DDL).parquet(f"{out}/segments").where((F.coalesce("first_id", F.col("last_id")) <= doc_id) & (F.col("last_id") >= doc_id) | (F.col("first_id").isNull() & (F.col("last_id") >= doc_id)))
+    rows = spark.read.schema(SEGMENT_DDL).parquet(f"{out}/segments").where((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id))
     found = []
     for row in rows.orderBy("part", "seq").toLocalIterator():
         index = np.frombuffer(bytes(row["index"]), ENTRY)
-        ends = np.append(index["offset"][1:], len(row["frames"]))
-        for k in np.flatnonzero((index["id"] == doc_id) & (index["null"] == 0)):
-            frame = bytes(row["frames"][index["offset"][k] : ends[k]])
+        starts = index["offset"].tolist()
+        for k in np.flatnonzero((index["id"] == doc_id) & (index["null"] == 0)).tolist():
+            frame = bytes(row["frames"][starts[k] : [*starts, len(row["frames"])][k + 1]])
             found.append(np.frombuffer(_opened(dictionary, row["dictionary_hash"]).decompress(frame), f"<u{row['width']}").tolist())
     return found
 

@@ -16,12 +16,12 @@ from tessera.llm.graph import components as connected
 #: Production parameters: words of a shingle, and the similarity as a fraction.
 WORDS, TOP, BOTTOM = 5, 80, 100
 #: Tokens that two linked documents share within their prefixes of the first order, as a share of
-#: the smaller set (1/20): prefixes are longer by as much.
-SHARED = 20
+#: the smaller set (1/10): prefixes are longer by as much.
+SHARED = 10
 #: A token with up to so many documents in a group gives all their pairs; a larger group, leaders.
 SMALL, LEADERS = 8, 6
 #: Tokens with so many documents in one chunk are dealt out by chunk.
-HOT, CHUNK = 64, 1 << 19
+HOT, CHUNK = 64, 1 << 18
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -39,7 +39,7 @@ class Shingler:
     words than a shingle has, the whole sequence is the one token; without words none.  Words and
     shingles are told apart by 64-bit hashes."""
 
-    MOST = 250_000
+    MOST = 150_000
 
     def __init__(self, n: int = WORDS):
         self.n, self.words = n, {}
@@ -190,10 +190,9 @@ def set_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
     """(node, tokens) of the documents (doc_id, text, node) whose set is the node's."""
     shingle = Shingler(words)
     for batch in batches:
-        for text, node in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            tokens = shingle(text)
-            if signature(tokens) == node:
-                yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([tokens.tobytes()], pa.binary())], ["node", "tokens"])
+        found = [(node, t.tobytes()) for text, node in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True) if signature(t := shingle(text)) == node]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.binary()), strict=True)], ["node", "tokens"])
 
 
 def compared(batches: Iterator[pa.RecordBatch], top: int, bottom: int) -> Iterator[pa.RecordBatch]:
@@ -225,14 +224,18 @@ def compared(batches: Iterator[pa.RecordBatch], top: int, bottom: int) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
 
-def linked(docs: DataFrame, each: DataFrame, postings: DataFrame, words: int, top: int, bottom: int) -> DataFrame:
-    """Links (a, b) that connect all sets that links connect, from ``postings`` (token, node, n)."""
+def linked(docs: DataFrame, each: DataFrame, second: DataFrame, words: int, top: int, bottom: int) -> DataFrame:
+    """Links (a, b) that connect all sets that links connect, from ``second``: (token, node, n, first)
+    of the shared tokens of the first order's prefixes, ``first`` for those of the second order's."""
     spark = docs.sparkSession
+    postings = second.where("first").drop("first")
     counts = postings.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
     active = stored(postings.join(counts, "token"), "jaccard-groups")
     wanted = each.join(active.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id_"))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id_"))).select("doc_id", "text", "node")
     sets = stored(texts.mapInArrow(lambda b: set_rows(b, words), "node long, tokens binary").dropDuplicates(["node"]), "jaccard-sets", codec="none")
+    # What a set shares of its first prefix, as 32-bit hashes, which never hide a shared token.
+    lists = stored(second.join(active.select("node").distinct(), "node", "left_semi").groupBy("node", "n").agg(F.collect_set(F.hash("token")).alias("low")), "jaccard-prefixes")
     links, labels, turn = spark.createDataFrame([], "a long, b long"), None, 0
     while True:
         chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -242,6 +245,10 @@ def linked(docs: DataFrame, each: DataFrame, postings: DataFrame, words: int, to
         pairs = told.join(one, "token").where((F.col("node") != F.col("a")) & (~F.col("leads") | (F.col("node") > F.col("a"))))
         pairs = pairs.where((bottom * F.least("n", "n_a") >= top * F.greatest("n", "n_a")) & ((F.col("label") != F.col("l_a")) if labels else F.lit(True)))
         pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
+        u, v = (lists.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("low").alias(f"low_{k}")) for k in "ab")
+        both = F.size(F.array_intersect("low_a", "low_b"))
+        pairs = pairs.join(u, "a").join(v, "b").where(both >= F.greatest(F.lit(1), F.floor(F.least("n_a", "n_b") / SHARED))).select("a", "b")
+        pairs = stored(pairs, "jaccard-pairs")
         x, y = (sets.select(F.col("node").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
         found = pairs.join(x, "a").join(y, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(lambda b: compared(b, top, bottom), "a long, b long")
         links = links.unionByName(stored(found, "jaccard-links"))
@@ -267,7 +274,8 @@ def components(docs: DataFrame, words: int = WORDS, top: int = TOP, bottom: int
     2.  Second order, rarest first, over what is left: linked sets share one of the first tokens
         even after as many are left out as may be, so common tokens give no candidates.
     3.  Candidates of a token: all pairs of up to SMALL sets; of more, each set with a few leaders.
-    4.  A candidate must share prefix tokens under two more orders before its sets are compared.
+    4.  A candidate must share as many tokens of the first prefixes as is assured, then tokens of
+        the prefixes under two more orders, before its sets are compared.
     5.  Larger groups go on with other leaders until what is left of each lies in one component,
         so no link between different components is missed, and no group's pairs are all made.
 
@@ -290,10 +298,10 @@ def components(docs: DataFrame, words: int = WORDS, top: int = TOP, bottom: int
     postings = (
         shared.withColumn("rank", F.row_number().over(of_set.orderBy("df", F.xxhash64("token"), "token")))
         .withColumn("have", F.count("*").over(of_set))
-        .where((F.col("have") >= need) & (F.col("rank") <= F.col("have") - need + 1))
+        .where(F.col("have") >= need)
     )
-    postings = stored(postings.select("token", "node", "n"), "jaccard-second")
-    links = linked(docs, each, postings, words, top, bottom)
+    second = stored(postings.select("token", "node", "n", (F.col("rank") <= F.col("have") - need + 1).alias("first")), "jaccard-second")
+    links = linked(docs, each, second, words, top, bottom)
     nodes = connected(links)
     ids = each.groupBy("node", "n").agg(F.min("doc_id").alias("least"))
     named = ids.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact, jaccard, mixing, packing, quality, tokens
@@ -17,22 +17,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
-    kept = exact.dedup(docs).where("kept").select("doc_id")
-    return _only(docs, kept)
+    """Of equal texts the document with the largest id, once."""
+    rows = exact.dedup(docs).groupBy("doc_id", F.col("text_sha256").alias("text_key"))
+    chosen = rows.agg(F.max("kept").alias("kept"), F.count("*").alias("times")).where("kept")
+    return _taken(docs, chosen.withColumn("copies", F.lit(1)), exact.digest(F.col("text")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    kept = jaccard.components(docs).where("doc_id = component_id").select("doc_id")
-    return _only(docs, kept)
+    """Of each group of linked documents the one with the smallest id, once; of several texts under
+    that id one of them.  Texts without words are linked with nothing, and all stay."""
+    rows = jaccard.labelled(docs).groupBy("doc_id", "text_key", "label", "n_shingles").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "times"))
+    groups = rows.where("n_shingles > 0").groupBy("label").agg(first.alias("f")).select("f.doc_id", "f.text_key", "f.times", F.lit(1).cast("long").alias("copies"))
+    blank = rows.where("n_shingles = 0").select("doc_id", "text_key", "times", F.col("times").alias("copies"))
+    return _taken(docs, groups.unionByName(blank), F.xxhash64("text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: rows repeat."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("id_"), "copies")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id_")))
-    return rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    rows = mixing.mix(docs).groupBy("doc_id", "text_key")
+    chosen = rows.agg(F.sum("copies").alias("copies"), F.count("*").alias("times")).where("copies > 0")
+    return _taken(docs, chosen, F.xxhash64("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +45,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), end_id=0)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with an id in ``kept``, which has each id once; one row for each."""
-    ids = kept.select(F.col("doc_id").alias("id_"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi").select(*COLUMNS)
+def _taken(docs: DataFrame, chosen: DataFrame, key: Column) -> DataFrame:
+    """Rows of ``docs`` for ``chosen`` (doc_id, text_key, times, copies): a row with this id and ``key``
+    is given ``copies`` times, however many times it is there, which ``times`` says."""
+    chosen = stored(chosen.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("times").alias("times_"), F.col("copies").alias("copies_")), "pipeline-chosen")
+    rows = docs.withColumn("of_", key).join(chosen, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("of_") == F.col("key_")))
+    again = F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))).alias("again_")
+    out = rows.where("times_ = 1")
+    if not chosen.where("times_ > 1").isEmpty():
+        out = out.unionByName(rows.where("times_ > 1").dropDuplicates(["doc_id", "of_"]))
+    return out.select(*COLUMNS, again).select(*COLUMNS)
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("n-gram Jaccard join", near_dedup), ("mixing sources", mix_sources), ("best-fit packing", pack)]

@@ -103,11 +103,11 @@ def first_order(batches: Iterator[pa.RecordBatch], words: int, top: int, bottom:
 
     def rows():
         nonlocal salt
-        doc_ids, sigs, sizes = zip(*docs, strict=True)
+        doc_ids, sigs, sizes, keys = zip(*docs, strict=True)
         m = len(docs)
         seed = np.uint64(hash((doc_ids[0], sigs[0], m)) & 0xFFFFFFFF)
         anywhere = mixed(np.arange(m, dtype=np.uint64) + (seed << np.uint64(32)), 5).view(np.int64)  # equal sets too are spread
-        yield _rows(np.full(m, DOC), anywhere, np.zeros(m, np.int64), np.array(sigs, np.int64), np.array(sizes), pa.array(doc_ids, pa.int64()))
+        yield _rows(np.full(m, DOC), anywhere, np.array(keys, np.int64), np.array(sigs, np.int64), np.array(sizes), pa.array(doc_ids, pa.int64()))
         if not prefixes:
             return
         sets = list(nodes)
@@ -125,11 +125,11 @@ def first_order(batches: Iterator[pa.RecordBatch], words: int, top: int, bottom:
             yield _rows(np.full(hot.sum(), COUNT), kinds[hot], kinds[hot], np.zeros(hot.sum(), np.int64), counts[hot], None)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        for doc_id, text, text_key in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             tokens = shingle(text)
             n = len(tokens)
             sig = signature(tokens)
-            docs.append((doc_id, sig, n))
+            docs.append((doc_id, sig, n, text_key))
             if n and (sig, n) not in nodes:
                 nodes[sig, n] = 1
                 prefixes.append(tokens[: int(prefix_length(n, top, bottom))])
@@ -266,7 +266,13 @@ def linked(docs: DataFrame, each: DataFrame, second: DataFrame, words: int, top:
 
 def components(docs: DataFrame, words: int = WORDS, top: int = TOP, bottom: int = BOTTOM) -> DataFrame:
     """For each row of ``docs``: doc_id, n_shingles (size of its set) and component_id, the smallest
-    id that can be reached by links.  Sets are linked when bottom * intersection >= top * union.
+    id that can be reached by links.  See labelled()."""
+    return labelled(docs, words, top, bottom).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, words: int = WORDS, top: int = TOP, bottom: int = BOTTOM) -> DataFrame:
+    """The same with text_key, a hash of the row's text, and label, which names a component even
+    where ids are null or repeat.  Sets are linked when bottom * intersection >= top * union.
 
     1.  First order, by hash: each set's prefix is dealt out by token.  Linked sets share a given
         number of the tokens there (see prefix_length), so a set with fewer tokens that others
@@ -285,9 +291,9 @@ def components(docs: DataFrame, words: int = WORDS, top: int = TOP, bottom: int
     empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     n_parts = partitions(spark)
-    dealt = docs.select("doc_id", "text").mapInArrow(lambda b: first_order(b, words, top, bottom), ROW).repartition(n_parts, "deal").sortWithinPartitions("deal").mapInArrow(shared_only, ROW)
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(lambda b: first_order(b, words, top, bottom), ROW).repartition(n_parts, "deal").sortWithinPartitions("deal").mapInArrow(shared_only, ROW)
     rows = stored(dealt, "jaccard-first", "kind")
-    each = rows.where(F.col("kind") == DOC).select("doc_id", "node", "n")
+    each = rows.where(F.col("kind") == DOC).select("doc_id", "node", "n", F.col("token").alias("text_key"))
     totals = rows.where(F.col("kind") == COUNT).groupBy("token").agg(F.max("doc_id").alias("total"))
     hot = rows.where(F.col("kind") == HOT_POSTING).join(totals, "token").select("token", "node", "n", F.col("total").alias("df"))
     shared = rows.where(F.col("kind") == POSTING).select("token", "node", "n", F.col("doc_id").alias("df")).unionByName(hot)
@@ -306,6 +312,6 @@ def components(docs: DataFrame, words: int = WORDS, top: int = TOP, bottom: int
     ids = each.groupBy("node", "n").agg(F.min("doc_id").alias("least"))
     named = ids.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leasts = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(leasts, "component").select("node", "n", "component_id")
-    full = each.where("n > 0").join(named, ["node", "n"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return full.unionByName(each.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = stored(named.join(leasts, "component").select("node", "n", F.col("component").alias("label"), "component_id"), "jaccard-named")
+    full = each.where("n > 0").join(named, ["node", "n"]).select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
+    return full.unionByName(each.where("n = 0").select("doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label")))

@@ -75,7 +75,7 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list, value: str
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST) -> DataFrame:
-    """Rows (doc_id, source, key, size, source_size, target, taken, copies) for each row of ``docs``.
+    """Rows (doc_id, source, row_, text_key (a hash of the text), key, size, source_size, target, taken, copies) for each row of ``docs``.
 
     Each of ``most`` passes over a source puts its documents in a shuffled order.  A document's
     virtual finish time is the running sum of its source's words divided by the source's target,
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int
     No key is brought together in one task: running sums are in buckets of the shuffled order of
     about BUCKET_ROWS rows, and the global order is dealt by ranges of the finish time."""
     base = stored(
-        docs.select("doc_id", "source", shuffle_key(F.col("doc_id")).alias("key"), count_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row_")),
+        docs.select("doc_id", "source", shuffle_key(F.col("doc_id")).alias("key"), count_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row_"), F.xxhash64("text").alias("text_key")),
         "mix-sizes",
     )
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
@@ -122,5 +122,5 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int
     return (
         served.join(taken, "row_", "left")
         .withColumn("copies", F.coalesce("copies", F.lit(0)))
-        .select("doc_id", "source", "row_", "key", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+        .select("doc_id", "source", "row_", "text_key", "key", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
     )

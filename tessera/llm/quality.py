@@ -39,6 +39,10 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 FEW = 12
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+HELPERS = ("w_", "n_", "l_", "h_", "s_", "dups_", "z_", "m_")
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the counts that the rules use.  Each step is a projection; nothing is shuffled.
 
@@ -54,7 +58,7 @@ def measured(docs: DataFrame) -> DataFrame:
     runs = F.transform(z, lambda s, i: F.when(same(i - 1, s["x"]) | same(i + 1, s["x"]), s["i"]))
     there = lambda at: covered(F.filter(at, lambda p: p.isNotNull()))
     stop = F.array(*map(F.lit, dict.fromkeys(STOP_WORDS.split())))
-    return (
+    found = (
         docs.withColumn("w_", words(text))
         .withColumn("n_", F.size(w))
         .withColumn("l_", F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), has_word))
@@ -68,19 +72,20 @@ def measured(docs: DataFrame) -> DataFrame:
         .withColumn("s_", F.sort_array("h_"))
         .withColumn("dups_", F.array_distinct(F.filter("s_", lambda x, i: F.coalesce(x == F.get("s_", i + 1), F.lit(False)))))
         .withColumn("z_", F.when(F.size("dups_") > FEW, F.sort_array(F.transform("h_", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
-        .withColumns(
-            {
-                "n_words": F.col("n_").cast("long"),
-                "word_chars": F.coalesce(without(SPACE), F.lit(0)).cast("long"),
-                "n_symbols": F.coalesce(F.length(text) - without(SYMBOLS), F.lit(0)).cast("long"),
-                "n_dup_lines": (F.size("l_") - F.size(F.array_distinct("l_"))).cast("long"),
-                "n_repeat_words": F.when(F.size("dups_") == 0, 0).when(F.size("dups_") <= FEW, there(marked)).otherwise(there(runs)).cast("long"),
-                "n_lines": F.size("l_").cast("long"),
-                "n_stop_words": F.size(F.filter(w, lambda x: F.array_contains(stop, F.lower(x)))).cast("long"),
-            }
-        )
-        .drop("w_", "n_", "l_", "h_", "s_", "dups_", "z_")
     )
+    counts = F.struct(
+        F.col("n_").cast("long").alias("n_words"),
+        F.coalesce(without(SPACE), F.lit(0)).cast("long").alias("word_chars"),
+        F.coalesce(F.length(text) - without(SYMBOLS), F.lit(0)).cast("long").alias("n_symbols"),
+        (F.size("l_") - F.size(F.array_distinct("l_"))).cast("long").alias("n_dup_lines"),
+        F.when(F.size("dups_") == 0, 0).when(F.size("dups_") <= FEW, there(marked)).otherwise(there(runs)).cast("long").alias("n_repeat_words"),
+        F.size("l_").cast("long").alias("n_lines"),
+        F.size(F.filter(w, lambda x: F.array_contains(stop, F.lower(x)))).cast("long").alias("n_stop_words"),
+    )
+    # A filter on a count stops above this generator.  Pushed further down, it would repeat the
+    # expressions that it is made of, each of which uses the one before several times.
+    names = [c for c in docs.columns if c not in COUNTS and c not in HELPERS]
+    return found.select(*names, F.explode(F.array(counts)).alias("m_")).select(*names, *[F.col(f"m_.{c}").alias(c) for c in COUNTS])
 
 
 #: The ratios that rules may name.  A ratio over nothing is null, and fails no rule.
@@ -113,6 +118,6 @@ def judge(docs: DataFrame, rules=RULES, least_words: int = LEAST_WORDS, most_rep
     """``docs`` with counts, ``base_failed``, ``failed_rules`` and ``kept``, row for row.
 
     Null texts count as texts without words, which fail for their length.  Columns of ``docs``
-    that have the name of a result, or of a helper that ends in "_" (w_, n_, l_, h_, s_, dups_, z_),
-    are replaced.  Repeated rows and ties are judged alike; an empty table gives an empty table."""
+    that have the name of a result, or of a helper that ends in "_" (w_, n_, l_, h_, s_, dups_, z_, m_),
+    are replaced or dropped.  Repeated rows and ties are judged alike; an empty table gives an empty table."""
     return measured(docs).withColumns(verdict(rules, least_words, most_repeated))

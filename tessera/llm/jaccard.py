@@ -247,7 +247,10 @@ def linked(docs: DataFrame, each: DataFrame, second: DataFrame, words: int, top:
         pairs = pairs.select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
         u, v = (lists.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("low").alias(f"low_{k}")) for k in "ab")
         both = F.size(F.array_intersect("low_a", "low_b"))
-        pairs = pairs.join(u, "a").join(v, "b").where(both >= F.greatest(F.lit(1), F.floor(F.least("n_a", "n_b") / SHARED))).select("a", "b")
+        # What two sets share lies in both prefixes, or beyond the prefix that ends first.
+        beyond = lambda n: F.ceil(F.col(n) * top / bottom) - F.greatest(F.lit(1), F.floor(F.col(n) / SHARED))
+        least = F.ceil((F.col("n_a") + F.col("n_b")) * top / (top + bottom)) - F.greatest(beyond("n_a"), beyond("n_b"), F.lit(0))
+        pairs = pairs.join(u, "a").join(v, "b").where(both >= F.greatest(F.lit(1), least)).select("a", "b")
         pairs = stored(pairs, "jaccard-pairs")
         x, y = (sets.select(F.col("node").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
         found = pairs.join(x, "a").join(y, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(lambda b: compared(b, top, bottom), "a long, b long")
@@ -280,8 +283,9 @@ def labelled(docs: DataFrame, words: int = WORDS, top: int = TOP, bottom: int =
     2.  Second order, rarest first, over what is left: linked sets share one of the first tokens
         even after as many are left out as may be, so common tokens give no candidates.
     3.  Candidates of a token: all pairs of up to SMALL sets; of more, each set with a few leaders.
-    4.  A candidate must share as many tokens of the first prefixes as is assured, then tokens of
-        the prefixes under two more orders, before its sets are compared.
+    4.  A candidate must share so many tokens of the first prefixes that what lies beyond them can
+        make up the rest, then tokens of the prefixes under two more orders, before its sets are
+        compared.
     5.  Larger groups go on with other leaders until what is left of each lies in one component,
         so no link between different components is missed, and no group's pairs are all made.
 

@@ -182,8 +182,8 @@ def block_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
     for rows in _by(batches, 2):
         block = Block(rows)
         keys, part, _, counts = block.pairs(parts)
-        start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-        for a, b in zip(start, [*start[1:], len(part)], strict=True):
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
             yield _row(PAIRS, int(part[a]), rows[0][2], packed(np.diff(keys[a:b], prepend=0), counts[a:b]))
 
 

@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int
     goal = targets(sizes.select("source", "source_size"), weights, share, most)
     n = base.count()
     # Buckets are ranges of the shuffled order, the same for all sources.
-    width = max(1, (1 << 60) * BUCKET_ROWS // max(n, 1))
+    width = min(1 << 60, max(1, (1 << 60) * BUCKET_ROWS // max(n, 1)))
     goal = goal.select(F.col("source").alias("source_g"), "source_size", "target")
     served = base.withColumn("bucket", F.floor(F.col("key") / F.lit(width)).cast("long"))
     served = running(served, ["source"], "bucket", ["key", "size", "row_"], "size", "sum_1")

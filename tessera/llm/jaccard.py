@@ -19,7 +19,7 @@ WORDS, TOP, BOTTOM = 5, 80, 100
 #: the smaller set (1/10): prefixes are longer by as much.
 SHARED = 10
 #: A token with up to so many documents in a group gives all their pairs; a larger group, leaders.
-SMALL, LEADERS = 8, 6
+SMALL, LEADERS = 12, 8
 #: Tokens with so many documents in one chunk are dealt out by chunk.
 HOT, CHUNK = 64, 1 << 18
 
@@ -239,7 +239,7 @@ def linked(docs: DataFrame, each: DataFrame, second: DataFrame, words: int, top:
     links, labels, turn = spark.createDataFrame([], "a long, b long"), None, 0
     while True:
         chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        leads = (F.col("many") <= SMALL) | (chance * F.col("many") < LEADERS * 4**turn)
+        leads = (F.col("many") <= SMALL) | (chance * F.col("many") < LEADERS * 8**turn)
         told = active.withColumn("leads", leads)
         one = told.where("leads").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), *([F.col("label").alias("l_a")] if labels else []))
         pairs = told.join(one, "token").where((F.col("node") != F.col("a")) & (~F.col("leads") | (F.col("node") > F.col("a"))))

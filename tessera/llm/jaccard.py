@@ -16,8 +16,8 @@ from tessera.llm.graph import components as connected
 #: Production parameters: words of a shingle, and the similarity as a fraction.
 WORDS, TOP, BOTTOM = 5, 80, 100
 #: Tokens that two linked documents share within their prefixes of the first order, as a share of
-#: the smaller set (1/10): prefixes are longer by as much.
-SHARED = 10
+#: the smaller set (1/5): prefixes are longer by as much.
+SHARED = 5
 #: A token with up to so many documents in a group gives all their pairs; a larger group, leaders.
 SMALL, LEADERS = 12, 8
 #: Tokens with so many documents in one chunk are dealt out by chunk.
@@ -75,10 +75,13 @@ def least_overlap(n, top: int = TOP, bottom: int = BOTTOM):
     return -(-n * top // bottom)
 
 
-def assured(n, top: int = TOP, bottom: int = BOTTOM):
-    """Tokens within their prefixes that a set of n shares at least with any set it is linked with;
-    the partner may be smaller, down to least_overlap(n)."""
-    return np.maximum(least_overlap(n, top, bottom) // SHARED, 1)
+def assured(n):
+    """Tokens within their prefixes that a set of n shares at least with any set it is linked with.
+
+    Sets of n and m share 4/9 (n + m) tokens, at 80 %, and all but the rest of the longer one lie in
+    both prefixes.  That is least for the smallest partner, 4/5 n, where n // SHARED are left; one
+    is taken off for what is rounded."""
+    return np.maximum(n // SHARED - 1, 1)
 
 
 def prefix_length(n, top: int = TOP, bottom: int = BOTTOM):
@@ -303,7 +306,7 @@ def labelled(docs: DataFrame, words: int = WORDS, top: int = TOP, bottom: int =
     shared = rows.where(F.col("kind") == POSTING).select("token", "node", "n", F.col("doc_id").alias("df")).unionByName(hot)
     # One exchange, by set, for what follows; a set of several chunks has its rows merged first.
     shared = shared.repartition(n_parts, "node").groupBy("token", "node", "n").agg(F.max("df").alias("df"))
-    need = F.greatest(F.floor(F.ceil(F.col("n") * top / bottom) / SHARED), F.lit(1))
+    need = F.greatest(F.floor(F.col("n") / SHARED) - 1, F.lit(1))  # as assured()
     of_set = Window.partitionBy("node", "n")
     postings = (
         shared.withColumn("rank", F.row_number().over(of_set.orderBy("df", F.xxhash64("token"), "token")))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Iterable
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -15,8 +18,12 @@ from pyspark.sql.window import Window
 from tessera.llm.common import stored
 from tessera.llm.tokens import encoded, tokenizer_path
 
-#: Production parameters: tokens of a sequence; rounds and step of the multiplicative weights.
-CAPACITY, ROUNDS, STEP = 2048, 240, 0.25
+#: Production parameters: tokens of a sequence; step of the multiplicative weights.
+CAPACITY, STEP = 2048, 0.25
+
+#: A configuration is used when it's worth the best one's value less this share, as one pricing then serves
+#: many lengths; how much of a length's demand, as a share, counts as none.
+NEAR, NONE = 0.02, 1e-9
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, nth long"
 
@@ -28,58 +35,105 @@ class Config(NamedTuple):
     count: int
 
 
-def price(values: np.ndarray, capacity: int) -> np.ndarray:
-    """How many pieces of each length fill a sequence of the largest value: an unbounded knapsack,
-    by dynamic programming over the space.  values[k] is what a piece of length k is worth."""
+def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest value of each space up to ``capacity``, and a length that begins such a filling or 0
+    where one less space is worth as much: an unbounded knapsack, by dynamic programming over the
+    space.  values[k] is what a piece of length k is worth."""
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    kinds = np.flatnonzero(values)
+    worths, until = values[kinds], np.searchsorted(kinds, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        worth = values[1 : c + 1] + best[c - 1 :: -1]
-        k = int(worth.argmax())
-        if worth[k] > best[c - 1]:
-            best[c], pick[c] = worth[k], k + 1
-        else:
-            best[c] = best[c - 1]
-    used, c = np.zeros(capacity + 1, np.int64), capacity
-    while c > 0:
-        if pick[c]:
-            used[pick[c]] += 1
-            c -= int(pick[c])
-        else:
-            c -= 1
+        best[c] = best[c - 1]
+        if n := until[c]:
+            worth = worths[:n] + best[c - kinds[:n]]
+            k = int(worth.argmax())
+            if worth[k] > best[c]:
+                best[c], pick[c] = worth[k], kinds[k]
+    return best, pick
+
+
+def filling(pick: np.ndarray, space: int) -> Counter[int]:
+    """How many pieces of each length a filling of ``space`` has, from knapsack's lengths."""
+    used: Counter[int] = Counter()
+    while space > 0:
+        if pick[space]:
+            used[int(pick[space])] += 1
+        space -= int(pick[space]) or 1
     return used
 
 
-def fractional(demand: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[np.ndarray, float]]:
-    """An approximate solution of the configuration linear program: fill all of ``demand`` (pieces by
-    length) with the fewest sequences.  Each round prices the lengths by their weights, finds the
-    best configuration, uses it as often as a share of the demand allows, and lowers the
-    weights of what it covered.  Weights start at the lengths, the dual of a perfect filling."""
-    kinds = np.flatnonzero(demand)
-    weights = np.zeros(capacity + 1)
-    weights[kinds] = kinds / capacity
-    covered = np.zeros(capacity + 1)
-    chosen = []
-    for _ in range(rounds):
-        used = price(weights, capacity)
-        some = np.flatnonzero(used)
-        if not len(some):
-            break
-        times = step * float((demand[some] / used[some]).min())
-        if times <= 0:
+def price(values: np.ndarray, capacity: int) -> np.ndarray:
+    """How many pieces of each length fill a sequence of the largest value."""
+    used = np.zeros(capacity + 1, np.int64)
+    for k, n in filling(knapsack(values, capacity)[1], capacity).items():
+        used[k] = n
+    return used
+
+
+def fractional(demand: np.ndarray, capacity: int, rounds: int | None = None, step: float = STEP) -> dict[tuple[tuple[int, int], ...], float]:
+    """An approximate solution of the configuration linear program: how often each configuration is
+    taken so that all of ``demand`` (pieces by length) is filled with the fewest sequences.  Each
+    round prices the lengths by their weights, uses the best configuration, and the best ones with
+    each other length as far as they are NEAR it, as often as a share ``step`` of the demand
+    allows, and lowers the weights of what it covered.  Weights start at the lengths, the dual of a
+    perfect filling; a touch more for long ones, as ties otherwise go to the shortest.
+
+    It ends when the demand is covered.  The best configuration binds a length in each round, which for
+    one length happens 1 / step times and once for what is left, so there are no more rounds
+    than that times the number of lengths.  ``rounds`` ends it earlier."""
+    weights = np.arange(capacity + 1) / capacity * (demand > 0)
+    weights *= 1 + 1e-6 * weights
+    uncovered = demand.astype(float)
+    chosen: dict[tuple[tuple[int, int], ...], float] = {}
+    for _ in repeat(None) if rounds is None else range(rounds):
+        if not weights.any():
             break
-        chosen.append((used, times))
-        share = times * used[some] / demand[some]
-        covered[some] += share
-        weights[some] *= np.exp(-share / step * 0.5)
-        weights[some[covered[some] >= 1]] = 0
+        best, pick = knapsack(weights, capacity)
+        kinds = np.flatnonzero(weights)[::-1]
+        worth = weights[kinds] + best[capacity - kinds]
+        before = np.minimum(step * demand, uncovered)
+        room, least = before.copy(), NONE * demand
+        for k in kinds[worth >= (1 - NEAR) * worth.max()].tolist():
+            if room[k] <= least[k]:
+                continue
+            used = filling(pick, capacity - k)
+            used[k] += 1
+            if any(room[j] <= least[j] for j in used):
+                continue
+            times = min(room[j] / n for j, n in used.items())
+            for j, n in used.items():
+                room[j] -= times * n
+            items = tuple(sorted(used.items(), reverse=True))
+            chosen[items] = chosen.get(items, 0.0) + times
+        some = np.flatnonzero(before > room)
+        uncovered[some] -= (before - room)[some]
+        weights[some] *= np.exp(-(before - room)[some] / demand[some] / step * 0.5)
+        weights[uncovered <= 2 * least] = 0
     return chosen
 
 
-def best_fit(left: np.ndarray, capacity: int) -> list[Config]:
-    """Pack what is left, longest first, each piece where it leaves the least space.  Sequences that
-    look alike are handled together."""
+def rounded(chosen: dict[tuple[tuple[int, int], ...], float], left: np.ndarray) -> list[Config]:
+    """Whole numbers of the configurations of ``chosen``, which are taken from ``left``: first rounded
+    down, then those with the largest fractions once more while their pieces are there."""
+    times = {items: 0 for items in chosen}
+    whole = {items: int(t + NONE) for items, t in chosen.items()}
+    some = [(items, n) for items, n in whole.items() if n]
+    once = [(items, 1) for items in sorted(chosen, key=lambda x: whole[x] - chosen[x])]
+    for items, n in some + once:
+        n = min(n, *(int(left[k]) // m for k, m in items))
+        times[items] += n
+        for k, m in items:
+            left[k] -= n * m
+    return [Config(items, n) for items, n in times.items() if n]
+
+
+def best_fit(left: np.ndarray, capacity: int, begun: Iterable[Config] = ()) -> list[Config]:
+    """Pack what is left, longest first, each piece where it leaves the least space, also in the
+    sequences ``begun``.  Sequences that look alike are handled together."""
     spaces: dict[int, list[list]] = {}
     done: list[Config] = []
+    for items, count in begun:
+        spaces.setdefault(capacity - sum(k * n for k, n in items), []).append([list(items), count])
     for length in np.flatnonzero(left)[::-1].tolist():
         rest = int(left[length])
         while rest:
@@ -111,21 +165,16 @@ def best_fit(left: np.ndarray, capacity: int) -> list[Config]:
     return done
 
 
-def plan(demand: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> list[Config]:
-    """Configurations that hold exactly ``demand``: the program's solution rounded down, never over
-    what is there, then best fit for the rest."""
+def plan(demand: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None, step: float = STEP) -> list[Config]:
+    """Configurations that hold exactly ``demand``: the program's solution in whole numbers, never over
+    what is there, then best fit for what rounding leaves."""
     left = demand.astype(np.int64).copy()
     configs = []
     if left[capacity]:
         configs.append(Config(((capacity, 1),), int(left[capacity])))
         left[capacity] = 0
-    for used, times in fractional(left.astype(float), capacity, rounds, step):
-        some = np.flatnonzero(used)
-        count = min(int(times), int((left[some] // used[some]).min()))
-        if count > 0:
-            configs.append(Config(tuple((int(k), int(used[k])) for k in some[::-1]), count))
-            left[some] -= count * used[some]
-    return configs + best_fit(left, capacity)
+    configs += rounded(fractional(left.astype(float), capacity, rounds, step), left)
+    return best_fit(left, capacity, configs)
 
 
 class Slots:
@@ -185,7 +234,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: in
     """For each piece of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
     Only the histogram of lengths, at most ``capacity`` numbers, reaches the driver, and only
-    configurations return, whose number depends on ``capacity`` and the rounds, not on the
+    configurations return, whose number depends on ``capacity``, not on the
     documents.  Pieces are numbered by length from counts by block, so no length is brought together.
 
     Null and blank texts are one piece of the end id.  Null ids and ids that repeat are pieces like

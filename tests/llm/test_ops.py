@@ -546,6 +546,25 @@ def test_plans_hold_the_demand(lengths):
     assert len(seen) == len(lengths)
 
 
+def test_the_program_covers_the_demand():
+    """Best fit gets only what rounding leaves, however many lengths there are."""
+    demand = np.random.default_rng(3).integers(20, 400, 601)
+    demand[[0, 600]] = 0
+    chosen = packing.fractional(demand.astype(float), 600)
+    covered = np.zeros(601)
+    for items, times in chosen.items():
+        assert times > 0 and sum(k * n for k, n in items) <= 600
+        for k, n in items:
+            covered[k] += n * times
+    assert covered == pytest.approx(demand)
+    tokens = np.arange(601)
+    assert sum(chosen.values()) <= 1.03 * (demand * tokens).sum() / 600
+    left = demand.copy()
+    configs = packing.rounded(chosen, left)
+    assert sum(k * n * c.count for c in configs for k, n in c.items) == ((demand - left) * tokens).sum()
+    assert (left >= 0).all() and (left * tokens).sum() <= 0.02 * (demand * tokens).sum()
+
+
 def test_price_is_optimal():
     values = np.zeros(13)
     values[[3, 5, 7]] = 3.1, 5.5, 7.2

@@ -193,6 +193,13 @@ def chunk_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("file_path", "text_hash").agg(F.min("doc_id").alias("first_doc"))
 
 
+@query("SELECT source AS file_path, text_hash, min(doc_id) AS first_doc FROM (SELECT source, doc_id, sha256(text) AS text_hash FROM documents) GROUP BY ALL")
+def chunk_dedupe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_dedupe over whole texts: texts that only begin alike stay apart."""
+    d = B.table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), "doc_id", T.sha256_text(F.col("text")).alias("text_hash"))
+    return d.groupBy("file_path", "text_hash").agg(F.min("doc_id").alias("first_doc"))
+
+
 _EXTENSIONS = [".py", ".md", ".sql", ".swift", ".ts", ".markdown", ".txt", ".m"]
 _NAMED = f"SELECT doc_id, source || '/' || doc_id || [{_in(_EXTENSIONS)}][doc_id % 8 + 1] AS path FROM documents"
 

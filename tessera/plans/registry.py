@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -657,14 +657,25 @@ def commit_query_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.commit_queries(_commits(spark, sf_dir))
 
 
-@query(
-    f"""SELECT doc_id, CASE WHEN len(list_filter({_COMMIT_WORDS.format("left(text, 200)")}, lambda w: len(list_filter(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda p: length(p) >= 4), lambda p: starts_with(p, w) OR starts_with(w, p))) > 0)) > 0 THEN 'identifier' ELSE 'concept' END AS type
+def _classify_sql(query: str) -> str:
+    return f"""SELECT doc_id, CASE WHEN len(list_filter({_COMMIT_WORDS.format(query)}, lambda w: len(list_filter(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda p: length(p) >= 4), lambda p: starts_with(p, w) OR starts_with(w, p))) > 0)) > 0 THEN 'identifier' ELSE 'concept' END AS type
 FROM (SELECT doc_id, text, ['there', 'tion', 'under', 'quest'][doc_id % 4 + 1] || '_' || doc_id || '.py' AS name FROM documents)"""
-)
-def query_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _classified(spark: SparkSession, sf_dir: str, query: Column) -> DataFrame:
     name = F.concat(F.get(F.array(*map(F.lit, ("there", "tion", "under", "quest"))), (F.col("doc_id") % 4).cast("int")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".py"))
-    d = B.table(spark, sf_dir, "documents")
-    return d.select("doc_id", evaluate.query_type(F.substring("text", 1, 200), F.concat(F.lit("pkg/"), name)).alias("type"))
+    return B.table(spark, sf_dir, "documents").select("doc_id", evaluate.query_type(query, F.concat(F.lit("pkg/"), name)).alias("type"))
+
+
+@query(_classify_sql("left(text, 200)"))
+def query_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, F.substring("text", 1, 200))
+
+
+@query(_classify_sql("text"))
+def query_classify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_classify over whole texts: a word counts wherever it is."""
+    return _classified(spark, sf_dir, F.col("text"))
 
 
 @query(f"SELECT * FROM (SELECT lang AS language, count(*) AS n_files, sum(len(string_split(content, chr(10))))::BIGINT AS n_lines, row_number() OVER (ORDER BY count(*) DESC, lang)::INT AS rank FROM ({FILES}) GROUP BY lang) WHERE rank <= 3")

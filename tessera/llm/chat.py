@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,12 +25,17 @@ def numbered(turns: DataFrame) -> DataFrame:
     return placed.withColumn("place", F.col("base") + F.col("rank")).drop("c_", "b_", "base", "rank")
 
 
+def told(column: str) -> Column:
+    """A value after its length, or a dash for null: no two rows of values are written alike."""
+    return F.coalesce(F.concat(F.length(column).cast("string"), F.lit(":"), F.col(column)), F.lit("-"))
+
+
 def prefixes(placed: DataFrame) -> DataFrame:
     """``placed`` with ``rolled``, the rolling hash of the conversation up to each turn.
 
-    A turn's hash covers its place, role and text; rolling sums of its four 32-bit words make
+    A turn's hash covers its place, role and text, each told apart from the next and from null; rolling sums of its four 32-bit words make
     the hash of a prefix.  Sums can be split at any turn, so buckets are summed apart."""
-    h = F.md5(F.concat_ws("\u0001", F.col("place").cast("string"), F.coalesce("role", F.lit("\u0002")), F.coalesce("text", F.lit("\u0002"))))
+    h = F.md5(F.concat(F.col("place").cast("string"), F.lit(":"), told("role"), told("text")))
     words = {f"w{k}": F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)}
     hashed = placed.withColumns(words)
     inner = Window.partitionBy("conv_id", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)

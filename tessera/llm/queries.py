@@ -89,7 +89,7 @@ FROM documents"""
 _CHAT_SQL = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM t),
-p AS (SELECT conv_id, place, string_agg(coalesce(role, chr(2)) || chr(1) || coalesce(text, chr(2)), chr(3)) OVER (PARTITION BY conv_id ORDER BY place) AS said FROM n),
+p AS (SELECT conv_id, place, string_agg(coalesce(length(role) || ':' || role, '-') || coalesce(length(text) || ':' || text, '-'), '') OVER (PARTITION BY conv_id ORDER BY place) AS said FROM n),
 e AS (SELECT conv_id, max(place) AS n_turns, arg_max(said, place) AS said FROM p GROUP BY conv_id),
 i AS (SELECT DISTINCT p.said FROM p JOIN e USING (conv_id) WHERE p.place < e.n_turns),
 k AS (SELECT min(conv_id) AS conv_id FROM e WHERE said NOT IN (SELECT said FROM i) GROUP BY said)

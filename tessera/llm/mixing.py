@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import count_words, stored
+from tessera.llm.common import count_words, partitions, stored
 
 #: Production parameters of the mix.
 WEIGHTS, TOTAL_SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Rows of a salt bucket, on average.
-BUCKET_ROWS = 256
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST) -> DataFrame:
@@ -60,18 +58,16 @@ def shuffle_key(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def running(df: DataFrame, keys: list[str], bucket: str, order: list, value: str, name: str) -> DataFrame:
-    """Running sum of ``value`` within ``keys`` in the order of ``bucket``, then ``order``, without
-    ever bringing a key's rows together: sums by bucket are accumulated apart and joined back."""
-    w = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("sum_"))
-    over = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col(bucket).alias("bucket__"), F.coalesce(F.sum("sum_").over(over), F.lit(0)).alias("base_"))
-    same = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys] + [F.col(bucket) == F.col("bucket__")]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return df.withColumn(name, F.sum(value).over(w)).join(bases, on).withColumn(name, F.col(name) + F.col("base_")).drop("base_", "bucket__", *[f"{k}__" for k in keys])
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Running sum of ``value`` within ``keys`` in the given order: rows are dealt by a range sort of
+    keys and order, summed within each range, and the sums of the ranges before are added.  A
+    range has about as many rows as any other, whatever the keys; a key has one sum a range."""
+    ranged = stored(df.repartitionByRange(2 * partitions(df.sparkSession), *keys, *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    within = Window.partitionBy(*keys, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*keys, "range").agg(F.sum(value).alias("sum_"))
+    bases = sums.select(*keys, "range", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("base_"))
+    return ranged.withColumn(name, F.sum(value).over(within)).join(bases, [*keys, "range"]).withColumn(name, F.col(name) + F.col("base_")).drop("base_", "range")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST) -> DataFrame:
@@ -79,40 +75,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int
 
     Each of ``most`` passes over a source puts its documents in a shuffled order.  A document's
     virtual finish time is the running sum of its source's words divided by the source's target,
-    so all sources are served at the pace of their targets.  The queue of all sources is put in
-    the order of these times and cut where its words reach the total of the targets.
+    so all sources are served at the pace of their targets.  The queue of all sources is sorted
+    by ranges of these times and cut where its words reach the total of the targets.
 
     Whole documents only: a source may miss its target by less than about one document.  Null
     texts and texts without words have size 0 and are never taken; a null source is a source of
     its own; null ids all share one place in the shuffled order, where ties go by size.  Rows that
     repeat an id count on their own.  An empty table gives no rows; other columns are ignored.
 
-    No key is brought together in one task: running sums are in buckets of the shuffled order of
-    about BUCKET_ROWS rows, and the global order is dealt by ranges of the finish time."""
-    base = stored(
-        docs.select("doc_id", "source", shuffle_key(F.col("doc_id")).alias("key"), count_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row_"), F.xxhash64("text").alias("text_key")),
-        "mix-sizes",
+    No key is brought together in one task, see running(); what one task adds up over all ranges
+    is one row a range."""
+    sized = docs.select(
+        "doc_id",
+        "source",
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("of"),  # a null source too
+        shuffle_key(F.col("doc_id")).alias("key"),
+        count_words(F.col("text")).alias("size"),
+        F.monotonically_increasing_id().alias("row_"),
+        F.xxhash64("text").alias("text_key"),
     )
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    goal = targets(sizes.select("source", "source_size"), weights, share, most)
-    n = base.count()
-    # Buckets are ranges of the shuffled order, the same for all sources.
-    width = min(1 << 60, max(1, (1 << 60) * BUCKET_ROWS // max(n, 1)))
-    goal = goal.select(F.col("source").alias("source_g"), "source_size", "target")
-    served = base.withColumn("bucket", F.floor(F.col("key") / F.lit(width)).cast("long"))
-    served = running(served, ["source"], "bucket", ["key", "size", "row_"], "size", "sum_1")
-    served = served.join(goal, F.col("source").eqNullSafe(F.col("source_g"))).drop("source_g")
-    passes = served.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(most)])))
-    queue = passes.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn(
-        "finish", (F.col("sum_1") + F.col("pass") * F.col("source_size")) / F.col("target")
-    )
-    # All sources run at an even pace up to time 1, so equal ranges of time hold about equal rows.
-    slots = max(1, 2 * n // BUCKET_ROWS)
-    queue = queue.withColumn("range", F.least(F.floor(F.col("finish") * F.lit(slots)), F.lit(4 * slots)).cast("long"))
-    queue = stored(queue.select("row_", "size", "finish", "range", "key", "pass", "target"), "mix-queue")
+    base = stored(sized, "mix-sizes")
+    goal = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    goal = stored(goal.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("of"), "source_size", "target"), "mix-targets")
+    served = running(base.where("size > 0").select("of", "key", "size", "row_"), ["of"], ["key", "size", "row_"], "size", "sum_1")
+    passes = served.join(goal.where("target > 0"), "of").withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(most)])))
+    finish = (F.col("sum_1") + F.col("pass") * F.col("source_size")) / F.col("target")
+    queue = stored(passes.select(finish.alias("finish"), "key", "size", "row_", "pass"), "mix-queue")
+    placed = running(queue, [], ["finish", "key", "size", "row_", "pass"], "size", "sum_all")
     budget = goal.agg(F.sum("target").alias("budget"))
-    order = ["finish", "key", "size", "row_", "pass"]
-    placed = running(queue.withColumn("one", F.lit(1)), ["one"], "range", order, "size", "sum_all")
     taken = (
         placed.crossJoin(F.broadcast(budget))  # one row
         .where(F.col("sum_all") <= F.col("budget"))
@@ -120,7 +110,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int
         .agg(F.count("*").alias("copies"))
     )
     return (
-        served.join(taken, "row_", "left")
+        base.join(goal, "of")
+        .join(taken, "row_", "left")
         .withColumn("copies", F.coalesce("copies", F.lit(0)))
         .select("doc_id", "source", "row_", "text_key", "key", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
     )

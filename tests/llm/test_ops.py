@@ -235,6 +235,18 @@ def test_long_chats_and_nulls(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_are_told_apart_by_separators_and_nulls(spark):
+    schema = "conv_id long, turn int, role string, text string"
+    odd = [("user", None), ("user", "\u0002"), ("user", "-"), ("user", ""), (None, "-"), ("-", None), ("u\u0001a", "b"), ("u", "a\u0001b"), ("1:u", "1:a"), ("1:u1", ":a"), (None, None)]
+    df = spark.createDataFrame([(k, 1, r, t) for k, (r, t) in enumerate(odd)] + [(20, 1, "user", None), (20, 2, "x", "y")], schema)
+    from pyspark.sql import functions as F
+
+    clash = df.withColumns({c: F.lit("clash") for c in "place bucket rolled rank base c_ b_ n_turns keep w0 r0 said n end".split()})
+    for table in (df, clash):
+        got = sorted(r["conv_id"] for r in chat.format_chats(table).collect())
+        assert got == [*range(1, len(odd)), 20]
+
+
 # Secrets
 
 
@@ -326,6 +338,23 @@ def test_mix_reaches_targets(spark):
         assert abs(taken[s] - target[s]) <= 2 * most[s]
 
 
+def test_mix_of_many_sources_and_a_large_light_one(spark):
+    """Finish times far beyond the others', dealt by ranges: no task of a window has many rows."""
+    sizes = [(i, "w " * (1 + i % 7), f"s{i % 99:02d}") for i in range(3000)] + [(i, "w " * 5, "s99") for i in range(3000, 4000)]
+    df = spark.createDataFrame(rows_of(sizes), DOC).repartition(4)
+    out = mixing.mix(df)
+    plan = out._jdf.queryExecution().toString()
+    assert "hashpartitioning(one" not in plan
+    taken, target = Counter(), {}
+    for r in out.collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(target) == 100 and all(abs(taken[s] - target[s]) <= 14 for s in target)
+    queue = spark.createDataFrame([(float(i % 5), i, 1) for i in range(2000)], "finish double, row_ long, size long")
+    ranged = mixing.running(queue, [], ["finish", "row_"], "size", "sum")
+    assert [r["sum"] for r in ranged.orderBy("finish", "row_").collect()] == list(range(1, 2001))
+
+
 # LM scoring
 
 
@@ -414,7 +443,7 @@ def test_components(request, table):
 
 
 def test_components_of_large_groups(spark, monkeypatch):
-    """Groups over SMALL, hot tokens, and chains whose ends aren't similar."""
+    """Large groups, hot tokens, and chains whose ends aren't similar."""
     monkeypatch.setattr(jaccard, "HOT", 4)
     rng = np.random.default_rng(5)
     words_ = [f"w{k}" for k in range(5000)]
@@ -434,6 +463,54 @@ def test_components_of_large_groups(spark, monkeypatch):
     assert found_components(df) == brute_components(pairs(df))
 
 
+def made(monkeypatch):
+    """Rows of the tables that jaccard writes, by name."""
+    seen, write = defaultdict(list), jaccard.stored
+
+    def kept(df, name, *by, **more):
+        out = write(df, name, *by, **more)
+        seen[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", kept)
+    return seen
+
+
+@pytest.mark.parametrize("own", [6, 10, 40])
+def test_a_passage_of_many_documents_makes_few_candidates(spark, monkeypatch, own):
+    seen = made(monkeypatch)
+    rng = np.random.default_rng(7)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, own)) for _ in range(500)]
+    df = spark.createDataFrame(rows_of([(i, t, "a") for i, t in enumerate(texts)]), DOC)
+    assert found_components(df) == brute_components(pairs(df))
+    assert sum(seen["jaccard-pairs"]) <= 1000
+
+
+def test_near_copies_at_the_threshold_make_few_candidates(spark, monkeypatch):
+    """Copies of one base with up to so many changes that most pairs aren't linked."""
+    seen = made(monkeypatch)
+    rng = np.random.default_rng(8)
+    base = [f"b{k}" for k in range(150)]
+    texts = [" ".join(base)]
+    for k in range(400):
+        own = list(base)
+        for at in rng.choice(150, k % 8, replace=False):
+            own[at] = f"x{k}_{at}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(rows_of([(i, t, "a") for i, t in enumerate(texts)]), DOC)
+    assert found_components(df) == brute_components(pairs(df))
+    assert sum(seen["jaccard-pairs"]) <= 4000
+
+
+def test_many_null_ids_are_read_once(spark, monkeypatch):
+    seen = made(monkeypatch)
+    texts = [f"a b c d e f g h i j k l m n o p q r s t u v w x{i % 100}" for i in range(300)]
+    df = spark.createDataFrame(rows_of([(None, t, "a") for t in texts]), DOC)
+    assert found_components(df) == brute_components(pairs(df))
+    assert seen["jaccard-sets"] == [100]
+
+
 @given(st.integers(1, 400), st.integers(1, 400), st.integers(0, 2**32))
 @settings(max_examples=100, deadline=None)
 def test_prefixes_share_what_is_assured(n, m, seed):

@@ -49,7 +49,7 @@ def _taken(docs: DataFrame, chosen: DataFrame, key: Column) -> DataFrame:
     """Rows of ``docs`` for ``chosen`` (doc_id, text_key, times, copies): a row with this id and ``key``
     is given ``copies`` times, however many times it is there, which ``times`` says."""
     chosen = stored(chosen.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("times").alias("times_"), F.col("copies").alias("copies_")), "pipeline-chosen")
-    rows = docs.withColumn("of_", key).join(chosen, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("of_") == F.col("key_")))
+    rows = docs.select(*COLUMNS).withColumn("of_", key).join(chosen, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("of_") == F.col("key_")))
     again = F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))).alias("again_")
     out = rows.where("times_ = 1")
     if not chosen.where("times_ > 1").isEmpty():

@@ -358,21 +358,30 @@ def test_mix_of_many_sources_and_a_large_light_one(spark):
 # LM scoring
 
 
-def brute_scores(docs, strength=lm.STRENGTH):
-    texts = [(i, [*(t or "").encode().lower().split(), b""]) for i, t in docs]
-    c, p = Counter(), Counter()
+def brute_scores(docs, strengths=lm.STRENGTHS):
+    texts = [(i, [b"", *(t or "").encode().lower().split(), b""]) for i, t in docs]
+    c, p, q = Counter(), Counter(), Counter()
     for i, w in texts:
         if zlib.crc32(b"" if i is None else str(i).encode()) % 10:
-            c.update(w)
-            p.update(zip([b"", *w[:-1]], w))
+            c.update(w[1:])
+            p.update(zip(w, w[1:]))
+            q.update(zip(w, w[1:], w[2:]))
     n, v = sum(c.values()), len(c)
     once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
     d = (once + 0.5) / (once + 2 * twice + 1)
     root = lambda x: ((c[x] - d) / n if c[x] else d * v / n) if n else 1.0
+    after = lambda h, x: (p[h, x] + strengths[0] * root(x)) / (c[h] + strengths[0])
+
+    def weight(w, k):
+        low = after(w[k - 1], w[k])
+        if k < 2 or p[w[k - 2], w[k - 1]] < lm.LEAST_PAIR:
+            return math.log10(low)
+        return math.log10((q[w[k - 2], w[k - 1], w[k]] + strengths[1] * low) / (p[w[k - 2], w[k - 1]] + strengths[1]))
+
     for i, w in texts:
-        base = math.fsum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        whole = math.fsum(math.log10((p[h, x] + strength * root(x)) / (c[h] + strength)) for h, x in zip([b"", *w[:-1]], w))
-        yield i, zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0, len(w), sum(c[x] > 0 for x in w), n, round(base, 5), round(whole, 5)
+        base = math.fsum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w[1:])
+        whole = math.fsum(weight(w, k) for k in range(1, len(w)))
+        yield i, zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0, len(w) - 1, sum(c[x] > 0 for x in w[1:]), n, round(base, 5), round(whole, 5)
 
 
 @pytest.mark.parametrize("table", ["docs", "awkward", "empty"])
@@ -394,14 +403,57 @@ def test_model_beats_base_on_held_out_texts(spark):
     assert sum(r["score"] for r in rows) / tokens_ > sum(r["base_score"] for r in rows) / tokens_ + 0.5
 
 
-def test_automaton_sums_to_one():
-    counts = np.array([5, 3, 1, 1])
-    a = lm.Automaton(10, 4, 2, 0)
-    root = a.root(np.append(counts, 0))
-    assert (10**root).sum() == pytest.approx(1)
-    arcs = np.array([2, 0, 1, 0, 0])
-    state = np.full(5, 3)
-    assert (10 ** np.where(arcs > 0, a.arc(arcs, state, root), a.fail(state) + root)).sum() == pytest.approx(1)
+def one_block(texts):
+    """An automaton and its block, of training texts that are all in one block."""
+    ids = [i for i in range(1000) if not lm.held_out(i)][: len(texts)]
+    n, rows = 3, []
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array(ids, lm.pa.int64()), lm.pa.array(texts)], ["doc_id", "text"])
+    told = lambda it: [r for b in it for r in zip(*(c.to_pylist() for c in b.columns))]
+    table = lambda rs, k: iter([lm.pa.RecordBatch.from_arrays([lm.pa.array(c, t) for c, t in zip(zip(*sorted(rs, key=lambda r: r[k])), (lm.pa.int8(), lm.pa.int32(), lm.pa.int64(), lm.pa.binary()))], lm.NAMES)])
+    was, lm.TaskContext = lm.TaskContext, type("T", (), {"get": staticmethod(Task)})
+    try:
+        rows = told(lm.blocks(iter([batch]), n))
+    finally:
+        lm.TaskContext = was
+    known = [r for r in rows if r[0] == lm.BLOCK]
+    words_ = told(lm.count_words(table([r for r in rows if r[0] == lm.WORDS], 1), n))
+    stats = [np.frombuffer(r[3], "<i8") for r in words_ if r[0] == lm.STATS]
+    width = max(int(x[4]) for x in stats) * n
+    known += [r for r in words_ if r[0] == lm.WORDS]
+    for kind in (lm.PAIRS, lm.TRIPLES):
+        known += told(lm.count_arcs(table(told(lm.block_arcs(table(known, 2), kind, width, n)), 1)))
+    block = lm.Block(known, width, n)
+    model = lm.Model(*(int(sum(x[k] for x in stats)) for k in range(4)))
+    return lm.Automaton(block, model), block, model
+
+
+def test_each_state_of_the_automaton_sums_to_one():
+    """Over all words and the unknown ones, which share one weight; and failures chain twice."""
+    a, block, model = one_block(["a b c a b d", "a b c", "b c a b", "c d a"])
+    states = [0, *a.word_state.tolist(), *(a.n_words + 1 + np.flatnonzero(block.pairs.totals >= lm.LEAST_PAIR)).tolist()]
+    unknown = float(model.root(np.array([0]))[0])
+    assert len(states) > a.n_words + 3
+    for s in states:
+        weights, _ = a.step(np.full(a.n_words, s), np.arange(a.n_words))
+        rest, now = unknown, s
+        while now:
+            rest, now = rest + a.fail_weight[now], int(a.fail_state[now])
+        assert (10**weights).sum() + 10**rest == pytest.approx(1)
+    pair = next(s for s in states if s > a.n_words and len(set(a.key[(a.key // a.n_words) == s])) < a.n_words)
+    assert a.fail_state[pair] != 0 and a.fail_state[a.fail_state[pair]] == 0
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 7])
+def test_runs_of_long_texts_go_on_where_the_last_ended(monkeypatch, run):
+    texts = ["a b c a b d a b c c c a b", "a b c", "", "b c a b d d a"]
+    a, block, _ = one_block(texts)
+    whole = a.traverse(block.tokens, block.starts, block.lengths)
+    monkeypatch.setattr(lm, "RUN", run)
+    assert a.traverse(block.tokens, block.starts, block.lengths).tolist() == whole.tolist()
 
 
 # Jaccard join

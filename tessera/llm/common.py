@@ -43,6 +43,19 @@ def stored(df: DataFrame, name: str, *by: str, codec: str = "zstd") -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Give the memory that this Python worker has freed back to the system, for an idle worker keeps
+    it otherwise, beside the workers and the JVM that go on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def words(text: Column) -> Column:
     """Array of the runs of characters other than ``SPACE``; empty for null or blank text."""
     cut = F.btrim(text, F.lit(SPACE))

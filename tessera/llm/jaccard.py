@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, stored
+from tessera.llm.common import partitions, stored, tidy
 from tessera.llm.graph import components as connected
 
 #: Production parameters: words of a shingle, and the similarity as a fraction.
@@ -144,6 +144,8 @@ def first_order(batches: Iterator[pa.RecordBatch], words: int, top: int, bottom:
                 held = 0
     if docs:
         yield from rows()
+    docs.clear(), prefixes.clear(), nodes.clear()
+    tidy()
 
 
 def _rows(kind, deal, token, node, n, doc_id=None, more=None) -> pa.RecordBatch:

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import stored
-from tessera.llm.tokens import encoded, tokenizer_path
+from tessera.llm.common import stored, tidy
+from tessera.llm.tokens import Encoder, encoded, tokenizer_path
 
 #: Production parameters: tokens of a sequence; step of the multiplicative weights.
 CAPACITY, STEP = 2048, 0.25
@@ -226,6 +226,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
                 rows.clear()
         if rows:
             yield made()
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
@@ -251,6 +252,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: in
     ranked = cut.join(bases, ["block", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
     def placed(batches):
+        Encoder.forget()
         for batch in batches:
             if batch.num_rows:
                 sequence, offset = slots.value.place(batch.column(3).to_numpy(), batch.column(5).to_numpy())

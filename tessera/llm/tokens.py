@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import partitions, shared_dir
+from tessera.llm.common import partitions, shared_dir, tidy
 
 #: Words whose ids an encoder remembers, at most and twice over; see Kept.
 MOST_WORDS = 600_000
@@ -112,6 +112,12 @@ class Encoder:
             cls._kept[path, by_word] = cls(path, by_word)
         return cls._kept[path, by_word]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Let go of this worker's encoders, once all texts are encoded."""
+        cls._kept.clear()
+        tidy()
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in done]
@@ -291,6 +297,7 @@ def read(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
 
     def decode(batches):
+        Encoder.forget()
         for batch in batches:
             for row in batch.to_pylist():
                 index, frames, opened = np.frombuffer(row["index"], ENTRY), memoryview(row["frames"]), _opened(dictionary, row["dictionary_hash"])

@@ -60,25 +60,39 @@ class Engine:
     def _run(self, files: DataFrame, full: bool, truncated: bool = False) -> Report:
         self.store.ensure(self.profile, self.dimension)
         manifest = self.store.manifest()
-        states = refresh.guarded(refresh.diff(manifest, files), truncated)
-        confirmed = refresh.confirm_stale(states, manifest, files)
-        added = states.where("state = 'added'").select("rel_path")
-        changed = confirmed.where("state = 'changed'").select("rel_path")
-        deleted = states.where("state = 'deleted'").select("rel_path")
-        work = files.select("rel_path") if full else added.unionByName(changed)
-        mine = files.join(work, "rel_path", "left_semi")
-        clear = work.unionByName(deleted)
-        new = self.points_of(mine.select("rel_path", "content"))
-        points = refresh.clear_and_insert(self.store.points(), clear, new)
+        full = full or refresh.must_rebuild(self.store.head()["metadata"], self.profile)
+        # One evaluation of the listing and the hashes, which all that follows reads.
+        state = self.store.scratch(self._states(files, manifest, truncated))
+        work = state.where("content is not null" + ("" if full else " and state in ('added', 'changed')"))
+        clear = state.where("state <> 'deleted'" if full else "state in ('added', 'changed', 'deleted')").where("content is not null or state = 'deleted'")
+        points = self.store.scratch(self.points_of(work.select("rel_path", "content")))
         now = int(time.time() * 1000)
-        fresh = files.where("content is not null").join(work.unionByName(confirmed.where("state = 'unchanged'").select("rel_path")).distinct(), "rel_path", "left_semi")
-        fresh = fresh.select("rel_path", F.sha2(F.encode("content", "UTF-8"), 256).alias("hash"), F.col("size").cast("long"), F.col("mtime_ms").cast("double"), F.lit(now).cast("long").alias("indexed_at"))
-        kept = manifest.join(fresh.select("rel_path").unionByName(deleted), "rel_path", "left_anti")
-        counts = [x.count() for x in (added, changed, deleted)]
-        n = states.where("state in ('unchanged', 'maybe_stale')").count()
-        self.store.replace(points, kept.unionByName(fresh), complete=True)
+        whole = refresh.finished_files(points.select("file_path", "id"), self.accepted(points)).where("done").select(F.col("file_path").alias("rel_path"))
+        some = points.select(F.col("file_path").alias("rel_path")).distinct()
+        fresh = state.where("content is not null and state <> 'deleted'").join(some.join(whole, "rel_path", "left_anti"), "rel_path", "left_anti")
+        fresh = fresh.select("rel_path", "hash", F.col("size").cast("long"), F.col("mtime_ms").cast("double"), F.lit(now).cast("long").alias("indexed_at"))
+        counts = {r["state"]: r["n"] for r in state.groupBy("state").agg(F.count("*").alias("n")).collect()}
+        unread = state.where("content is null and state in ('added', 'maybe_stale')").count()
+        complete = unread == 0 and some.join(whole, "rel_path", "left_anti").isEmpty()
+        self.store.apply(clear.select("rel_path"), points, fresh, complete=complete)
         notes = ("the listing was truncated, so no file counts as deleted",) if truncated else ()
-        return Report(counts[0], counts[1], n - counts[1], counts[2], self.store.points().count(), True, notes)
+        if not complete:
+            notes += (f"{unread} files couldn't be read",) if unread else ("not all chunks were accepted",)
+        return Report(counts.get("added", 0), counts.get("changed", 0), counts.get("unchanged", 0) + counts.get("maybe_stale", 0), counts.get("deleted", 0), self.store.points().count(), complete, notes)
+
+    def accepted(self, points: DataFrame) -> DataFrame:
+        """Points (file_path, id) that the store takes; a store that refuses some overrides this."""
+        return points.select("file_path", "id")
+
+    def _states(self, files: DataFrame, manifest: DataFrame, truncated: bool) -> DataFrame:
+        """(rel_path, state, content, size, mtime_ms, hash): every path's state, maybe stale ones told
+        apart by their hashes; one that can't be read stays maybe stale."""
+        states = refresh.guarded(refresh.diff(manifest, files), truncated)
+        now = files.select("rel_path", "content", "size", "mtime_ms", F.sha2(F.encode("content", "UTF-8"), 256).alias("hash"))
+        told = states.join(now, "rel_path", "left").join(manifest.select("rel_path", F.col("hash").alias("old")), "rel_path", "left")
+        stale = F.col("state") == "maybe_stale"
+        same = F.when(stale & F.col("hash").isNull(), "maybe_stale").when(stale & (F.col("hash") == F.col("old")), "unchanged").when(stale, "changed").otherwise(F.col("state"))
+        return told.select("rel_path", same.alias("state"), "content", "size", "mtime_ms", "hash")
 
     def import_index(self, points: DataFrame, profile: str) -> int:
         """Copy another index's vectors of the same profile, and seed the manifest so that the next
@@ -91,9 +105,7 @@ class Engine:
         if not n:
             raise ValueError("no point could be imported")
         manifest = refresh.seeded_manifest(refresh.path_hashes(good), int(time.time() * 1000))
-        old = self.store.manifest().join(manifest, "rel_path", "left_anti")
-        current = self.store.points().join(good.select("id"), "id", "left_anti").unionByName(good)
-        self.store.replace(current, old.unionByName(manifest), complete=True)
+        self.store.apply(manifest.select("rel_path"), good, manifest, complete=True)
         return n
 
     def status(self, files: DataFrame | None = None) -> dict:
@@ -128,6 +140,10 @@ def find(
             continue
         if vector is None:
             continue
+        try:
+            e.store.points().select("id").limit(1).collect()  # files that are gone fail here, not in the caller's action
+        except Exception as error:  # noqa: BLE001
+            search.refuse_partial(name, 1, error)
         points = search.valid_hits(e.store.points(), *REQUIRED, "file_hash")
         if path:
             points = points.where(T.under_segments(F.col("file_path"), path))

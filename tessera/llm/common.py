@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,17 @@ def stored(df: DataFrame, name: str, *by: str, codec: str = "zstd") -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect what it no longer refers to: Spark's cleaner then deletes the shuffle
+    files of finished steps from the executors, which else stay until the driver's heap fills up.
+    Twice, as the last step's listeners still refer to its plan when it ends."""
+    gc.collect()  # Python's references to plans
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    for _ in range(2 if jvm is not None else 0):
+        jvm.java.lang.System.gc()
+        time.sleep(0.5)
+
+
 def tidy() -> None:
     """Give the memory that this Python worker has freed back to the system, for an idle worker keeps
     it otherwise, beside the workers and the JVM that go on."""

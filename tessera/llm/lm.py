@@ -11,15 +11,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, stored
+from tessera.llm.common import partitions, stored, sweep, tidy
 
 #: Production parameters: words that the failure arcs of word states and of pair states weigh as
 #: much as; how often a pair comes in training to be a state; and the bytes of text after which
 #: a block of documents ends.
-STRENGTHS, LEAST_PAIR, BLOCK_BYTES = (400.0, 50.0), 2, 16 << 20
+STRENGTHS, LEAST_PAIR, BLOCK_BYTES = (400.0, 50.0), 2, 8 << 20
 #: Tokens of a text that are read one after another; longer texts are read in several runs, each from the
 #: state that the words before it lead to.
-RUN = 512
+RUN = 256
 #: One document in so many is held out of training.
 HELD_OUT = 10
 #: The token after a text's last word, and the state that a text starts in.  No word is empty.
@@ -360,7 +360,11 @@ def block_scores(batches: Iterator[pa.RecordBatch], width: int, parts: int, sums
     model = Model(*sums, strengths)
     for rows in _by(batches, 2):
         block = Block(rows, width, parts)
-        weights = Automaton(block, model).traverse(block.tokens, block.starts, block.lengths)
+        rows.clear()
+        automaton = Automaton(block, model)
+        del block.pairs, block.triples
+        weights = automaton.traverse(block.tokens, block.starts, block.lengths)
+        del automaton
         counts = block.counts[block.tokens]
         total = lambda x: np.add.reduceat(x, block.starts)
         n = len(block.lengths)
@@ -396,4 +400,6 @@ def score(docs: DataFrame, strengths: tuple[float, float] = STRENGTHS) -> DataFr
     for kind in (PAIRS, TRIPLES):
         arcs = dealt(known, "block").mapInArrow(lambda b, kind=kind: block_arcs(b, kind, width, n), ROW)
         known = known.unionByName(stored(dealt(arcs, "part").mapInArrow(count_arcs, ROW), "lm-arcs", codec="none"))
+        del arcs
+        sweep(docs.sparkSession)
     return dealt(known, "block").mapInArrow(lambda b: block_scores(b, width, n, sums, strengths), SCORES)

@@ -12,33 +12,47 @@ from tessera.functions import text as T
 #: Fixed values.
 RRF, MOST_CHARS, PER_FILE, QUERIES = 60, 2_000_000, 3, 40
 NOISE = r"(?i)^(merge|bump|release|wip|initial commit|revert|update deps|dependabot|chore\(deps\))"
+#: Phrases of one automaton.
+PHRASES = 100_000
 SKIPPED = r"(?i)(\.lock$|\.map$|(^|/)package-lock\.json$)"
 
 
-def keyword_ranked(queries: DataFrame, files: DataFrame, k: int) -> DataFrame:
-    """(query_id, rel_path, n_terms, n_hits, rank): files by distinct terms, then hits, then path.
+def found_in(texts: DataFrame, phrases: DataFrame, cap: int | None = None) -> DataFrame:
+    """(rel_path, phrase, n): how often each text (rel_path, low) holds each distinct phrase, without
+    overlaps and up to ``cap``; not at all gives no row, and empty or null phrases none.
 
-    The distinct terms of all queries are a small table whose size is set by the queries; each
-    text is searched for all of them at once, in Arrow batches, as a join on containment would
-    build a row for each text and term first."""
-    asked = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
-    terms = [r[0] for r in asked.select("term").distinct().toLocalIterator()]
+    The phrases are a stated query set: they go to the workers in blocks of PHRASES, each an
+    automaton that reads a text once, however many phrases there are."""
+    wanted = [r[0] for r in phrases.where("phrase <> ''").distinct().orderBy("phrase").toLocalIterator()]
 
     def search(batches):
+        import ahocorasick
+
+        machines = []
+        for k in range(0, len(wanted), PHRASES):
+            machines.append(ahocorasick.Automaton())
+            for phrase in wanted[k : k + PHRASES]:
+                machines[-1].add_word(phrase, phrase)
+            machines[-1].make_automaton()
         for batch in batches:
-            rows = [
-                (path, term, min(n, T.TERM_CAP))
-                for path, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for term in terms
-                if (n := low.count(term))
-            ]
+            rows = []
+            for path, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for machine in machines:
+                    seen = dict.fromkeys(phrase for _, phrase in machine.iter(low)) if low else ()
+                    rows += [(path, phrase, low.count(phrase)) for phrase in seen]
             if rows:
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["rel_path", "term", "n"])
+                yield pa.RecordBatch.from_arrays(columns, ["rel_path", "phrase", "n"])
+
+    found = texts.select("rel_path", "low").mapInArrow(search, "rel_path string, phrase string, n int")
+    return found if cap is None else found.withColumn("n", F.least("n", F.lit(cap)))
+
 
+def keyword_ranked(queries: DataFrame, files: DataFrame, k: int) -> DataFrame:
+    """(query_id, rel_path, n_terms, n_hits, rank): files by distinct terms, then hits, then path."""
+    asked = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("phrase"))
     texts = files.where(~F.col("rel_path").rlike(SKIPPED) & (F.length("content") <= MOST_CHARS)).select("rel_path", F.lower("content").alias("low"))
-    found = texts.mapInArrow(search, "rel_path string, term string, n int")
-    counted = found.join(asked, "term").groupBy("query_id", "rel_path").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_hits"))
+    counted = found_in(texts, asked.select("phrase"), T.TERM_CAP).join(asked, "phrase").groupBy("query_id", "rel_path").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_hits"))
     order = Window.partitionBy("query_id").orderBy(F.col("n_terms").desc(), F.col("n_hits").desc(), "rel_path")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -118,7 +132,21 @@ def corpus_profile(files: DataFrame, language: str, top: int = 3) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+#: A lead that counts, a lead that is large, and hit rates that are good and poor.
+LEAD, LARGE_LEAD, GOOD, POOR = 0.02, 0.15, 0.95, 0.75
+
+
 def findings(summaries: DataFrame, least: int = 10) -> DataFrame:
-    """Strategies of each type with enough queries, ranked by hit, then reciprocal rank."""
+    """(strategy, type, n, hit, rr, place, medal, lead, grade): strategies of each type with enough
+    queries, ranked by hit, then reciprocal rank; the first three have medals.  ``lead`` says how
+    far the first one is ahead of the second, ``grade`` how good its hit rate is."""
     order = Window.partitionBy("type").orderBy(F.col("hit").desc(), F.col("rr").desc(), "strategy")
-    return summaries.where(F.col("n") >= least).withColumn("place", F.row_number().over(order))
+    ahead = F.round(F.col("hit") - F.lead("hit").over(order), 6)
+    ranked = summaries.where(F.col("n") >= least).withColumns({"place": F.row_number().over(order), "ahead": ahead})
+    first = F.col("place") == 1
+    return ranked.select(
+        "strategy", "type", "n", "hit", "rr", "place",
+        F.get(F.array(*map(F.lit, ("gold", "silver", "bronze"))), F.col("place") - 1).alias("medal"),
+        F.when(first, F.when(F.col("ahead") >= LARGE_LEAD, "clear").when(F.col("ahead") >= LEAD, "ahead").otherwise("level")).alias("lead"),
+        F.when(F.col("hit") >= GOOD, "good").when(F.col("hit") < POOR, "poor").otherwise("fair").alias("grade"),
+    )

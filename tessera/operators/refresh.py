@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most files of an automatic refresh; sizes and times of a seeded manifest row.
@@ -81,6 +81,37 @@ def freshness(states: DataFrame) -> DataFrame:
     return states.agg(*counted)
 
 
+def must_rebuild(metadata: dict, profile: str) -> bool:
+    """Whether all files are to be indexed again: the store holds vectors of another profile."""
+    return metadata.get("profile") not in (None, profile)
+
+
+def profile_changed(stored: Column, provider: Column, model: Column, dimension: Column) -> Column:
+    """Whether a stored profile (provider, model, dimension) differs from the configured one; a null
+    dimension isn't known yet and differs from none, and without a stored profile nothing does."""
+    apart = ~stored["provider"].eqNullSafe(provider) | ~stored["model"].eqNullSafe(model)
+    return stored.isNotNull() & (apart | F.coalesce(stored["dimension"] != dimension, F.lit(False)))
+
+
+def probed_dimension(embed, stored: dict | None, provider: str, model: str, known: int | None = None) -> int:
+    """The dimension of a model: the catalog's, else that of a store of the same provider and model,
+    else that of one text's vector."""
+    if known:
+        return known
+    if stored and (stored.get("provider"), stored.get("model")) == (provider, model) and stored.get("dimension"):
+        return int(stored["dimension"])
+    return len(embed(["dimension"])[0])
+
+
+def discovered(found: DataFrame, profiles: DataFrame, profile: str) -> DataFrame:
+    """(kind, name, compatible, problem): sources of points (kind, name) that can be imported.  One
+    without a profile in ``profiles`` (name, profile, problem) counts as compatible; one that
+    can't be read is told with its problem, not raised."""
+    told = found.join(profiles, "name", "left")
+    fits = F.col("problem").isNull() & (F.col("profile").isNull() | (F.col("profile") == profile))
+    return told.select("kind", "name", fits.alias("compatible"), "problem")
+
+
 def auto_refresh(states: DataFrame, most: int = AUTO_REFRESH_FILES) -> bool:
     """Whether few enough files changed to refresh without being asked: some, but not over ``most``."""
     n = states.where("state <> 'unchanged'").limit(most + 1).count()

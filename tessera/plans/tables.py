@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import evaluate
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,8 +84,9 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     The passages are a fixed benchmark that doesn't grow with the corpus; each text is searched for
     all of them."""
     q = queries(spark, sf_dir)
-    f = files(spark, sf_dir).select("rel_path", "content")
-    return f.join(F.broadcast(q), F.contains(F.col("content"), F.col("query"))).select("query_id", "rel_path").distinct()
+    texts = files(spark, sf_dir).select("rel_path", F.col("content").alias("low"))
+    found = evaluate.found_in(texts, q.select(F.col("query").alias("phrase")))
+    return found.join(q.withColumnRenamed("query", "phrase"), "phrase").select("query_id", "rel_path").distinct()
 
 
 EXPECTED = f"SELECT DISTINCT item_id AS query_id, rel_path FROM benchmark b JOIN ({FILES}) f ON contains(f.content, b.text)"

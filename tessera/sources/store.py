@@ -1,13 +1,13 @@
-"""A vector store of Parquet snapshots: rows, metadata and a manifest, swapped as a whole."""
+"""A vector store of Parquet folders: points in buckets, metadata and a manifest, and pages of tables."""
 
 from __future__ import annotations
 
 import json
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SCHEMA_VERSION = "2"
 POINTS = "id string, vector array<float>, file_path string, file_hash string, code_chunk string, start_line int, end_line int, segment_hash string"
@@ -53,95 +53,233 @@ def metadata_row(metadata: DataFrame) -> DataFrame:
     return one.select(F.when(good, F.concat_ws(":", "provider", "model", "dimension")).alias("profile"), F.coalesce(F.col("complete") == "true", F.lit(False)).alias("complete"), "schema")
 
 
+def page(df: DataFrame, key: str, after: object = None, limit: int = 100) -> DataFrame:
+    """A page of ``df`` in the order of a unique ``key``: up to ``limit`` rows beyond ``after``, with
+    ``next``, the key to go on after, or null on the last page."""
+    if limit < 1:
+        raise ValueError("a page has a row at least")
+    rows = (df if after is None else df.where(F.col(key) > F.lit(after))).orderBy(key).limit(limit)
+    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one page
+    return rows.withColumn("next", F.when(F.count("*").over(whole) == limit, F.max(key).over(whole)))
+
+
+def prefix_page(pairs: DataFrame, prefix: str, after: str | None = None, limit: int = 100) -> DataFrame:
+    """A page of the pairs (key, value) whose keys begin with ``prefix``."""
+    return page(pairs.where(F.startswith("key", F.lit(prefix))), "key", after, limit)
+
+
+def looked_up(target: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``target`` with these ids, each once; ids that aren't there give none."""
+    return target.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def without_prefixes(target: DataFrame, paths: DataFrame) -> DataFrame:
+    """``target`` without the given files and all that lie under them as folders (file_path): each
+    path is met by its own heads, so no row is compared with every prefix."""
+    parts = F.filter(F.split(F.translate("file_path", "\\", "/"), "/"), lambda p: p != "")
+    gone = paths.select(F.array_join(parts, "/").alias("gone_")).where("gone_ <> ''").distinct()
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    met = target.select("file_path").distinct().withColumn("gone_", F.explode(heads)).join(gone, "gone_").select("file_path").distinct()
+    return target.join(met, "file_path", "left_anti")
+
+
+def baseline_of(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(root, name): of each root's candidates (root, name, rank, cached) that the catalog (name) has,
+    the cached one, else the first by rank."""
+    there = candidates.join(catalog.select("name").distinct(), "name")
+    first = F.min_by("name", F.struct(~F.coalesce("cached", F.lit(False)), "rank", "name"))
+    return there.groupBy("root").agg(first.alias("name"))
+
+
 class Store:
-    """Snapshots under a folder: ``points-<n>`` and ``manifest-<n>`` by name, and ``HEAD``, a one-row
-    Parquet table that names the current ones.  A write makes new tables first and moves HEAD last,
-    so readers see the old state or the new one, and a write that fails changes nothing."""
+    """Points in BUCKETS folders by a hash of their path, a manifest, and ``heads``: one small text
+    file a state, which names the folder of each bucket.
+
+    A write makes new folders for the buckets that it changes, then renames a new head to the next
+    number.  So a write that is interrupted changes nothing, readers see one state or the other,
+    and a change costs its buckets, not the index.  Of two writers that begin from one state the
+    second to commit fails, as the file system renames to no name that is there."""
+
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _heads(self) -> list[str]:
-        fs = self._fs()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/heads")
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
     def _fs(self):
-        jvm = self.spark._jvm
-        return jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _heads(self) -> list[str]:
+        fs, path = self._fs(), self._path(f"{self.root}/heads")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        return [n for n in names if n.endswith(".json")]
 
     def head(self) -> dict | None:
         names = self._heads()
-        if not names:
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/heads/{names[-1]}").first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/heads/{names[-1]}", wholetext=True).first()[0]) if names else None
 
     def exists(self) -> bool:
         return self.head() is not None
 
-    def _commit(self, **changes) -> None:
-        head = (self.head() or {"metadata": {}}) | changes
-        row = self.spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1)
-        row.write.text(f"{self.root}/heads/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
+    def _commit(self, parent: dict | None, **changes) -> None:
+        """The head after ``parent``: written beside the heads, then renamed to the next number, which
+        fails if another writer has taken it."""
+        head = (parent or {"number": 0, "metadata": {}, "buckets": {}, "manifest": None}) | changes
+        head["number"] += 1
+        fs, name = self._fs(), self._path(f"{self.root}/heads/{head['number']:012d}.json")
+        own = self._path(f"{self.root}/heads/.{uuid.uuid4().hex}")
+        out = fs.create(own, False)
+        out.write(json.dumps(head).encode())
+        out.close()
+        if fs.exists(name) or not fs.rename(own, name):
+            fs.delete(own, False)
+            raise Mismatch("another writer has changed the store")
 
     def ensure(self, profile: str, dimension: int) -> None:
         """Create the store, or check that it holds vectors of this kind."""
         head = self.head()
         if head is None:
-            self._commit(points=self._write(self.spark.createDataFrame([], POINTS), "points"), manifest=self._write(self.spark.createDataFrame([], MANIFEST), "manifest"), metadata={"schema": SCHEMA_VERSION, "profile": profile, "dimension": dimension, "complete": False})
+            self._commit(None, metadata={"schema": SCHEMA_VERSION, "profile": profile, "dimension": dimension, "complete": False})
             return
         m = head["metadata"]
         if m.get("schema") != SCHEMA_VERSION:
             raise Mismatch(f"schema {m.get('schema')}, not {SCHEMA_VERSION}")
         if m.get("dimension") != dimension:
             raise Mismatch(f"dimension {m.get('dimension')}, not {dimension}")
-        if m.get("profile") != profile and not self.points().isEmpty():
-            raise Mismatch(f"profile {m.get('profile')}, not {profile}")
-        self._commit(metadata=m | {"profile": profile})
+        if m.get("profile") != profile:
+            if not self.points().isEmpty():
+                raise Mismatch(f"profile {m.get('profile')}, not {profile}")
+            self._commit(head, metadata=m | {"profile": profile})
 
-    def _write(self, df: DataFrame, name: str) -> str:
-        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return path
+    def _bucket(self, column: str):
+        return F.pmod(F.xxhash64(F.translate(column, "\\", "/")), F.lit(self.BUCKETS)).cast("int")
+
+    def _write_points(self, rows: DataFrame) -> dict[str, str]:
+        """Write points by bucket, sorted by path; the folder of each bucket that has any."""
+        name = f"points-{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        columns = [x.split()[0] for x in POINTS.split(", ")]
+        dealt = projected(rows, columns).withColumn("bucket", self._bucket("file_path")).repartitionByRange(n, "bucket", "file_path", "id")
+        dealt.sortWithinPartitions("bucket", "file_path").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
+        made = (s.getPath().getName() for s in self._fs().listStatus(self._path(f"{self.root}/{name}")))
+        return {m.split("=")[1]: f"{name}/{m}" for m in made if m.startswith("bucket=")}
+
+    def _read(self, folders) -> DataFrame:
+        paths = [f"{self.root}/{x}" for x in folders]
+        return self.spark.read.schema(POINTS).parquet(*paths) if paths else self.spark.createDataFrame([], POINTS)
 
     def points(self) -> DataFrame:
         head = self.head()
-        return self.spark.createDataFrame([], POINTS) if head is None else self.spark.read.schema(POINTS).parquet(head["points"])
+        return self._read(sorted(head["buckets"].values()) if head else [])
 
     def manifest(self) -> DataFrame | None:
         head = self.head()
-        return None if head is None else self.spark.read.schema(MANIFEST).parquet(head["manifest"])
+        if head is None:
+            return None
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{head['manifest']}") if head["manifest"] else self.spark.createDataFrame([], MANIFEST)
 
     def info(self) -> dict:
         head = self.head()
         return {"exists": False} if head is None else {"exists": True, "points": self.points().count(), **head["metadata"]}
 
+    def _manifest(self, manifest: DataFrame) -> str:
+        name = f"manifest-{uuid.uuid4().hex}"
+        manifest.write.parquet(f"{self.root}/{name}")
+        return name
+
     def replace(self, points: DataFrame, manifest: DataFrame | None = None, complete: bool | None = None) -> None:
-        """Write new snapshots, sorted by path for pruning, and move HEAD to them."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        columns = [x.split()[0] for x in POINTS.split(", ")]
-        rows = projected(points, columns).repartitionByRange(n, "file_path", "id").sortWithinPartitions("file_path")
-        changes = {"points": self._write(rows, "points")}
+        """Write all points anew."""
+        head = self._begun()
+        changes = {"buckets": self._write_points(points)}
+        if manifest is not None:
+            changes["manifest"] = self._manifest(manifest)
+        if complete is not None:
+            changes["metadata"] = head["metadata"] | {"complete": complete}
+        self._commit(head, **changes)
+
+    def scratch(self, df: DataFrame) -> DataFrame:
+        """Write an intermediate table beside the store and read it back, so that it is made once."""
+        path = f"{self.root}/scratch-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clean(self, keep: int = 2) -> list[str]:
+        """Delete the folders that none of the last ``keep`` heads names, and older heads; what is
+        deleted is returned.  Not while another writer or a reader of an older state runs."""
+        fs, names = self._fs(), self._heads()
+        heads = [json.loads(self.spark.read.text(f"{self.root}/heads/{n}", wholetext=True).first()[0]) for n in names[-keep:]]
+        used = {p.split("/")[0] for h in heads for p in [*h["buckets"].values(), h["manifest"] or ""]}
+        old = [f"heads/{n}" for n in names[:-keep]]
+        old += [n for s in fs.listStatus(self._path(self.root)) if (n := s.getPath().getName()).startswith(("points-", "manifest-", "scratch-")) and n not in used]
+        for name in old:
+            fs.delete(self._path(f"{self.root}/{name}"), True)
+        return old
+
+    def _begun(self) -> dict:
+        head = self.head()
+        if head is None:
+            raise Mismatch("there is no store")
+        return head
+
+    def apply(self, paths: DataFrame, points: DataFrame, manifest: DataFrame | None = None, complete: bool | None = None) -> list[str]:
+        """Clear the files ``paths`` (rel_path), insert ``points`` and the rows of ``manifest`` in their
+        place, and write only the buckets that these lie in, which are returned."""
+        head = self._begun()
+        gone = paths.select(F.translate("rel_path", "\\", "/").alias("file_path")).distinct()
+        rows = projected(points, [x.split()[0] for x in POINTS.split(", ")])
+        touched = gone.unionByName(rows.select("file_path")).select(self._bucket("file_path").alias("b")).distinct().collect()  # BUCKETS rows at most
+        names = sorted(str(r["b"]) for r in touched)
+        old = self._read(head["buckets"][b] for b in names if b in head["buckets"])
+        made = self._write_points(without_paths(old, gone).unionByName(rows))
+        changes: dict = {"buckets": {b: p for b, p in head["buckets"].items() if b not in names} | made}
         if manifest is not None:
-            changes["manifest"] = self._write(manifest, "manifest")
+            kept = self.manifest().join(paths.select("rel_path").unionByName(manifest.select("rel_path")).distinct(), "rel_path", "left_anti")
+            changes["manifest"] = self._manifest(kept.unionByName(manifest))
         if complete is not None:
-            changes["metadata"] = self.head()["metadata"] | {"complete": complete}
-        self._commit(**changes)
+            changes["metadata"] = head["metadata"] | {"complete": complete}
+        self._commit(head, **changes)
+        return names
 
     def upsert(self, rows: DataFrame) -> None:
-        self.replace(upserted(self.points(), projected(rows, self.points().columns)))
+        """Insert ``rows`` in place of those with the same ids, which may lie under other paths."""
+        rows = projected(rows, [x.split()[0] for x in POINTS.split(", ")]).dropna(subset=list(REQUIRED))
+        old = looked_up(self.points(), rows)
+        paths = old.select(F.col("file_path").alias("rel_path")).distinct()
+        same = self.points().join(paths.withColumnRenamed("rel_path", "file_path"), "file_path", "left_semi")
+        self.apply(paths, upserted(same, rows))
 
     def delete_paths(self, paths: DataFrame) -> None:
-        self.replace(without_paths(self.points(), paths))
+        self.apply(paths.select(F.col("file_path").alias("rel_path")), self.spark.createDataFrame([], POINTS))
+
+    def delete_prefixes(self, paths: DataFrame) -> None:
+        """Delete files and all that lies under them as folders."""
+        kept = without_prefixes(self.points(), paths)
+        gone = self.points().select("file_path").distinct().join(kept.select("file_path").distinct(), "file_path", "left_anti")
+        self.delete_paths(gone)
 
     def delete_all(self) -> None:
-        self.replace(self.spark.createDataFrame([], POINTS), self.spark.createDataFrame([], MANIFEST))
+        self._commit(self._begun(), buckets={}, manifest=None)
 
     def mark_complete(self, complete: bool) -> None:
         head = self.head()
         if head is None:
             raise Mismatch("there is no store to mark")
-        self._commit(metadata=head["metadata"] | {"complete": complete})
+        self._commit(head, metadata=head["metadata"] | {"complete": complete})
 
     def drop(self) -> None:
-        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.root), True)
+        self._fs().delete(self._path(self.root), True)
+
+    def recreate(self, profile: str, dimension: int) -> None:
+        """Drop, then create anew."""
+        self.drop()
+        self.ensure(profile, dimension)
+
+
+def stores(spark: SparkSession, parent: str) -> list[str]:
+    """Names of the folders under ``parent`` that hold a store, in order."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(top) if s.isDirectory()) if fs.exists(top) else []
+    return [n for n in names if Store(spark, f"{parent.rstrip('/')}/{n}").exists()]

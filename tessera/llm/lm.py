@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, stored, sweep, tidy
+from tessera.llm.common import partitions, stored, sweep
 
 #: Production parameters: words that the failure arcs of word states and of pair states weigh as
 #: much as; how often a pair comes in training to be a state; and the bytes of text after which

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import time
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +15,83 @@ from pyspark.sql.window import Window
 #: Characters of a token, safety, and default ceilings of a request.
 CHARS_PER_TOKEN, SAFETY, MAX_TOKENS, MAX_ITEMS = 4, 0.95, 100_000, 64
 DIM = 64
+#: Attempts of a request, and seconds before the second one.
+ATTEMPTS, WAIT = 3, 0.5
+
+
+class HttpFailure(RuntimeError):
+    """A reply of a service that isn't a success."""
+
+    def __init__(self, status: int, said: str = ""):
+        super().__init__(f"HTTP {status}: {said}")
+        self.status = status
+
+
+def passing(error: Exception) -> bool:
+    """Whether a failure may pass: too many requests, a server's fault, or the network's."""
+    return error.status == 429 or error.status >= 500 if isinstance(error, HttpFailure) else isinstance(error, (ConnectionError, TimeoutError))
+
+
+def retried(name: str, request: Callable, sleep: Callable[[float], None] = time.sleep):
+    """The result of ``request()``, asked again after growing waits while its failure may pass."""
+    for k in range(ATTEMPTS):
+        try:
+            return request()
+        except Exception as error:
+            if k == ATTEMPTS - 1 or not passing(error):
+                raise RuntimeError(f"{name}: embedding request failed: {error}") from error
+            sleep(WAIT * 2**k)
+
+
+def _numbers(said: object) -> list[float]:
+    """A vector as a list of numbers, or as little-endian 32-bit floats in base64."""
+    if isinstance(said, str):
+        raw = base64.b64decode(said)
+        return np.frombuffer(raw[: len(raw) // 4 * 4], "<f4").astype(float).tolist()
+    if isinstance(said, list):
+        return [float(x) for x in said]
+    raise ValueError("a vector is neither a list nor base64")
+
+
+def reply_vectors(reply: object, n: int) -> list[list[float]]:
+    """The ``n`` vectors of a service's reply, in the order of the texts.
+
+    ``data`` has entries with ``embedding`` and ``index``, which says the place if all have one;
+    ``embeddings`` has plain vectors, or entries with ``values``, in order.  Another number of
+    vectors, or a place that is missing or given twice, is an error."""
+    reply = reply if isinstance(reply, dict) else {}
+    listed = reply.get("data", reply.get("embeddings"))
+    if not isinstance(listed, list):
+        raise ValueError("the reply has no list of vectors")
+    if len(listed) != n:
+        raise ValueError(f"{len(listed)} vectors for {n} texts")
+    if "data" not in reply:
+        found = [x.get("values") if isinstance(x, dict) else x for x in listed]
+        if not all(isinstance(x, list) for x in found):
+            raise ValueError("an entry of the reply has no vector")
+        return [_numbers(x) for x in found]
+    entries = [x if isinstance(x, dict) else {} for x in listed]
+    vectors, places = [_numbers(x.get("embedding")) for x in entries], [x.get("index") for x in entries]
+    if not all(type(k) is int and k >= 0 for k in places):
+        return vectors
+    if sorted(places) != list(range(n)):
+        raise ValueError(f"places of vectors are out of range or repeated: {places}")
+    return [v for _, v in sorted(zip(places, vectors, strict=True))]
+
+
+def mean_vectors(tokens: DataFrame, key: str, table: DataFrame, dim: int) -> DataFrame:
+    """(key, known, vector): the mean of the vectors of a text's ``tokens`` (key, token), scaled to
+    length 1, by a ``table`` (token, vector).  Tokens that it doesn't have are left out; without any
+    the vector is zero, and a zero vector isn't scaled.  Tokens are counted before the join, and
+    a text is one row of sums."""
+    counted = tokens.groupBy(key, "token").agg(F.count("token").alias("n"))
+    met = counted.join(table.select("token", "vector"), "token", "left")
+    n = F.when(F.col("vector").isNotNull(), F.col("n")).otherwise(0)
+    sums = [F.coalesce(F.sum(n * F.get("vector", F.lit(d)).cast("double")), F.lit(0.0)) for d in range(dim)]
+    mean = met.groupBy(key).agg(F.sum(n).alias("known"), F.array(*sums).alias("sums"))
+    mean = mean.withColumn("mean", F.transform("sums", lambda x: F.when(F.col("known") > 0, x / F.col("known")).otherwise(0.0)))
+    mean = mean.withColumn("length", F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x)))
+    return mean.select(key, "known", F.transform("mean", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(x)).alias("vector"))
 
 
 def hashed_dimensions(docs: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import chunk, embed, evaluate, refresh, search, status
+from tessera.operators import chunk, embed, evaluate, refresh, search, status, syntax
 from tessera.plans import tables as B
 from tessera.plans.tables import EXPECTED, FILES, MANIFEST, POINTS
 from tessera.sources import catalog, scan, store
@@ -120,10 +120,63 @@ def store_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.crossJoin(store.metadata_row(_metadata(spark, sf_dir)).select("profile", "complete"))  # one row each
 
 
-@query(f"SELECT rel_path AS key, size AS value FROM ({FILES}) WHERE rel_path LIKE 'src1/%' AND rel_path > 'src1/en/2' ORDER BY rel_path LIMIT 20")
+def _next_sql(key: str, limit: int) -> str:
+    return f"CASE WHEN count(*) OVER () = {limit} THEN max({key}) OVER () END AS next"
+
+
+@query(f"SELECT key, value, {_next_sql('key', 20)} FROM (SELECT rel_path AS key, size AS value FROM ({FILES}) WHERE rel_path LIKE 'src1/%' AND rel_path > 'src1/en/2' ORDER BY rel_path LIMIT 20)")
 def kv_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     kv = B.files(spark, sf_dir).select(F.col("rel_path").alias("key"), F.col("size").alias("value"))
-    return kv.where(F.startswith("key", F.lit("src1/")) & (F.col("key") > "src1/en/2")).orderBy("key").limit(20)
+    return store.prefix_page(kv, "src1/", "src1/en/2", 20)
+
+
+@query(f"SELECT id, file_path, {_next_sql('id', 30)} FROM (SELECT id, file_path FROM ({POINTS}) WHERE id > 5 ORDER BY id LIMIT 30)")
+def vector_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.page(B.points(spark, sf_dir).select("id", "file_path"), "id", 5, 30)
+
+
+@query(f"SELECT id, file_path, code_chunk FROM ({POINTS}) WHERE id % 9 = 0")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ninth id, asked for twice, and ids that aren't there."""
+    p = B.points(spark, sf_dir).select("id", "file_path", "code_chunk")
+    asked = p.where("id % 9 = 0").select("id")
+    return store.looked_up(p, asked.unionByName(asked).unionByName(asked.select((-F.col("id") - 1).alias("id"))))
+
+
+@query(f"SELECT id, file_path FROM ({POINTS}) p WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('src1/pkg1'), ('src2'), ('src3/pkg0/f3.py')) g(gone) WHERE p.file_path = gone OR starts_with(p.file_path, gone || '/'))")
+def delete_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = spark.createDataFrame([("src1\\pkg1",), ("/src2/",), ("src3/pkg0/f3.py",), ("src",), ("",)], "file_path string")
+    return store.without_prefixes(B.points(spark, sf_dir).select("id", "file_path"), gone)
+
+
+_CANDIDATES = "SELECT source AS root, lang || '-' || (doc_id % 5) AS name, doc_id % 5 AS rank, doc_id % 5 = 3 AND source = 'src1' AS cached FROM documents"
+
+
+@query(f"SELECT root, name FROM (SELECT root, name, row_number() OVER (PARTITION BY root ORDER BY NOT cached, rank, name) AS nth FROM ({_CANDIDATES}) WHERE name LIKE 'e%' OR name LIKE '%-3') WHERE nth = 1")
+def baseline_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some of the candidates are in the catalog; one root has a cached one."""
+    rank = F.col("doc_id") % 5
+    name = F.concat("lang", F.lit("-"), rank.cast("string"))
+    candidates = B.table(spark, sf_dir, "documents").select(F.col("source").alias("root"), name.alias("name"), rank.alias("rank"), ((rank == 3) & (F.col("source") == "src1")).alias("cached"))
+    return store.baseline_of(candidates, candidates.select("name").where("name like 'e%' or name like '%-3'"))
+
+
+@query(
+    f"""SELECT kind, name, problem IS NULL AND (profile IS NULL OR profile = 'a:m:64') AS compatible, problem FROM
+(SELECT 'store' AS kind, rel_path AS name, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 4 = 2 THEN 'b:m:64' ELSE 'a:m:64' END AS profile, CASE WHEN doc_id % 10 = 1 THEN 'unreadable' END AS problem FROM ({FILES}))"""
+)
+def source_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = B.files(spark, sf_dir).select(F.lit("store").alias("kind"), F.col("rel_path").alias("name"), "doc_id")
+    profile = F.when(F.col("doc_id") % 4 == 2, "b:m:64").when(F.col("doc_id") % 4 < 2, "a:m:64")
+    profiles = f.where("doc_id % 4 <> 3 or doc_id % 10 = 1").select("name", profile.alias("profile"), F.when(F.col("doc_id") % 10 == 1, "unreadable").alias("problem"))
+    return refresh.discovered(f.drop("doc_id"), profiles, "a:m:64")
+
+
+@query("SELECT doc_id, doc_id % 5 <> 0 AND (doc_id % 2 <> 0 OR lang <> 'en' OR coalesce(doc_id % 3 * 64 <> CASE WHEN doc_id % 7 <> 0 THEN 64 END, false)) AS changed FROM documents")
+def profile_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    had = F.when(i % 5 != 0, F.struct(F.when(i % 2 == 0, "a").otherwise("b").alias("provider"), F.col("lang").alias("model"), (i % 3 * 64).alias("dimension")))
+    return B.table(spark, sf_dir, "documents").select(i, refresh.profile_changed(had, F.lit("a"), F.lit("en"), F.when(i % 7 != 0, 64)).alias("changed"))
 
 
 @query(f"SELECT rel_path, NOT (doc_id % 9 = 0 OR contains(left(content, 1024), chr(0))) AS is_text FROM ({FILES})")
@@ -187,17 +240,58 @@ def chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.segments(B.files(spark, sf_dir))
 
 
-@query("SELECT source AS file_path, text_hash, min(doc_id) AS first_doc FROM (SELECT source, doc_id, sha256(left(text, 100)) AS text_hash FROM documents) GROUP BY ALL")
+@query("SELECT source AS file_path, text_hash, min(doc_id) AS first_doc FROM (SELECT source, doc_id, sha256(text) AS text_hash FROM documents) GROUP BY ALL")
 def chunk_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), "doc_id", T.sha256_text(F.substring("text", 1, 100)).alias("text_hash"))
+    """Of each source's texts the first of those that are equal as a whole."""
+    d = B.table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), "doc_id", T.sha256_text(F.col("text")).alias("text_hash"))
     return d.groupBy("file_path", "text_hash").agg(F.min("doc_id").alias("first_doc"))
 
 
-@query("SELECT source AS file_path, text_hash, min(doc_id) AS first_doc FROM (SELECT source, doc_id, sha256(text) AS text_hash FROM documents) GROUP BY ALL")
-def chunk_dedupe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_dedupe over whole texts: texts that only begin alike stay apart."""
-    d = B.table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), "doc_id", T.sha256_text(F.col("text")).alias("text_hash"))
-    return d.groupBy("file_path", "text_hash").agg(F.min("doc_id").alias("first_doc"))
+def _pieces(spark: SparkSession, sf_dir: str, extension: str, piece: Callable[[Column, Column], Column]) -> DataFrame:
+    """documents as files made of a piece for each line, of its md5 and number."""
+    f = B.files(spark, sf_dir).select(F.concat("rel_path", F.lit(extension)).alias("rel_path"), F.split("content", "\n", -1).alias("ln"))
+    return f.select("rel_path", F.array_join(F.transform("ln", lambda x, i: piece(F.md5(x), i)), "\n").alias("content"))
+
+
+def _pieces_sql(extension: str) -> str:
+    return f"l AS (SELECT rel_path || '{extension}' AS rel_path, i, md5(ln[i+1]) AS h FROM (SELECT rel_path, ln, unnest(range(0, len(ln))) AS i FROM (SELECT rel_path, string_split(content, chr(10)) AS ln FROM ({FILES}))))"
+
+
+_HASHED = "SELECT DISTINCT rel_path AS file_path, s::INT AS start_line, e::INT AS end_line, type, length(said)::INT AS length, sha256(rel_path || '-' || s || '-' || e || '-' || mark || length(said) || '-' || left(said, 100)) AS segment_hash FROM c"
+_QUOTED = "'return ' || chr(39) || h || chr(39)"
+
+
+@query(
+    f"""WITH {_pieces_sql(".py")}, c AS (SELECT rel_path, 4*i+2 AS s, 4*i+3 AS e, 'function_definition' AS type, '' AS mark, CASE WHEN i % 3 = 0 THEN 'def f():' || chr(10) || repeat(' ', 8) ELSE 'def f' || i || '():' || chr(10) || repeat(' ', 4) END || {_QUOTED} AS said FROM l
+UNION ALL SELECT rel_path, 4*i+1, 4*i+3, 'class_definition', '', 'class C' || i || ':' || chr(10) || '    def f():' || chr(10) || repeat(' ', 8) || {_QUOTED} FROM l WHERE i % 3 = 0) {_HASHED}"""
+)
+def chunk_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files by their syntax: classes with a method, and functions after an import that is too
+    small for a chunk."""
+
+    def piece(h: Column, i: Column) -> Column:
+        n = i.cast("string")
+        within = F.concat(F.lit("class C"), n, F.lit(":\n    def f():\n        return '"), h, F.lit("'\n"))
+        return F.when(i % 3 == 0, within).otherwise(F.concat(F.lit("import m"), n, F.lit("\ndef f"), n, F.lit("():\n    return '"), h, F.lit("'\n")))
+
+    found = chunk.chunk_files(_pieces(spark, sf_dir, ".py", piece), syntax.by_syntax)
+    return found.select("file_path", "start_line", "end_line", "type", "length", "segment_hash")
+
+
+@query(
+    f"""WITH {_pieces_sql(".md")}, p AS (SELECT *, 'markdown_header_h' || (i % 6 + 1) AS kind, repeat('#', (i % 6 + 1)::INT) || ' h' || i AS head, repeat(h, CASE WHEN i % 5 = 0 THEN 1 WHEN i % 7 = 0 THEN 40 ELSE 2 END) AS body FROM l),
+c AS (SELECT rel_path, 2*i+1 AS s, 2*i+2 AS e, kind AS type, '' AS mark, head || chr(10) || body AS said FROM p WHERE length(body) = 64
+UNION ALL SELECT rel_path, 2*i+2, 2*i+2, kind || '_segment', k || '-', substr(body, k + 1, 1000) FROM (SELECT *, unnest([0, 1000]) AS k FROM p WHERE length(body) > 1000)) {_HASHED}"""
+)
+def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown files by their sections, some too short for a chunk and some with an oversized line."""
+
+    def piece(h: Column, i: Column) -> Column:
+        times = F.when(i % 5 == 0, 1).when(i % 7 == 0, 40).otherwise(2)
+        return F.concat(F.repeat(F.lit("#"), (i % 6 + 1).cast("int")), F.lit(" h"), i.cast("string"), F.lit("\n"), F.repeat(h, times))
+
+    found = chunk.chunk_files(_pieces(spark, sf_dir, ".md", piece))
+    return found.select("file_path", "start_line", "end_line", "type", "length", "segment_hash")
 
 
 _EXTENSIONS = [".py", ".md", ".sql", ".swift", ".ts", ".markdown", ".txt", ".m"]
@@ -278,10 +372,14 @@ def format_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "orders").select(k, T.format_points(n).alias("label"))
 
 
-@query("SELECT doc_id, CASE WHEN length(s) <= 8 THEN repeat('•', 8) ELSE left(s, 4) || '…' || right(s, 4) END AS masked FROM (SELECT doc_id, left(text, (doc_id % 20)::INT) AS s FROM documents)")
+def _masked_sql(c: str) -> str:
+    return f"CASE WHEN length({c}) <= 8 THEN repeat('•', 8) ELSE left({c}, 4) || '…' || right({c}, 4) END"
+
+
+@query(f"SELECT doc_id, {_masked_sql('text')} AS masked, {_masked_sql('source')} AS masked_source FROM documents")
 def mask_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.table(spark, sf_dir, "documents").withColumn("s", F.expr("left(text, cast(doc_id % 20 as int))"))
-    return d.select("doc_id", T.mask_secret(F.col("s")).alias("masked"))
+    d = B.table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.mask_secret(F.col("text")).alias("masked"), T.mask_secret(F.col("source")).alias("masked_source"))
 
 
 _TERMS = f"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({_in(T.STOP_WORDS)})))"
@@ -338,6 +436,22 @@ def static_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.hashed_dimensions(B.table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query(
+    """WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents),
+i AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 6))::BIGINT % 1000 AS vec_id, count(*) AS k FROM t WHERE term <> '' GROUP BY ALL),
+x AS (SELECT doc_id, dim, sum(k * e) / sum(k) AS m FROM i JOIN (SELECT vec_id, unnest(range(0, len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS e FROM embeddings) USING (vec_id) GROUP BY ALL)
+SELECT doc_id, dim, weight FROM (SELECT doc_id, dim, round(m / sqrt(sum(m * m) OVER (PARTITION BY doc_id)), 6) AS weight FROM x) WHERE weight <> 0"""
+)
+def mean_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by a table of token vectors, which knows some of the terms."""
+    terms = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != "")
+    number = lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long") % 1000
+    tokens = B.table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.transform(terms, number)).alias("token"))
+    known = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
+    found = embed.mean_vectors(tokens, "doc_id", known, len(B.query_vector(spark, sf_dir)))
+    return found.select("doc_id", F.posexplode("vector").alias("dim", "weight")).withColumn("weight", F.round("weight", 6)).where("weight <> 0")
+
+
 @query(
     """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS m FROM embeddings)
 SELECT vec_id, round(CASE WHEN m > 0 THEN m / 127 ELSE 1 END, 9) AS scale, list_transform(e, lambda x: greatest(-127, least(127, floor(x / CASE WHEN m > 0 THEN m / 127 ELSE 1 END + 0.5)))::INT) AS codes FROM s"""
@@ -634,13 +748,13 @@ def metrics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(typed)
 
 
-_COMMITS = """SELECT conv_id * 1000 + turn AS seq, CASE WHEN conv_id % 9 = 0 THEN 'Merge ' || left(text, 60) ELSE left(text, 60) END AS subject, CASE WHEN turn % 5 = 4 THEN ['a', 'b'] ELSE ['src/' || role || '_' || (conv_id % 7) || '.py'] END AS files FROM conversations"""
+_COMMITS = """SELECT conv_id * 1000 + turn AS seq, CASE WHEN conv_id % 9 = 0 THEN 'Merge ' || text ELSE text END AS subject, CASE WHEN turn % 5 = 4 THEN ['a', 'b'] ELSE ['src/' || role || '_' || (conv_id % 7) || '.py'] END AS files FROM conversations"""
 _COMMIT_WORDS = f"list_filter(regexp_split_to_array(lower({{0}}), '[^a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({_in(T.COMMIT_STOP_WORDS)}))"
 
 
 def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.table(spark, sf_dir, "conversations")
-    subject = F.substring("text", 1, 60)
+    subject = F.col("text")
     one = F.array(F.concat(F.lit("src/"), "role", F.lit("_"), (F.col("conv_id") % 7).cast("string"), F.lit(".py")))
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
@@ -657,25 +771,26 @@ def commit_query_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.commit_queries(_commits(spark, sf_dir))
 
 
-def _classify_sql(query: str) -> str:
-    return f"""SELECT doc_id, CASE WHEN len(list_filter({_COMMIT_WORDS.format(query)}, lambda w: len(list_filter(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda p: length(p) >= 4), lambda p: starts_with(p, w) OR starts_with(w, p))) > 0)) > 0 THEN 'identifier' ELSE 'concept' END AS type
+@query(
+    f"""SELECT doc_id, CASE WHEN len(list_filter({_COMMIT_WORDS.format("text")}, lambda w: len(list_filter(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda p: length(p) >= 4), lambda p: starts_with(p, w) OR starts_with(w, p))) > 0)) > 0 THEN 'identifier' ELSE 'concept' END AS type
 FROM (SELECT doc_id, text, ['there', 'tion', 'under', 'quest'][doc_id % 4 + 1] || '_' || doc_id || '.py' AS name FROM documents)"""
-
-
-def _classified(spark: SparkSession, sf_dir: str, query: Column) -> DataFrame:
-    name = F.concat(F.get(F.array(*map(F.lit, ("there", "tion", "under", "quest"))), (F.col("doc_id") % 4).cast("int")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".py"))
-    return B.table(spark, sf_dir, "documents").select("doc_id", evaluate.query_type(query, F.concat(F.lit("pkg/"), name)).alias("type"))
-
-
-@query(_classify_sql("left(text, 200)"))
+)
 def query_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir, F.substring("text", 1, 200))
+    name = F.concat(F.get(F.array(*map(F.lit, ("there", "tion", "under", "quest"))), (F.col("doc_id") % 4).cast("int")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return B.table(spark, sf_dir, "documents").select("doc_id", evaluate.query_type(F.col("text"), F.concat(F.lit("pkg/"), name)).alias("type"))
 
 
-@query(_classify_sql("text"))
-def query_classify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_classify over whole texts: a word counts wherever it is."""
-    return _classified(spark, sf_dir, F.col("text"))
+@query(
+    f"""WITH s AS (SELECT source AS strategy, lang AS type, count(*) AS n, round(avg((doc_id % 3 = 0)::INT), 6) AS hit, round(avg(1.0::DOUBLE / (1 + doc_id % 7)), 6) AS rr FROM documents GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY hit DESC, rr DESC, strategy)::INT AS place, round(hit - lead(hit) OVER (PARTITION BY type ORDER BY hit DESC, rr DESC, strategy), 6) AS ahead FROM s WHERE n >= 10)
+SELECT strategy, type, n, hit, rr, place, CASE place WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' END AS medal,
+  CASE WHEN place = 1 THEN CASE WHEN ahead >= {evaluate.LARGE_LEAD} THEN 'clear' WHEN ahead >= {evaluate.LEAD} THEN 'ahead' ELSE 'level' END END AS lead, CASE WHEN hit >= {evaluate.GOOD} THEN 'good' WHEN hit < {evaluate.POOR} THEN 'poor' ELSE 'fair' END AS grade FROM r"""
+)
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.table(spark, sf_dir, "documents")
+    hit, rr = F.avg((F.col("doc_id") % 3 == 0).cast("int")), F.avg(1.0 / (1 + F.col("doc_id") % 7))
+    measured = d.groupBy(F.col("source").alias("strategy"), F.col("lang").alias("type")).agg(F.count("*").alias("n"), F.round(hit, 6).alias("hit"), F.round(rr, 6).alias("rr"))
+    return evaluate.findings(measured)
 
 
 @query(f"SELECT * FROM (SELECT lang AS language, count(*) AS n_files, sum(len(string_split(content, chr(10))))::BIGINT AS n_lines, row_number() OVER (ORDER BY count(*) DESC, lang)::INT AS rank FROM ({FILES}) GROUP BY lang) WHERE rank <= 3")

@@ -11,7 +11,6 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 
@@ -183,16 +182,20 @@ def route(path: Column, has_text: Column) -> Column:
 
 def sections(files: DataFrame) -> DataFrame:
     """Markdown sections in relational form: (rel_path, start_line, end_line, level), level 0 for
-    what comes before the first heading."""
-    rows = files.select("rel_path", F.posexplode(F.split("content", "\n", -1)).alias("row", "line"))
-    by_file = Window.partitionBy("rel_path").orderBy("row")
-    seen = rows.withColumn("prior", F.lag("line").over(by_file))
-    titled = F.coalesce(F.col("prior").rlike(r"^\s*[^#<>!\[\]`\t]+[^\n]$"), F.lit(False))
-    atx = F.col("line").rlike(r"^#{1,6}\s+.+$")
-    level = F.when(atx, F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))).when(titled & F.col("line").rlike(r"^={3,}\s*$"), 1).when(titled & F.col("line").rlike(r"^-{3,}\s*$"), 2)
-    heads = seen.withColumn("level", level).where("level is not null").select("rel_path", F.when(F.col("line").rlike(r"^#{1,6}\s+.+$"), F.col("row")).otherwise(F.col("row") - 1).alias("row"), "level")
-    sized = files.select("rel_path", F.size(F.split("content", "\n", -1)).alias("n"))
-    starts = heads.unionByName(sized.select("rel_path", F.lit(0).alias("row"), F.lit(0).alias("level")))
-    nth = starts.groupBy("rel_path", "row").agg(F.max("level").alias("level")).join(sized, "rel_path")
-    following = F.lead("row").over(Window.partitionBy("rel_path").orderBy("row"))
-    return nth.select("rel_path", (F.col("row") + 1).alias("start_line"), F.coalesce(following, F.col("n")).alias("end_line"), "level")
+    what comes before the first heading.  Each file is one row until its sections are, so nothing
+    is shuffled; null contents have none."""
+
+    def head(line: Column, i: Column) -> Column:
+        atx = line.rlike(r"^#{1,6}\s+.+$")
+        titled = F.coalesce(F.get("lines", i - 1).rlike(r"^\s*[^#<>!\[\]`\t]+[^\n]$"), F.lit(False))
+        level = F.when(atx, F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))).when(titled & line.rlike(r"^={3,}\s*$"), 1).when(titled & line.rlike(r"^-{3,}\s*$"), 2)
+        return F.struct(F.when(atx, i).otherwise(i - 1).alias("row"), level.alias("level"))
+
+    lined = files.where("content is not null").select("rel_path", F.split("content", "\n", -1).alias("lines"))
+    headed = lined.select("rel_path", F.size("lines").alias("n"), F.filter(F.transform("lines", head), lambda h: h["level"].isNotNull()).alias("heads"))
+    first = F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("level")))
+    starts = F.when(F.exists("heads", lambda h: h["row"] == 0), F.col("heads")).otherwise(F.concat(first, F.col("heads")))
+    placed = headed.select("rel_path", "n", starts.alias("starts"))
+    following = lambda k: F.coalesce(F.get("starts", k + 1)["row"], F.col("n"))
+    found = F.transform("starts", lambda s, k: F.struct((s["row"] + 1).alias("start_line"), following(k).alias("end_line"), s["level"].alias("level")))
+    return placed.select("rel_path", F.inline(found))

@@ -120,9 +120,11 @@ def hashed_vector(text: Column, dim: int = DIM) -> Column:
             F.when(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s"),
         ),
     )
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(placed, F.lit(0.0), lambda a, x: a + F.when(x["d"] == d, x["s"]).otherwise(0.0)))
+    let = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  a value that is used often is made once
+    sums = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x["d"] == d, x["s"]).otherwise(0.0)))
     length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(F.array(sums), lambda v: F.when(length(v) > 0, F.transform(v, lambda x: (x / length(v)).cast("float"))))[0]
+    unit = lambda v: let(F.struct(v.alias("v"), length(v).alias("l")), lambda w: F.when(w["l"] > 0, F.transform(w["v"], lambda x: (x / w["l"]).cast("float"))))
+    return let(placed, lambda p: let(sums(p), unit))
 
 
 def embedder(embed: Callable[[list[str]], list[list[float]]], max_items: int = MAX_ITEMS, max_tokens: int = MAX_TOKENS):

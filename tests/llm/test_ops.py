@@ -612,11 +612,38 @@ def test_lookup_table():
         sharding.lookup_table(names, 1000)
 
 
+def plain_table(names, slots):
+    """Each shard's whole order of preference, of which shards in turn take the first that nobody has."""
+    orders = []
+    for name in names:
+        h = int(hashlib.md5(name.encode()).hexdigest(), 16)
+        start, step = (h >> 64) % slots, h % 2**64 % (slots - 1) + 1
+        orders.append(iter([(start + k * step) % slots for k in range(slots)]))
+    owner = {}
+    for turn in range(slots):
+        mine = turn % len(names)
+        owner[next(x for x in orders[mine] if x not in owner)] = mine
+    return [owner[x] for x in range(slots)]
+
+
+@pytest.mark.parametrize(("n", "slots"), [(1, 2), (3, 7), (7, 7), (13, 1009)])
+def test_lookup_table_is_filled_by_turns(n, slots):
+    names = [f"s{k}" for k in range(n)]
+    assert sharding.lookup_table(names, slots) == plain_table(names, slots)
+
+
+def test_shards_of_all_documents(spark, sf):
+    table = plain_table([f"shard-{i:05d}" for i in range(sharding.SHARDS)], sharding.SLOTS)
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+    slots = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % sharding.SLOTS for i in ids}
+    got = [(r["doc_id"], r["shard"]) for r in queries.op9_shard(spark, sf).collect()]
+    assert sorted(got) == sorted((i, table[slots[i]]) for i in ids)
+
+
 def test_placement(spark, awkward, empty, tmp_path):
     from pyspark.sql import functions as F
 
-    names = [f"shard-{i:05d}" for i in range(sharding.SHARDS)]
-    table = sharding.lookup_table(names)
+    table = plain_table([f"shard-{i:05d}" for i in range(sharding.SHARDS)], sharding.SLOTS)
     got = sharding.place(awkward, F.col("doc_id")).collect()
     for r in got:
         key = "" if r["doc_id"] is None else str(r["doc_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact, jaccard, lm, mixing, packing, quality, secrets, sharding, tokens
+from tessera.llm import chat, exact, jaccard, lm, merkle, mixing, packing, quality, secrets, sharding, tokens
 from tessera.llm.common import documents
 
 
@@ -49,6 +49,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokens.tokenizer_path("word_bpe_49k.json"), end_id=0)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_file": op1_token_file,
     "op2_quality_rules": op2_quality_rules,
@@ -60,6 +64,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_shard": op9_shard,
     "op10_pack": op10_pack,
+    "op11_merkle": op11_merkle,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -137,10 +142,38 @@ k AS (SELECT doc_id, source, sum(size)::BIGINT AS taken FROM q WHERE c <= (SELEC
 SELECT r.doc_id, r.size, r.source_size, r.target, coalesce(k.taken, 0)::BIGINT AS taken
 FROM r LEFT JOIN k ON r.doc_id IS NOT DISTINCT FROM k.doc_id AND r.source IS NOT DISTINCT FROM k.source"""
 
+_PART = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_CRC_BIT = "list_reduce([{0}] || range(0, 8), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))"
+_CRC = "list_reduce([4294967295] || list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])), lambda c, b: " + _CRC_BIT.format("xor(c, b)") + ")"
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, {_LEAF.format(text="text")} AS leaf, coalesce('1' || source, '0') AS tree,
+    CASE WHEN xor({_CRC}, 4294967295) % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} END AS copied FROM documents),
+r AS (SELECT doc_id, tree, leaf, coalesce(copied, leaf) AS copied, row_number() OVER () AS rid, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+n AS (SELECT 0 AS level, tree, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS c FROM r UNION ALL
+    SELECT level + 1, tree, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (c + 2) // 3 FROM n WHERE c > 1 GROUP BY level, tree, pos // 3, c),
+s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM n WHERE c = 1),
+t AS (SELECT 0 AS level, pos, subroot AS h, count(*) OVER () AS c FROM s UNION ALL
+    SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (c + 2) // 3 FROM t WHERE c > 1 GROUP BY level, pos // 3, c),
+a AS (SELECT tree, level, pos, h, c FROM n UNION ALL SELECT '', level, pos, h, c FROM t),
+b AS (SELECT tree, level, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lefts,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rights FROM a WHERE c > 1 WINDOW w AS (PARTITION BY tree, level, pos // 3 ORDER BY pos)),
+p AS (SELECT rid, level AS step, lefts, rights FROM r JOIN b ON b.tree = r.tree AND b.pos = r.pos // pow(3, level)::BIGINT UNION ALL
+    SELECT rid, 1000 + level, lefts, rights FROM r JOIN s USING (tree) JOIN b ON b.tree = '' AND b.pos = s.pos // pow(3, level)::BIGINT),
+k AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY step) AS k FROM p),
+f AS (SELECT rid, 0 AS k, copied AS node FROM r UNION ALL SELECT f.rid, f.k + 1, sha256(lefts || node || rights) FROM f JOIN k ON k.rid = f.rid AND k.k = f.k + 1),
+e AS (SELECT rid, arg_max(node, k) AS folded_root FROM f GROUP BY rid),
+q AS (SELECT rid, sha256(string_agg(lefts || rights, '' ORDER BY k)) AS proof FROM k GROUP BY rid),
+z AS (SELECT h AS root FROM t WHERE c = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM r JOIN s USING (tree) JOIN e USING (rid) LEFT JOIN q USING (rid), z"""
+
 SQL = {
     "op2_quality_rules": _QUALITY_SQL,
     "op3_exact_dedup": _EXACT_SQL,
     "op4_chat_format": _CHAT_SQL,
     "op5_secret_scan": _secrets_sql(),
     "op6_mix_sources": _MIX_SQL,
+    "op11_merkle": _MERKLE_SQL,
 }

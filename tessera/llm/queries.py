@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact, jaccard, lm, merkle, mixing, packing, quality, secrets, sharding, tokens
+from tessera.llm import chat, exact, jaccard, lm, merkle, mixing, neardup, packing, quality, secrets, sharding, tokens
 from tessera.llm.common import documents
 
 
@@ -53,6 +53,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(documents(spark, sf_dir))
 
 
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_token_file": op1_token_file,
     "op2_quality_rules": op2_quality_rules,
@@ -65,6 +69,7 @@ QUERIES = {
     "op9_shard": op9_shard,
     "op10_pack": op10_pack,
     "op11_merkle": op11_merkle,
+    "op12_near_vectors": op12_near_vectors,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -169,6 +174,17 @@ z AS (SELECT h AS root FROM t WHERE c = 1)
 SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM r JOIN s USING (tree) JOIN e USING (rid) LEFT JOIN q USING (rid), z"""
 
+#: All pairs: what the index finds where it misses nothing, as on tables of one cell.
+_NEAR_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, row_number() OVER () AS rid, embedding::DOUBLE[] AS v FROM embeddings),
+g AS (SELECT * FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.rid AS a, b.rid AS b FROM g a JOIN g b ON a.rid <> b.rid AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, CASE WHEN len(a.v) = len(b.v) THEN b.v ELSE a.v END) >= 0.9),
+r AS (SELECT rid AS a, rid AS b FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a, min(e.vec_id) AS component_id FROM r JOIN e ON e.rid = r.b GROUP BY r.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN c ON c.a = e.rid LEFT JOIN n ON n.a = e.rid"""
+
 SQL = {
     "op2_quality_rules": _QUALITY_SQL,
     "op3_exact_dedup": _EXACT_SQL,
@@ -176,4 +192,5 @@ SQL = {
     "op5_secret_scan": _secrets_sql(),
     "op6_mix_sources": _MIX_SQL,
     "op11_merkle": _MERKLE_SQL,
+    "op12_near_vectors": _NEAR_SQL,
 }

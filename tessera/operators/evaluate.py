@@ -2,69 +2,52 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
+from tessera.operators.postings import BETWEEN, Postings, term_hits
 
 #: Fixed values.
 RRF, MOST_CHARS, PER_FILE, QUERIES = 60, 2_000_000, 3, 40
 NOISE = r"(?i)^(merge|bump|release|wip|initial commit|revert|update deps|dependabot|chore\(deps\))"
-#: Phrases of one automaton.
-PHRASES = 100_000
+#: Least letters of a part of a file's name.
+LEAST_PART = 4
 SKIPPED = r"(?i)(\.lock$|\.map$|(^|/)package-lock\.json$)"
 
 
-def found_in(texts: DataFrame, phrases: DataFrame, cap: int | None = None) -> DataFrame:
-    """(rel_path, phrase, n): how often each text (rel_path, low) holds each distinct phrase, without
-    overlaps and up to ``cap``; not at all gives no row, and empty or null phrases none.
-
-    The phrases are a stated query set: they go to the workers in blocks of PHRASES, each an
-    automaton that reads a text once, however many phrases there are."""
-    wanted = [r[0] for r in phrases.where("phrase <> ''").distinct().orderBy("phrase").toLocalIterator()]
-
-    def search(batches):
-        import ahocorasick
-
-        machines = []
-        for k in range(0, len(wanted), PHRASES):
-            machines.append(ahocorasick.Automaton())
-            for phrase in wanted[k : k + PHRASES]:
-                machines[-1].add_word(phrase, phrase)
-            machines[-1].make_automaton()
-        for batch in batches:
-            rows = []
-            for path, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for machine in machines:
-                    seen = dict.fromkeys(phrase for _, phrase in machine.iter(low)) if low else ()
-                    rows += [(path, phrase, low.count(phrase)) for phrase in seen]
-            if rows:
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["rel_path", "phrase", "n"])
-
-    found = texts.select("rel_path", "low").mapInArrow(search, "rel_path string, phrase string, n int")
-    return found if cap is None else found.withColumn("n", F.least("n", F.lit(cap)))
-
-
-def keyword_ranked(queries: DataFrame, files: DataFrame, k: int) -> DataFrame:
-    """(query_id, rel_path, n_terms, n_hits, rank): files by distinct terms, then hits, then path."""
-    asked = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("phrase"))
-    texts = files.where(~F.col("rel_path").rlike(SKIPPED) & (F.length("content") <= MOST_CHARS)).select("rel_path", F.lower("content").alias("low"))
-    counted = found_in(texts, asked.select("phrase"), T.TERM_CAP).join(asked, "phrase").groupBy("query_id", "rel_path").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_hits"))
+def unranked(files: DataFrame) -> DataFrame:
+    """Paths (rel_path) that the keyword ranker leaves out: lock files, maps, and files too long."""
+    return files.where(F.col("rel_path").rlike(SKIPPED) | (F.length("content") > MOST_CHARS)).select("rel_path")
+
+
+def keyword_ranked(queries: DataFrame, files: DataFrame, index: Postings, k: int) -> DataFrame:
+    """(query_id, rel_path, n_terms, n_hits, rank): ``files`` by distinct terms of the query, then
+    hits, then path; ``index`` is that of all files."""
+    asked = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
+    hits = term_hits(index, asked, T.TERM_CAP).join(unranked(files), "rel_path", "left_anti")
+    counted = hits.join(asked, "term").groupBy("query_id", "rel_path").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_hits"))
     order = Window.partitionBy("query_id").orderBy(F.col("n_terms").desc(), F.col("n_hits").desc(), "rel_path")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _begun(word: Column, least: int) -> Column:
+    """The beginnings of a word, from ``least`` characters to all."""
+    return F.when(F.length(word) >= least, F.transform(F.sequence(F.lit(least), F.length(word)), lambda n: F.substring(word, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+
+
 def name_ranked(queries: DataFrame, files: DataFrame, k: int) -> DataFrame:
-    """(query_id, rel_path, rank): files whose name parts begin a term of the query, or the reverse."""
-    terms = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
-    parts = files.select("rel_path", F.explode(F.array_distinct(F.filter(F.split(F.lower("rel_path"), "[^a-z0-9]+"), lambda p: F.length(p) >= 4))).alias("part"))
-    # Either begins the other, so they share their first three letters at least.
-    met = terms.withColumn("head", F.substring("term", 1, 3)).join(parts.withColumn("head", F.substring("part", 1, 3)), "head")
-    met = met.where(F.startswith(F.col("part"), F.col("term")) | F.startswith(F.col("term"), F.col("part")))
-    counted = met.groupBy("query_id", "rel_path").agg(F.countDistinct("term").alias("n"))
+    """(query_id, rel_path, rank): files whose name parts begin a term of the query, or the reverse.
+
+    Both are equal joins: a term with the beginnings of the distinct parts, and a part with those of
+    the distinct terms, so words meet only where one does begin the other."""
+    asked = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
+    named = files.select("rel_path", F.explode(F.array_distinct(F.filter(F.split(F.lower("rel_path"), BETWEEN), lambda p: F.length(p) >= LEAST_PART))).alias("part"))
+    terms, parts = asked.select("term").distinct(), named.select("part").distinct()
+    met = parts.select("part", F.explode(_begun(F.col("part"), T.LEAST_TERM)).alias("term")).join(terms, "term").select("term", "part")
+    met = met.unionByName(terms.select("term", F.explode(_begun(F.col("term"), LEAST_PART)).alias("part")).join(parts, "part").select("term", "part"))
+    counted = asked.join(met.distinct(), "term").join(named, "part").groupBy("query_id", "rel_path").agg(F.countDistinct("term").alias("n"))
     order = Window.partitionBy("query_id").orderBy(F.col("n").desc(), "rel_path")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rel_path", "rank")
 
@@ -120,7 +103,7 @@ def commit_queries(commits: DataFrame, per_file: int = PER_FILE, most: int = QUE
 
 def query_type(query: Column, path: Column) -> Column:
     """identifier if a content word and a part of the file's name, of four letters or more, begin alike."""
-    parts = F.filter(F.split(F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1)), "[^a-z0-9]+"), lambda p: F.length(p) >= 4)
+    parts = F.filter(F.split(F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1)), "[^a-z0-9]+"), lambda p: F.length(p) >= LEAST_PART)
     named = F.exists(T.content_words(query), lambda w: F.exists(parts, lambda p: F.startswith(p, w) | F.startswith(w, p)))
     return F.when(named, "identifier").otherwise("concept")
 

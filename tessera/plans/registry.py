@@ -10,10 +10,10 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import chunk, embed, evaluate, refresh, search, status, syntax
+from tessera.operators import chunk, embed, evaluate, postings, refresh, search, status, syntax
 from tessera.plans import tables as B
 from tessera.plans.tables import EXPECTED, FILES, MANIFEST, POINTS
-from tessera.sources import catalog, scan, store
+from tessera.sources import catalog, scan, shared, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -679,8 +679,14 @@ m AS (SELECT query_id, rel_path, count(*) AS n_terms, sum(least(20, ((length(low
 kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_terms DESC, n_hits DESC, rel_path)::INT AS rank FROM m) WHERE rank <= 10)"""
 
 
-def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.keyword_ranked(B.queries(spark, sf_dir), B.files(spark, sf_dir), 10)
+def _index(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    return postings.build(B.files(spark, sf_dir))
+
+
+def _keyword(spark: SparkSession, sf_dir: str, index: postings.Postings | None = None) -> DataFrame:
+    """The keyword ranking, written once for all that reads it."""
+    ranked = evaluate.keyword_ranked(B.queries(spark, sf_dir), B.files(spark, sf_dir), index or _index(spark, sf_dir), 10)
+    return shared.written(ranked, shared.fresh(spark, "keyword-ranking"))
 
 
 @query(f"WITH {_KEYWORD} SELECT * FROM kw")
@@ -706,9 +712,9 @@ _FUSED = f"""{_KEYWORD}, {_NAMES}, fu AS (SELECT * FROM (SELECT query_id, rel_pa
   FROM (SELECT query_id, rel_path, rank FROM kw UNION ALL SELECT query_id, rel_path, rank FROM nm) GROUP BY query_id, rel_path) WHERE rank <= 10)"""
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fused(spark: SparkSession, sf_dir: str, index: postings.Postings | None = None) -> DataFrame:
     names = evaluate.name_ranked(B.queries(spark, sf_dir), B.files(spark, sf_dir), 10)
-    return evaluate.fused(_keyword(spark, sf_dir).select("query_id", "rel_path", "rank").unionByName(names), 10)
+    return evaluate.fused(_keyword(spark, sf_dir, index).select("query_id", "rel_path", "rank").unionByName(names), 10)
 
 
 @query(f"WITH {_FUSED} SELECT * FROM fu")
@@ -722,20 +728,25 @@ def _measured(ranked: str) -> str:
   FROM ex LEFT JOIN {ranked} USING (query_id, rel_path) GROUP BY query_id)"""
 
 
+def _metrics(spark: SparkSession, sf_dir: str, ranking: Callable[..., DataFrame]) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return evaluate.metrics(ranking(spark, sf_dir, index), B.expected(spark, sf_dir, index), 10)
+
+
 @query(f"WITH {_KEYWORD}, {_measured('kw')} SELECT query_id, hit, recall FROM me")
 def hit_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.metrics(_keyword(spark, sf_dir), B.expected(spark, sf_dir), 10).select("query_id", "hit", "recall")
+    return _metrics(spark, sf_dir, _keyword).select("query_id", "hit", "recall")
 
 
 @query(f"WITH {_KEYWORD}, {_measured('kw')} SELECT round(avg(rr), 6) AS mrr, count(*) AS n FROM me")
 def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = evaluate.metrics(_keyword(spark, sf_dir), B.expected(spark, sf_dir), 10)
+    m = _metrics(spark, sf_dir, _keyword)
     return m.agg(F.round(F.avg("rr"), 6).alias("mrr"), F.count("*").alias("n"))
 
 
 @query(f"WITH {_FUSED}, {_measured('fu')} SELECT query_id, ndcg FROM me")
 def ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.metrics(_fused(spark, sf_dir), B.expected(spark, sf_dir), 10).select("query_id", "ndcg")
+    return _metrics(spark, sf_dir, _fused).select("query_id", "ndcg")
 
 
 @query(
@@ -743,7 +754,7 @@ def ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT *, CASE WHEN query_id % 3 = 0 THEN 'identifier' ELSE 'concept' END AS type FROM me) GROUP BY GROUPING SETS ((), (type))"""
 )
 def metrics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = evaluate.metrics(_keyword(spark, sf_dir), B.expected(spark, sf_dir), 10)
+    m = _metrics(spark, sf_dir, _keyword)
     typed = m.withColumns({"strategy": F.lit("keyword"), "type": F.when(F.col("query_id") % 3 == 0, "identifier").otherwise("concept")})
     return evaluate.summary(typed)
 

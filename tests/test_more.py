@@ -182,10 +182,7 @@ def test_upsert_moves_a_point(spark, engine):
     assert sorted(r["file_path"] for r in engine.store.points().collect()) == ["b.py", "c.py"]
 
 
-def test_dimensions_and_phrases(spark):
+def test_dimensions(spark):
     assert refresh.probed_dimension(None, None, "p", "m", 8) == 8
     assert refresh.probed_dimension(None, {"provider": "p", "model": "m", "dimension": "16"}, "p", "m") == 16
     assert refresh.probed_dimension(lambda texts: [[0.0] * 3], {"provider": "q", "model": "m", "dimension": 16}, "p", "m") == 3
-    texts = spark.createDataFrame([("a", "aaaa ab"), ("b", None), ("c", "")], "rel_path string, low string")
-    phrases = spark.createDataFrame([("aa",), ("a",), ("",), (None,), ("aa",)], "phrase string")
-    assert sorted((r["rel_path"], r["phrase"], r["n"]) for r in evaluate.found_in(texts, phrases).collect()) == [("a", "a", 5), ("a", "aa", 2)]

@@ -211,7 +211,7 @@ def delete_by_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = f"""f AS (SELECT rel_path, string_split(content, chr(10)) AS ln FROM ({FILES})),
 g AS (SELECT *, len(ln) AS n, list_transform(ln, lambda x, j: length(x) + CASE WHEN j < len(ln) THEN 1 ELSE 0 END) AS s FROM f),
 h AS (SELECT *, list_transform(range(0, n + 1), lambda j: coalesce(list_sum(s[1:j]), 0)::BIGINT) AS b FROM g)"""
-_CHUNKS = f"""{_LINES},
+CHUNKS_SQL = f"""{_LINES},
 r AS (SELECT rel_path, 0::BIGINT AS i, 0::BIGINT AS label, 0::BIGINT AS held, -1::BIGINT AS es, -1::BIGINT AS ee, -1::BIGINT AS fs, -1::BIGINT AS fe FROM h
 UNION ALL SELECT rel_path, i + 1, CASE kind WHEN 1 THEN i + 1 WHEN 2 THEN last + 1 ELSE label END, CASE kind WHEN 1 THEN i + 1 WHEN 2 THEN i ELSE held END,
   CASE WHEN kind > 0 AND have >= 50 AND held < i THEN label ELSE -1 END, CASE kind WHEN 2 THEN last ELSE i - 1 END, held, i - 1
@@ -230,7 +230,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_files(B.files(spark, sf_dir).select("rel_path", "content"))
 
 
-@query(f"WITH RECURSIVE {_CHUNKS} SELECT DISTINCT file_path, start_line, end_line, type, length, segment_hash FROM k")
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT DISTINCT file_path, start_line, end_line, type, length, segment_hash FROM k")
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("file_path", "start_line", "end_line", "type", "length", "segment_hash")
 
@@ -708,7 +708,7 @@ def file_rank_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = f"""nm AS (SELECT * FROM (SELECT query_id, rel_path, row_number() OVER (PARTITION BY query_id ORDER BY count(DISTINCT term) DESC, rel_path)::INT AS rank FROM
   (SELECT DISTINCT query_id, term, rel_path FROM q JOIN (SELECT rel_path, unnest(list_filter(regexp_split_to_array(lower(rel_path), '[^a-z0-9]+'), lambda p: length(p) >= 4)) AS part FROM ({FILES})) ON starts_with(part, term) OR starts_with(term, part)) GROUP BY query_id, rel_path) WHERE rank <= 10)"""
-_FUSED = f"""{_KEYWORD}, {_NAMES}, fu AS (SELECT * FROM (SELECT query_id, rel_path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, rel_path)::INT AS rank
+FUSED_SQL = f"""{_KEYWORD}, {_NAMES}, fu AS (SELECT * FROM (SELECT query_id, rel_path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, rel_path)::INT AS rank
   FROM (SELECT query_id, rel_path, rank FROM kw UNION ALL SELECT query_id, rel_path, rank FROM nm) GROUP BY query_id, rel_path) WHERE rank <= 10)"""
 
 
@@ -717,13 +717,14 @@ def _fused(spark: SparkSession, sf_dir: str, index: postings.Postings | None = N
     return evaluate.fused(_keyword(spark, sf_dir, index).select("query_id", "rel_path", "rank").unionByName(names), 10)
 
 
-@query(f"WITH {_FUSED} SELECT * FROM fu")
+@query(f"WITH {FUSED_SQL} SELECT * FROM fu")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir)
 
 
-def _measured(ranked: str) -> str:
-    return f"""ex AS ({EXPECTED}), me AS (SELECT query_id, (count(*) FILTER (rank <= 10) > 0)::INT AS hit, round(count(*) FILTER (rank <= 10) / count(*), 9) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 9) AS rr,
+def measured_sql(ranked: str, name: str = "me", expected: bool = True) -> str:
+    """Tables of SQL: ``name`` with the measures of a ranking, after ``ex`` with the right files."""
+    return f"""{f"ex AS ({EXPECTED}), " if expected else ""}{name} AS (SELECT query_id, (count(*) FILTER (rank <= 10) > 0)::INT AS hit, round(count(*) FILTER (rank <= 10) / count(*), 9) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 9) AS rr,
   round(coalesce(sum(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / log2(rank + 1.0::DOUBLE) END), 0) / list_sum(list_transform(range(1, least(10, count(*)) + 1), lambda i: 1.0::DOUBLE / log2(i + 1.0::DOUBLE))), 9) AS ndcg
   FROM ex LEFT JOIN {ranked} USING (query_id, rel_path) GROUP BY query_id)"""
 
@@ -733,24 +734,24 @@ def _metrics(spark: SparkSession, sf_dir: str, ranking: Callable[..., DataFrame]
     return evaluate.metrics(ranking(spark, sf_dir, index), B.expected(spark, sf_dir, index), 10)
 
 
-@query(f"WITH {_KEYWORD}, {_measured('kw')} SELECT query_id, hit, recall FROM me")
+@query(f"WITH {_KEYWORD}, {measured_sql('kw')} SELECT query_id, hit, recall FROM me")
 def hit_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir, _keyword).select("query_id", "hit", "recall")
 
 
-@query(f"WITH {_KEYWORD}, {_measured('kw')} SELECT round(avg(rr), 6) AS mrr, count(*) AS n FROM me")
+@query(f"WITH {_KEYWORD}, {measured_sql('kw')} SELECT round(avg(rr), 6) AS mrr, count(*) AS n FROM me")
 def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _metrics(spark, sf_dir, _keyword)
     return m.agg(F.round(F.avg("rr"), 6).alias("mrr"), F.count("*").alias("n"))
 
 
-@query(f"WITH {_FUSED}, {_measured('fu')} SELECT query_id, ndcg FROM me")
+@query(f"WITH {FUSED_SQL}, {measured_sql('fu')} SELECT query_id, ndcg FROM me")
 def ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir, _fused).select("query_id", "ndcg")
 
 
 @query(
-    f"""WITH {_KEYWORD}, {_measured('kw')} SELECT 'keyword' AS strategy, type, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg
+    f"""WITH {_KEYWORD}, {measured_sql('kw')} SELECT 'keyword' AS strategy, type, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg
 FROM (SELECT *, CASE WHEN query_id % 3 = 0 THEN 'identifier' ELSE 'concept' END AS type FROM me) GROUP BY GROUPING SETS ((), (type))"""
 )
 def metrics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

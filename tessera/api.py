@@ -48,40 +48,64 @@ class Engine:
         )
         return projected(rows.where("vector is not null"), [x.split()[0] for x in POINTS.split(", ")])
 
-    def build(self, files: DataFrame) -> Report:
-        """Index all ``files`` (rel_path, content, size, mtime_ms) from scratch."""
-        return self._run(files, full=True)
-
-    def refresh(self, files: DataFrame, truncated: bool = False) -> Report:
+    def build(self, files: DataFrame, files_per_commit: int | None = None) -> Report:
+        """Index all ``files`` (rel_path, content, size, mtime_ms) anew, and delete what isn't there any
+        more.  A store that holds vectors of another profile is dropped and made again."""
+        head = self.store.head()
+        if head and refresh.must_rebuild(head["metadata"], self.profile):
+            self.store.recreate(self.profile, self.dimension)
+        return self._run(files, full=True, files_per_commit=files_per_commit)
+
+    def refresh(self, files: DataFrame, truncated: bool = False, files_per_commit: int | None = None) -> Report:
         """Index what changed since the manifest: new and changed files are cleared and inserted
-        anew, deleted ones cleared.  A truncated listing deletes nothing."""
-        return self._run(files, full=False, truncated=truncated)
+        anew, deleted ones cleared.  A truncated listing deletes nothing.  A store that holds vectors
+        of another profile is refused."""
+        return self._run(files, full=False, truncated=truncated, files_per_commit=files_per_commit)
 
-    def _run(self, files: DataFrame, full: bool, truncated: bool = False) -> Report:
+    def _run(self, files: DataFrame, full: bool, truncated: bool = False, files_per_commit: int | None = None) -> Report:
+        """With ``files_per_commit`` a run commits about so many files at a time, each with its part of
+        the manifest, so that one that breaks off is taken up by the next refresh where it was."""
         self.store.ensure(self.profile, self.dimension)
-        manifest = self.store.manifest()
-        full = full or refresh.must_rebuild(self.store.head()["metadata"], self.profile)
+        try:
+            return self._indexed(files, full, truncated, files_per_commit)
+        finally:
+            self.store.clear_scratch()
+
+    def _indexed(self, files: DataFrame, full: bool, truncated: bool, files_per_commit: int | None) -> Report:
         # One evaluation of the listing and the hashes, which all that follows reads.
-        state = self.store.scratch(self._states(files, manifest, truncated))
-        work = state.where("content is not null" + ("" if full else " and state in ('added', 'changed')"))
-        clear = state.where("state <> 'deleted'" if full else "state in ('added', 'changed', 'deleted')").where("content is not null or state = 'deleted'")
-        points = self.store.scratch(self.points_of(work.select("rel_path", "content")))
+        state = self.store.scratch(self._states(files, self.store.manifest(), truncated))
+        gone = state.where("state = 'deleted'").select("rel_path")
+        work = state.where("content is not null and state <> 'deleted'" + ("" if full else " and state in ('added', 'changed')"))
+        made = self.store.scratch(self.points_of(work.select("rel_path", "content")))
+        accepted = self.accepted(made)
+        points = made.join(accepted, ["file_path", "id"], "left_semi")
+        unfinished = refresh.finished_files(made.select("file_path", "id"), accepted).where("not done").select(F.col("file_path").alias("rel_path"))
+        read = state.where("content is not null and state <> 'deleted'")  # unchanged ones too: their sizes and times may be new
+        fresh = read.join(unfinished, "rel_path", "left_anti")
         now = int(time.time() * 1000)
-        whole = refresh.finished_files(points.select("file_path", "id"), self.accepted(points)).where("done").select(F.col("file_path").alias("rel_path"))
-        some = points.select(F.col("file_path").alias("rel_path")).distinct()
-        fresh = state.where("content is not null and state <> 'deleted'").join(some.join(whole, "rel_path", "left_anti"), "rel_path", "left_anti")
         fresh = fresh.select("rel_path", "hash", F.col("size").cast("long"), F.col("mtime_ms").cast("double"), F.lit(now).cast("long").alias("indexed_at"))
-        counts = {r["state"]: r["n"] for r in state.groupBy("state").agg(F.count("*").alias("n")).collect()}
-        unread = state.where("content is null and state in ('added', 'maybe_stale')").count()
-        complete = unread == 0 and some.join(whole, "rel_path", "left_anti").isEmpty()
-        self.store.apply(clear.select("rel_path"), points, fresh, complete=complete)
+        unread = F.count_if(F.col("content").isNull() & F.col("state").isin("added", "maybe_stale"))
+        counts = {r["state"]: r for r in state.groupBy("state").agg(F.count("*").alias("n"), unread.alias("unread")).collect()}
+        n = {name: row["n"] for name, row in counts.items()}
+        missed = sum(row["unread"] for row in counts.values())
+        refused = not unfinished.isEmpty()
+        steps = max(1, -(-work.count() // files_per_commit)) if files_per_commit else 1
+        share = lambda c: F.pmod(F.xxhash64(F.lit("step"), c), F.lit(steps))  # noqa: E731  a file's step
+        for step in range(steps):
+            parts = ((work.select("rel_path"), "rel_path"), (points, "file_path"), (fresh, "rel_path"))
+            part = [df.where(share(c) == step) if steps > 1 else df for df, c in parts]
+            clear = part[0].unionByName(gone) if step == 0 else part[0]
+            self.store.apply(clear, part[1], part[2], complete=step == steps - 1 and not missed and not refused)
         notes = ("the listing was truncated, so no file counts as deleted",) if truncated else ()
-        if not complete:
-            notes += (f"{unread} files couldn't be read",) if unread else ("not all chunks were accepted",)
-        return Report(counts.get("added", 0), counts.get("changed", 0), counts.get("unchanged", 0) + counts.get("maybe_stale", 0), counts.get("deleted", 0), self.store.points().count(), complete, notes)
+        if missed:
+            notes += (f"{missed} files couldn't be read",)
+        if refused:
+            notes += ("not all chunks were accepted",)
+        return Report(n.get("added", 0), n.get("changed", 0), n.get("unchanged", 0) + n.get("maybe_stale", 0), n.get("deleted", 0), self.store.points().count(), not missed and not refused, notes)
 
     def accepted(self, points: DataFrame) -> DataFrame:
-        """Points (file_path, id) that the store takes; a store that refuses some overrides this."""
+        """Points (file_path, id) that the store takes; a store that refuses some overrides this.  The
+        others aren't stored, and their files are tried again by the next refresh."""
         return points.select("file_path", "id")
 
     def _states(self, files: DataFrame, manifest: DataFrame, truncated: bool) -> DataFrame:

@@ -96,10 +96,15 @@ def looks_like_text(content: Column) -> Column:
     return F.instr(F.substring(content, 1, 1024), "\0") == 0
 
 
-def walk(root: str, patterns: list[str] = (), extensions: list[str] | None = None, max_bytes: int = MAX_BYTES, max_files: int | None = None) -> tuple[list[tuple], dict]:
-    """Files under ``root`` and what was skipped.  Folders are pruned before they are entered, links
+#: Files of patterns that are read unless others are named.
+IGNORE_FILES = (".gitignore",)
+
+
+def walk(root: str, patterns: list[str] = (), extensions: list[str] | None = None, max_bytes: int = MAX_BYTES, max_files: int | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES) -> tuple[list[tuple], dict]:
+    """Files under ``root`` and what was skipped.  ``ignore_files`` name files at the root whose lines
+    are patterns, those of later files after those of earlier ones.  Folders are pruned before they are entered, links
     aren't followed, a missing root is empty.  ``truncated`` is set once max_files are found."""
-    rules = [p for p in map(compiled, [*IGNORED_GLOBS, *_own_patterns(root), *patterns]) if p]
+    rules = [p for p in map(compiled, [*IGNORED_GLOBS, *_own_patterns(root, ignore_files), *patterns]) if p]
     counts = {"skipped_ignored": 0, "skipped_too_large": 0, "truncated": False}
 
     def out(path: str, folder: bool) -> bool:
@@ -145,9 +150,9 @@ def walk(root: str, patterns: list[str] = (), extensions: list[str] | None = Non
     return sorted(found), counts
 
 
-def _own_patterns(root: str) -> list[str]:
+def _own_patterns(root: str, names: tuple[str, ...]) -> list[str]:
     lines: list[str] = []
-    for name in (".gitignore",):
+    for name in names:
         try:
             with open(os.path.join(root, name), encoding="utf-8", errors="replace") as f:
                 lines += f.read().splitlines()

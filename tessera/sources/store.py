@@ -98,12 +98,13 @@ class Store:
     A write makes new folders for the buckets that it changes, then renames a new head to the next
     number.  So a write that is interrupted changes nothing, readers see one state or the other,
     and a change costs its buckets, not the index.  Of two writers that begin from one state the
-    second to commit fails, as the file system renames to no name that is there."""
+    second to commit fails where the file system refuses to rename to a name that is there, as HDFS
+    does.  Local disks and object stores may overwrite it, so there a store has one writer at a time."""
 
     BUCKETS = 64
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._scratch = spark, root.rstrip("/"), []
 
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -124,8 +125,8 @@ class Store:
         return self.head() is not None
 
     def _commit(self, parent: dict | None, **changes) -> None:
-        """The head after ``parent``: written beside the heads, then renamed to the next number, which
-        fails if another writer has taken it."""
+        """The head after ``parent``: written beside the heads, then renamed to the next number, unless
+        another writer has taken it."""
         head = (parent or {"number": 0, "metadata": {}, "buckets": {}, "manifest": None}) | changes
         head["number"] += 1
         fs, name = self._fs(), self._path(f"{self.root}/heads/{head['number']:012d}.json")
@@ -202,9 +203,15 @@ class Store:
     def scratch(self, df: DataFrame) -> DataFrame:
         """Write an intermediate table beside the store and read it back, so that it is made once."""
         path = f"{self.root}/scratch-{uuid.uuid4().hex}"
+        self._scratch.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear_scratch(self) -> None:
+        """Delete the intermediate tables that were made through this object."""
+        while self._scratch:
+            self._fs().delete(self._path(self._scratch.pop()), True)
+
     def clean(self, keep: int = 2) -> list[str]:
         """Delete the folders that none of the last ``keep`` heads names, and older heads; what is
         deleted is returned.  Not while another writer or a reader of an older state runs."""

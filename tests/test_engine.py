@@ -124,13 +124,15 @@ def test_scan(spark, tmp_path):
         p.write_text(body)
     (tmp_path / "t" / "link.ts").symlink_to(tmp_path / "t" / "code.ts")
     found, counts = scan.scan(spark, str(tmp_path / "t"))
-    want = {".gitignore", ".github/w.yml", "_x/b.py", "code.ts", "pkg/__init__.py"}
     names = {r["rel_path"] for r in found.collect()}
-    assert names - {"important.log"} == want
+    assert names == {".gitignore", ".github/w.yml", "_x/b.py", "code.ts", "pkg/__init__.py"} | {"important.log"}
     assert counts["skipped_ignored"] >= 4 and not counts["truncated"]
     assert {r["rel_path"] for r in scan.read(found).where("content is not null").collect()} == names
     assert scan.walk(str(tmp_path / "t"), max_files=2)[1]["truncated"]
     assert scan.walk(str(tmp_path / "missing"))[0] == []
+    (tmp_path / "t" / ".indexignore").write_text("pkg/\n!other.log\n")
+    more = {r[0] for r in scan.walk(str(tmp_path / "t"), ignore_files=(".gitignore", ".indexignore", ".absent"))[0]}
+    assert more == names - {"pkg/__init__.py"} | {"other.log", ".indexignore"}
 
 
 @pytest.mark.parametrize(

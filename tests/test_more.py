@@ -145,11 +145,66 @@ def test_a_run_with_refused_chunks_is_incomplete(spark, engine):
     report = engine.build(listed)
     assert not report.complete and report.notes and engine.store.info()["complete"] is False
     assert [r["rel_path"] for r in engine.store.manifest().collect()] == ["a.py"]
+    assert [r["file_path"] for r in engine.store.points().collect()] == ["a.py"]  # what was refused isn't stored
     del engine.accepted
     again = engine.refresh(listed)
     assert again.complete and again.added == 1 and engine.store.points().count() == 2
 
 
+def test_a_file_that_was_accepted_and_is_refused_now(spark, engine):
+    engine.build(files(spark, [("a.py", text("a"), 1), ("b.py", text("b"), 1)]))
+    engine.accepted = lambda points: points.where("file_path <> 'b.py'").select("file_path", "id")
+    report = engine.refresh(files(spark, [("a.py", text("a"), 1), ("b.py", text("bb"), 2)]))
+    assert (report.complete, report.changed, report.points) == (False, 1, 1)
+    assert [r["rel_path"] for r in engine.store.manifest().collect()] == ["a.py"]
+
+
+def test_a_build_deletes_files_that_are_gone(spark, engine):
+    engine.build(files(spark, [("a.py", text("a"), 1), ("b.py", text("b"), 1)]))
+    report = engine.build(files(spark, [("a.py", text("a"), 1)]))
+    assert (report.deleted, report.points, report.complete) == (1, 1, True)
+    assert [r["rel_path"] for r in engine.store.manifest().collect()] == ["a.py"]
+    assert {h["file_path"] for h in find(engine, text("b"), min_score=0.0).collect()} == {"a.py"}
+
+
+def test_another_profile_is_rebuilt_by_a_build_alone(spark, engine, tmp_path):
+    listed = files(spark, [("a.py", text("a"), 1), ("b.py", text("b"), 1)])
+    engine.build(listed)
+    other = Engine(spark, engine.store.root, "local:hashed:16", 16, lambda c: embed.hashed_vector(c, 16))
+    with pytest.raises(S.Mismatch):
+        other.refresh(listed)
+    assert engine.store.points().count() == 2  # a refresh that is refused leaves the store as it was
+    report = other.build(listed.where("rel_path = 'a.py'"))
+    assert (report.added, report.points, report.complete) == (1, 1, True)
+    assert other.store.info()["profile"] == "local:hashed:16" and len(other.store.points().first()["vector"]) == 16
+
+
+def test_a_run_that_breaks_off_is_taken_up(spark, engine):
+    """Commits of a few files each: those that were made stay, and the next refresh does the rest."""
+    listed = files(spark, [(f"f{k}.py", text(f"word{k}"), 1) for k in range(12)])
+    apply, calls = engine.store.apply, []
+
+    def broken(*args, **more):
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        calls.append(apply(*args, **more))
+
+    engine.store.apply = broken
+    with pytest.raises(RuntimeError):
+        engine.build(listed, files_per_commit=3)
+    engine.store.apply = apply
+    had = engine.store.manifest().count()
+    assert 0 < had < 12 and engine.store.points().count() == had and engine.store.info()["complete"] is False
+    report = engine.refresh(listed, files_per_commit=5)
+    assert (report.added, report.unchanged, report.points, report.complete) == (12 - had, had, 12, True)
+
+
+def test_runs_leave_no_scratch(spark, engine, tmp_path):
+    engine.build(files(spark, [("a.py", text("a"), 1)]))
+    engine.refresh(files(spark, [("a.py", text("b"), 2)]))
+    assert not list((tmp_path / "own").glob("scratch-*"))
+
+
 def test_lost_files_are_refused(spark, engine, tmp_path):
     import shutil
 

@@ -36,8 +36,9 @@ def top_k(hits: DataFrame, k: int, *ties: str) -> DataFrame:
     return hits.orderBy(F.col("score").desc(), *ties).limit(k)
 
 
-def top_k_per_query(points: DataFrame, queries: DataFrame, k: int, min_score: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, <key>, score, rank) of the best ``k`` points of each query with score >= min_score.
+def top_k_per_query(points: DataFrame, queries: DataFrame, k: int | None, min_score: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, <key>, score, rank) of the best ``k`` points of each query with score >= min_score;
+    all of them, without rank, if k is None.
 
     Queries are gathered QUERY_BLOCK at a time, so what is sent to workers is bounded.  Each batch of
     points meets a block in one matrix product and hands on k rows a query at most."""
@@ -70,6 +71,8 @@ def top_k_per_query(points: DataFrame, queries: DataFrame, k: int, min_score: fl
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], f"query_id long, {key} long, score double")
+    if k is None:
+        return found
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -92,18 +95,22 @@ def valid_hits(hits: DataFrame, *required: str) -> DataFrame:
     return hits
 
 
-def merged(baseline: DataFrame, own: DataFrame, limit: int) -> DataFrame:
+def merged(baseline: DataFrame, own: DataFrame, limit: int, *by: str) -> DataFrame:
     """Hits (file_path, start_line, end_line, score, ...) of two corpora, the own one's in place of
-    the baseline's with the same key, then the best ``limit``."""
+    the baseline's with the same key, then the best ``limit``: of all, or of each query by the
+    columns ``by``."""
     both = baseline.withColumn("source", F.lit("baseline")).unionByName(own.withColumn("source", F.lit("own")))
-    one = Window.partitionBy("file_path", "start_line", "end_line").orderBy(F.col("source").desc(), F.col("score").desc())
+    one = Window.partitionBy(*by, "file_path", "start_line", "end_line").orderBy(F.col("source").desc(), F.col("score").desc())
     best = both.withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
-    return top_k(best, limit, "file_path", "start_line", "end_line")
+    if not by:
+        return top_k(best, limit, "file_path", "start_line", "end_line")
+    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "file_path", "start_line", "end_line")
+    return best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).drop("nth")
 
 
-def without_ghosts(hits: DataFrame, files: DataFrame, checked: int = GHOST_CHECKS) -> DataFrame:
-    """``hits`` without those, among the first ``checked``, whose file is gone."""
-    order = Window.orderBy(F.col("score").desc(), "file_path", "start_line", "end_line")  # hits are limited already
+def without_ghosts(hits: DataFrame, files: DataFrame, checked: int = GHOST_CHECKS, by: tuple[str, ...] = ()) -> DataFrame:
+    """``hits`` without those, among the first ``checked`` of each query, whose file is gone."""
+    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "file_path", "start_line", "end_line")  # hits are limited already
     ranked = hits.withColumn("rank", F.row_number().over(order))
     there = files.select(F.col("rel_path").alias("there")).distinct()
     return ranked.join(there, F.col("file_path") == F.col("there"), "left").where((F.col("rank") > checked) | F.col("there").isNotNull()).drop("there")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import chunk, embed, evaluate, postings, refresh, search, status, syntax
+from tessera.operators import ann, chunk, embed, evaluate, postings, refresh, search, status, syntax
 from tessera.plans import tables as B
 from tessera.plans.tables import EXPECTED, FILES, MANIFEST, POINTS
 from tessera.sources import catalog, scan, shared, store
@@ -477,16 +477,25 @@ def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Search
 
-_SCORED = f"(SELECT p.*, round(list_cosine_similarity(p.vector, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM ({POINTS}) p)"
+#: Every point against every query: the vectors whose ids are divisible by 100.
+_SCORED = f"(SELECT q.vec_id AS query_id, p.*, round(list_cosine_similarity(q.embedding::DOUBLE[], p.vector), 6) AS score FROM embeddings q, ({POINTS}) p WHERE q.vec_id % 100 = 0)"
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.scored(B.points(spark, sf_dir), B.query_vector(spark, sf_dir))
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-@query(f"SELECT id, score FROM {_SCORED} WHERE score >= 0.2 ORDER BY score DESC, id LIMIT 10")
+def _hits(spark: SparkSession, sf_dir: str, points: DataFrame, k: int | None, least: float = -1.0) -> DataFrame:
+    return search.top_k_per_query(points, _asked(spark, sf_dir), k, least, "id", "vector")
+
+
+def _ranked_sql(where: str, k: int, order: str = "id") -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {order})::INT AS rank FROM {_SCORED} WHERE {where} QUALIFY rank <= {k})"
+
+
+@query(f"SELECT query_id, id, score, rank FROM {_ranked_sql('score >= 0.2', 10)}")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top_k(_scored(spark, sf_dir).where("score >= 0.2"), 10, "id").select("id", "score")
+    return _hits(spark, sf_dir, B.points(spark, sf_dir), 10, 0.2)
 
 
 @query(
@@ -499,46 +508,74 @@ def vector_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k_per_query(e, e.where("vec_id % 100 = 0"), 10, 0.2)
 
 
-@query(f"SELECT id, score FROM {_SCORED} WHERE score >= 0.3")
+def _nearest(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[ann.Index, DataFrame]:
+    e = B.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = ann.build(e, shared.fresh(spark, "vectors"))
+    return index, ann.top_k(index, e.where("vec_id % 100 = 0"), 10, 0.2, probes=len(index.centroids) if whole else None)
+
+
+@query(f"SELECT query_id, id, score, rank FROM {_ranked_sql('score >= 0.2', 10)}")
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's exact way: each query reads all cells."""
+    return _nearest(spark, sf_dir, True)[1]
+
+
+@query(None)
+def vector_topk_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir, False)[1]
+
+
+@query(None)
+def vector_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each query's nearest the index finds, against the exact search."""
+    e = B.points(spark, sf_dir).select("id", "vector")
+    return ann.recall(vector_topk_ann(spark, sf_dir), _hits(spark, sf_dir, e, 10, 0.2))
+
+
+@query(f"SELECT query_id, id, score FROM {_SCORED} WHERE score >= 0.3")
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _scored(spark, sf_dir).withColumn("least", search.threshold(F.lit(None).cast("double"), F.lit(0.3)))
-    return hits.where("score >= least").select("id", "score")
+    hits = _hits(spark, sf_dir, B.points(spark, sf_dir), None).withColumn("least", search.threshold(F.lit(None).cast("double"), F.lit(0.3)))
+    return hits.where("score >= least").select("query_id", "id", "score")
 
 
-@query(f"SELECT id, file_path, score FROM {_SCORED} WHERE file_path = 'src1' OR starts_with(file_path, 'src1/') ORDER BY score DESC, id LIMIT 20")
+@query(f"SELECT query_id, id, score, rank FROM {_ranked_sql("file_path = 'src1' OR starts_with(file_path, 'src1/')", 20)}")
 def prefix_search_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _scored(spark, sf_dir).where(T.under_segments(F.col("file_path"), "./src1/"))
-    return search.top_k(hits, 20, "id").select("id", "file_path", "score")
+    return _hits(spark, sf_dir, B.points(spark, sf_dir).where(T.under_segments(F.col("file_path"), "./src1/")), 20)
 
 
-@query(f"SELECT id, file_path, score FROM {_SCORED} WHERE file_path LIKE 'src1/pkg%' ORDER BY score DESC, id LIMIT 20")
+@query(f"SELECT query_id, id, score, rank FROM {_ranked_sql("file_path LIKE 'src1/pkg%'", 20)}")
 def prefix_search_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _scored(spark, sf_dir).where(T.under_string(F.col("file_path"), "src1/pkg"))
-    return search.top_k(hits, 20, "id").select("id", "file_path", "score")
+    return _hits(spark, sf_dir, B.points(spark, sf_dir).where(T.under_string(F.col("file_path"), "src1/pkg")), 20)
 
 
-_HITS = f"""o AS (SELECT file_path, start_line, end_line, max(score) AS score FROM {_SCORED} WHERE id % 3 <> 0 AND file_hash IS NOT NULL GROUP BY ALL),
-b AS (SELECT file_path, start_line, end_line, max(score) + 0.01 AS score FROM {_SCORED} WHERE id % 2 = 0 AND file_hash IS NOT NULL GROUP BY ALL),
-m AS (SELECT file_path, start_line, end_line, score, 'own' AS source FROM o UNION ALL SELECT file_path, start_line, end_line, score, 'baseline' FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file_path = b.file_path AND o.start_line = b.start_line AND o.end_line = b.end_line)),
-h AS (SELECT file_path, start_line, end_line, round(score, 6) AS score, source FROM m ORDER BY round(score, 6) DESC, file_path, start_line, end_line LIMIT 100)"""
+_SIDE = "SELECT query_id, file_path, start_line, end_line, max(score) AS score FROM {} GROUP BY ALL"
+_BETTER = "file_hash IS NOT NULL AND id % {} {} 0"
+_MERGED = f"""o AS ({_SIDE.format(_ranked_sql(_BETTER.format(3, "<>"), 200))}), b AS ({_SIDE.format(_ranked_sql(_BETTER.format(2, "="), 200))}),
+m AS (SELECT *, 'own' AS source FROM o UNION ALL SELECT query_id, file_path, start_line, end_line, score + 0.01, 'baseline' FROM b ANTI JOIN o USING (query_id, file_path, start_line, end_line)),
+h AS (SELECT query_id, file_path, start_line, end_line, round(score, 6) AS score, source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, file_path, start_line, end_line)::INT AS rank FROM m QUALIFY rank <= 100)"""
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.valid_hits(_scored(spark, sf_dir), "file_path", "file_hash", "code_chunk")
-    best = lambda df: df.groupBy("file_path", "start_line", "end_line").agg(F.max("score").alias("score"))
-    baseline = best(hits.where("id % 2 = 0")).withColumn("score", F.round(F.col("score") + 0.01, 6))
-    return search.merged(baseline, best(hits.where("id % 3 <> 0")), search.clamp_limit(100))
+    points = search.valid_hits(B.points(spark, sf_dir), "file_path", "file_hash", "code_chunk")
+    places = points.select(F.col("id"), "file_path", "start_line", "end_line")
+
+    def side(rows: DataFrame) -> DataFrame:
+        found = _hits(spark, sf_dir, rows, search.MOST_RESULTS).join(places, "id")
+        return found.groupBy("query_id", "file_path", "start_line", "end_line").agg(F.max("score").alias("score"))
+
+    baseline = side(points.where("id % 2 = 0")).withColumn("score", F.round(F.col("score") + 0.01, 6))
+    return search.merged(baseline, side(points.where("id % 3 <> 0")), search.clamp_limit(100), "query_id")
 
 
-@query(f"WITH {_HITS} SELECT * FROM h")
+@query(f"WITH {_MERGED} SELECT query_id, file_path, start_line, end_line, score, source FROM h")
 def merge_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir).select("file_path", "start_line", "end_line", "score", "source")
+    return _merged(spark, sf_dir).select("query_id", "file_path", "start_line", "end_line", "score", "source")
 
 
-@query(f"WITH {_HITS}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_path, start_line, end_line)::INT AS rank FROM h) SELECT file_path, start_line, end_line, score, rank FROM r WHERE rank > 60 OR file_path NOT LIKE '%/f1%'")
+@query(f"WITH {_MERGED} SELECT query_id, file_path, start_line, end_line, score, rank FROM h WHERE rank > 60 OR file_path NOT LIKE '%/f1%'")
 def ghost_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = B.points(spark, sf_dir).where("file_path not like '%/f1%'").select(F.col("file_path").alias("rel_path"))
-    return search.without_ghosts(_merged(spark, sf_dir), there).select("file_path", "start_line", "end_line", "score", "rank")
+    return search.without_ghosts(_merged(spark, sf_dir), there, by=("query_id",)).select("query_id", "file_path", "start_line", "end_line", "score", "rank")
 
 
 # Refresh

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunk, embed, refresh, search
+from tessera.operators import chunk, embed, refresh, search, syntax
 from tessera.sources.store import MANIFEST, POINTS, REQUIRED, Mismatch, Store, projected
 
 
@@ -27,15 +27,24 @@ class Report(NamedTuple):
 class Engine:
     """One corpus: a store, an embedder and the profile that names its vectors.
 
-    ``embed_column`` makes a vector column from a text column; the default is lexical."""
-
-    def __init__(self, spark: SparkSession, root: str, profile: str = "local:hashed:64", dimension: int = embed.DIM, embed_column: Callable[[Column], Column] = embed.hashed_vector):
-        self.spark, self.store = spark, Store(spark, root)
+    ``embed_column`` makes a vector column from a text column; the default is lexical.  Files are
+    chunked by their syntax where ``by_syntax`` has a grammar for them, by lines or sections else."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        profile: str = "local:hashed:64",
+        dimension: int = embed.DIM,
+        embed_column: Callable[[Column], Column] = embed.hashed_vector,
+        by_syntax: Callable[[str, str], list[chunk.Chunk] | None] | None = syntax.by_syntax,
+    ):
+        self.spark, self.store, self.by_syntax = spark, Store(spark, root), by_syntax
         self.profile, self.dimension, self.embed_column = profile, dimension, embed_column
 
     def points_of(self, files: DataFrame) -> DataFrame:
         """Points of ``files`` (rel_path, content)."""
-        chunks = chunk.chunk_files(files)
+        chunks = chunk.chunk_files(files, self.by_syntax)
         rows = chunks.select(
             T.uuid5(F.col("segment_hash")).alias("id"),
             self.embed_column(F.col("content")).alias("vector"),

@@ -53,9 +53,10 @@ KINDS = {
     ast.Try: "try_statement",
     ast.TryStar: "try_statement",
     ast.Import: "import_statement",
+    ast.arg: "typed_parameter",
     ast.ImportFrom: "import_from_statement",
 }
-_ASSIGNED = (ast.Lambda, ast.ListComp, ast.DictComp, ast.SetComp)
+_ASSIGNED = (ast.ListComp, ast.DictComp, ast.SetComp)
 
 
 class _Source:
@@ -78,10 +79,29 @@ class _Source:
         return Node(kind, first, last, text, children)
 
 
-def _captured(tree: ast.AST) -> bool:
-    if isinstance(tree, ast.Assign):
-        return len(tree.targets) == 1 and isinstance(tree.targets[0], ast.Name) and isinstance(tree.value, _ASSIGNED)
-    return isinstance(tree, ast.AnnAssign) and isinstance(tree.target, ast.Name) or type(tree) in KINDS
+def _typed(tree: ast.arguments) -> list[ast.arg]:
+    """Parameters with a type and no default."""
+    plain = [*tree.posonlyargs, *tree.args]
+    plain = plain[: len(plain) - len(tree.defaults)] + [x for x, d in zip(tree.kwonlyargs, tree.kw_defaults, strict=True) if d is None]
+    return [x for x in (*plain, tree.vararg, tree.kwarg) if x is not None and x.annotation is not None]
+
+
+def _captured(source: _Source, tree: ast.AST) -> list[ast.AST]:
+    """What is captured at a tree: itself, or the typed ones of parameters.  Of assigned lambdas
+    those in parentheses are, which the tree doesn't have: they are in the text before the lambda."""
+    if isinstance(tree, ast.arguments):
+        return _typed(tree)
+    if isinstance(tree, ast.AnnAssign):
+        return [tree] if isinstance(tree.target, ast.Name) else []
+    if not isinstance(tree, ast.Assign):
+        return [tree] if type(tree) in KINDS and not isinstance(tree, ast.arg) else []
+    if len(tree.targets) != 1 or not isinstance(tree.targets[0], ast.Name):
+        return []
+    if isinstance(tree.value, ast.Lambda):
+        name, value = tree.targets[0], tree.value
+        between = source.cut("", name.end_lineno - 1, name.end_col_offset, value.lineno - 1, value.col_offset, list).text
+        return [tree] if "(" in between else []
+    return [tree] if isinstance(tree.value, _ASSIGNED) else []
 
 
 def _nodes(source: _Source, tree: ast.AST) -> list[Node]:
@@ -101,11 +121,11 @@ def _nodes(source: _Source, tree: ast.AST) -> list[Node]:
 
 
 def python_nodes(text: str) -> list[Node]:
-    """Definitions, imports, with and try statements, and assigned lambdas, comprehensions and
-    annotated names of a Python text, outer ones before inner ones."""
+    """Definitions, imports, with and try statements, parameters with a type, and assigned lambdas in
+    parentheses, comprehensions and annotated names of a Python text, outer ones before inner ones."""
     source = _Source(text)
     tree = ast.parse(text)
-    places = [x for x in ast.walk(tree) if _captured(x)]
+    places = [x for at in ast.walk(tree) for x in _captured(source, at)]
     return sorted((n for x in places for n in _nodes(source, x)), key=lambda n: (n.row, -n.end_row))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.api import Engine
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import ann, chunk, embed, evaluate, postings, refresh, search, status, syntax
@@ -632,6 +633,16 @@ def freshness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh.freshness(_states(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT DISTINCT file_path, start_line, end_line, segment_hash, sha256(f.content) AS file_hash FROM k JOIN ({FILES}) f ON f.rel_path = file_path")
+def engine_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of an index that is built of half of the files, then refreshed with all of them."""
+    engine = Engine(spark, shared.fresh(spark, "engine"))
+    files = B.files(spark, sf_dir).select("rel_path", "content", "size", "mtime_ms", "doc_id")
+    engine.build(files.where("doc_id % 2 = 0").drop("doc_id"))
+    engine.refresh(files.drop("doc_id"))
+    return engine.store.points().select("file_path", "start_line", "end_line", "segment_hash", "file_hash")
+
+
 # Status
 
 _STATUS = """SELECT o_orderkey AS k, k % 2 = 0 AS enabled, CASE WHEN k % 3 = 0 THEN NULL ELSE k * 13 END AS own_points, CASE WHEN k % 5 = 0 THEN NULL ELSE k % 5 = 1 END AS own_complete,

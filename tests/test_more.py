@@ -60,6 +60,38 @@ def test_files_without_grammar_or_captures_are_cut_by_lines(spark):
     assert {r["file_path"] for r in found} == {"a.py", "b.py", "c.rs", "e.py"} and len([r for r in found if r["file_path"] == "e.py"]) == 5
 
 
+PYTHON = '''import os_path_with_a_long_name_of_more_than_fifty_characters
+short = 1
+plain = lambda argument_of_some_length: argument_of_some_length + 1 + 2
+held = (lambda argument_of_some_length: argument_of_some_length + 1 + 2)
+numbers = [number_of_some_length * 2 for number_of_some_length in range(10)]
+called = sorted(number_of_some_length * 2 for number_of_some_length in (1, 2))
+
+
+def f(a, typed_parameter_with_a_name: "dict[str, list[tuple[int, int]]]", other_typed_parameter: "dict[str, list[int]]" = None):
+    return a
+'''
+
+
+def test_python_captures_by_hand():
+    """Of what is 50 units or more: lambdas in parentheses alone, parameters with a type alone."""
+    got = [(c.type, c.start_line, c.end_line) for c in syntax.by_syntax("a.py", PYTHON)]
+    assert got == [
+        ("import_statement", 1, 1),
+        ("expression_statement", 4, 4),
+        ("expression_statement", 5, 5),
+        ("function_definition", 9, 10),
+        ("typed_parameter", 9, 9),
+    ]
+
+
+def test_an_index_has_syntax_chunks(spark, engine):
+    engine.build(files(spark, [("a.py", PYTHON, 1), ("a.txt", PYTHON, 1), ("bad.py", text("not python at all"), 1)]))
+    got = {(r["file_path"], r["start_line"], r["end_line"]) for r in engine.store.points().collect()}
+    assert got == {("a.py", n, m) for n, m in ((1, 1), (4, 4), (5, 5), (9, 10), (9, 9))} | {("a.txt", 1, 11), ("bad.py", 1, 6)}
+    assert find(engine, "held argument of some length", min_score=0.1).first()["file_path"] == "a.py"
+
+
 def test_retries_end():
     waits, replies = [], [embed.HttpFailure(503), ConnectionError("gone"), "done"]
 

@@ -115,21 +115,38 @@ def corpus_profile(files: DataFrame, language: str, top: int = 3) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-#: A lead that counts, a lead that is large, and hit rates that are good and poor.
-LEAD, LARGE_LEAD, GOOD, POOR = 0.02, 0.15, 0.95, 0.75
-
-
-def findings(summaries: DataFrame, least: int = 10) -> DataFrame:
-    """(strategy, type, n, hit, rr, place, medal, lead, grade): strategies of each type with enough
-    queries, ranked by hit, then reciprocal rank; the first three have medals.  ``lead`` says how
-    far the first one is ahead of the second, ``grade`` how good its hit rate is."""
-    order = Window.partitionBy("type").orderBy(F.col("hit").desc(), F.col("rr").desc(), "strategy")
-    ahead = F.round(F.col("hit") - F.lead("hit").over(order), 6)
-    ranked = summaries.where(F.col("n") >= least).withColumns({"place": F.row_number().over(order), "ahead": ahead})
-    first = F.col("place") == 1
-    return ranked.select(
-        "strategy", "type", "n", "hit", "rr", "place",
-        F.get(F.array(*map(F.lit, ("gold", "silver", "bronze"))), F.col("place") - 1).alias("medal"),
-        F.when(first, F.when(F.col("ahead") >= LARGE_LEAD, "clear").when(F.col("ahead") >= LEAD, "ahead").otherwise("level")).alias("lead"),
-        F.when(F.col("hit") >= GOOD, "good").when(F.col("hit") < POOR, "poor").otherwise("fair").alias("grade"),
+#: Fewest queries of a set that counts, a gain that counts, and a hit rate and a reciprocal
+#: rank that are found, but not first.
+LEAST_QUERIES, GAIN, FOUND, FIRST = 10, 0.02, 0.95, 0.75
+#: Rankers in the order in which ties are told.
+RANKERS = ("keyword", "names", "semantic", "fusion")
+
+
+def findings(summaries: DataFrame, least: int = LEAST_QUERIES) -> DataFrame:
+    """What stands out in each set of queries: one row a set of ``summaries`` (label, strategy, n,
+    hit, rr), of those that have ``least`` queries and two strategies.
+
+    hit_gain and rank_gain say how far fusion is ahead of semantic; ``fusion_beats`` is set if either
+    counts, as better can mean finding more, or finding it higher.  semantic_hit and keyword_hit are
+    the gap between the two.  ``names_weakest`` is set if ranking by names comes last by hit rate,
+    then reciprocal rank; of equal strategies the later one of RANKERS counts as lower.
+    ``rank_not_first`` is set if semantic finds nearly all, but not first."""
+    place = F.array_position(F.array(*map(F.lit, RANKERS)), F.col("strategy"))
+    of = lambda name, c: F.max(F.when(F.col("strategy") == name, F.col(c)))
+    usable = summaries.where((F.col("n") >= least) & F.col("strategy").isin(*RANKERS))
+    sets = usable.groupBy("label").agg(
+        F.max("n").alias("n"),
+        F.countDistinct("strategy").alias("strategies"),
+        F.min_by("strategy", F.struct("hit", "rr", -place)).alias("weakest"),
+        *[of(name, c).alias(f"{name}_{c}") for name in ("semantic", "keyword", "fusion") for c in ("hit", "rr")],
+    )
+    gains = {f"{kind}_gain": F.round(F.col(f"fusion_{c}") - F.col(f"semantic_{c}"), 6) for kind, c in (("hit", "hit"), ("rank", "rr"))}
+    found = sets.where("strategies >= 2").withColumns(gains)
+    told = lambda c: F.coalesce(c, F.lit(False))  # noqa: E731  a strategy that isn't there stands out in nothing
+    return found.select(
+        "label", "n", "hit_gain", "rank_gain",
+        told((F.col("hit_gain") > GAIN) | (F.col("rank_gain") > GAIN)).alias("fusion_beats"),
+        "semantic_hit", "keyword_hit",
+        (F.col("weakest") == "names").alias("names_weakest"),
+        told((F.col("semantic_hit") >= FOUND) & (F.col("semantic_rr") < FIRST)).alias("rank_not_first"),
     )

@@ -682,7 +682,13 @@ _FACTS = """SELECT o_orderkey AS k, k % 23 = 0 AS profile_changed, k % 19 <> 0 A
   k % 3 <> 0 AS has_baseline, k % 11 <> 2 AS baseline_complete, k % 4 AS n_sources, least(k % 4, k % 3) AS n_compatible, greatest(0, k % 6 - 3) AS n_changed FROM orders"""
 
 
-@query(f"SELECT k, CASE {' '.join(f'WHEN {rule} THEN {name!r}' for name, rule in status.ADVICE)} ELSE 'healthy' END AS advice FROM ({_FACTS})")
+@query(
+    f"""SELECT k, CASE WHEN profile_changed THEN 'rebuild_profile_changed' WHEN NOT reachable THEN 'start_store'
+  WHEN NOT baseline_searched THEN CASE WHEN NOT own_exists THEN 'build_own' WHEN NOT own_complete THEN 'finish_run' WHEN n_changed > 0 THEN 'refresh' ELSE 'healthy_own' END
+  WHEN own_exists THEN CASE WHEN n_changed > 0 THEN 'refresh' WHEN NOT own_complete THEN 'finish_run' ELSE 'healthy' END
+  WHEN n_compatible > 0 THEN 'import_source' WHEN n_sources > 0 THEN 'build_incompatible' WHEN NOT has_baseline THEN 'build_first'
+  WHEN NOT baseline_complete THEN 'baseline_incomplete' WHEN n_changed > 0 THEN 'refresh' ELSE 'baseline_only' END AS advice FROM ({_FACTS})"""
+)
 def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     facts = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select(
@@ -840,17 +846,57 @@ def query_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "documents").select("doc_id", evaluate.query_type(F.col("text"), F.concat(F.lit("pkg/"), name)).alias("type"))
 
 
+_VECTORS = """t{0} AS (SELECT {1} AS id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM {2}),
+x{0} AS (SELECT id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::INT AS dim, sum(CASE WHEN ('0x' || substr(md5(term), 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS x FROM t{0} WHERE term <> '' GROUP BY ALL),
+w{0} AS (SELECT id, dim, round(x / sqrt(sum((x * x)::DOUBLE) OVER (PARTITION BY id)), 6) AS w FROM x{0}),
+v{0} AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY id)) AS l FROM w{0} WHERE w <> 0)"""
+_SEMANTIC = f"""{_VECTORS.format("d", "doc_id", "documents")}, {_VECTORS.format("q", "item_id", "benchmark")},
+sm AS (SELECT query_id, rel_path, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank
+  FROM (SELECT vq.id AS query_id, vd.id AS doc_id, round(sum(vq.w * vd.w) / (max(vq.l) * max(vd.l)), 6) AS score FROM vq JOIN vd USING (dim) GROUP BY ALL) WHERE score >= 0.1 QUALIFY rank <= 10) JOIN ({FILES}) USING (doc_id))"""
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by the cosine of whole texts' lexical vectors, for each benchmark passage."""
+
+    def vectors(name: str, key: str) -> DataFrame:
+        weights = embed.hashed_dimensions(B.table(spark, sf_dir, name), key, "text").groupBy(F.col(key).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("m"))  # DIM entries at most
+        dims = F.sequence(F.lit(0), F.lit(embed.DIM - 1))
+        return weights.select("id", F.transform(dims, lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("vector"))
+
+    hits = search.top_k_per_query(vectors("documents", "doc_id"), vectors("benchmark", "item_id"), 10, 0.1, "id", "vector")
+    paths = B.files(spark, sf_dir).select(F.col("doc_id").alias("id"), "rel_path")
+    return hits.join(paths, "id").select("query_id", "rel_path", "rank")
+
+
+_RANKINGS = {"keyword": "kw", "names": "nm", "semantic": "sm", "fusion": "fu"}
+_FUSED3 = """fu AS (SELECT query_id, rel_path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rel_path)::INT AS rank FROM (SELECT query_id, rel_path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score
+  FROM (SELECT query_id, rel_path, rank FROM kw UNION ALL FROM nm UNION ALL FROM sm) GROUP BY query_id, rel_path) QUALIFY rank <= 10)"""
+
+
 @query(
-    f"""WITH s AS (SELECT source AS strategy, lang AS type, count(*) AS n, round(avg((doc_id % 3 = 0)::INT), 6) AS hit, round(avg(1.0::DOUBLE / (1 + doc_id % 7)), 6) AS rr FROM documents GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY hit DESC, rr DESC, strategy)::INT AS place, round(hit - lead(hit) OVER (PARTITION BY type ORDER BY hit DESC, rr DESC, strategy), 6) AS ahead FROM s WHERE n >= 10)
-SELECT strategy, type, n, hit, rr, place, CASE place WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' END AS medal,
-  CASE WHEN place = 1 THEN CASE WHEN ahead >= {evaluate.LARGE_LEAD} THEN 'clear' WHEN ahead >= {evaluate.LEAD} THEN 'ahead' ELSE 'level' END END AS lead, CASE WHEN hit >= {evaluate.GOOD} THEN 'good' WHEN hit < {evaluate.POOR} THEN 'poor' ELSE 'fair' END AS grade FROM r"""
+    f"""WITH {_KEYWORD}, {_NAMES}, {_SEMANTIC}, {_FUSED3}, {", ".join(measured_sql(t, f"me_{t}", t == "kw") for t in _RANKINGS.values())},
+a AS ({" UNION ALL ".join(f"SELECT '{r}' AS strategy, * FROM me_{t}" for r, t in _RANKINGS.items())}),
+c AS (SELECT strategy, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS part, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(rr), 6) AS rr FROM a GROUP BY GROUPING SETS ((strategy), (strategy, part))),
+s AS (SELECT *, coalesce(part, 'all') AS label, list_position(['keyword', 'names', 'semantic', 'fusion'], strategy) AS place FROM c WHERE n >= 10),
+l AS (SELECT label, strategy FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY hit, rr, place DESC) = 1),
+p AS (SELECT label, max(n) AS n, any_value(hit) FILTER (strategy = 'fusion') AS fh, any_value(rr) FILTER (strategy = 'fusion') AS fr, any_value(hit) FILTER (strategy = 'semantic') AS sh, any_value(rr) FILTER (strategy = 'semantic') AS sr, any_value(hit) FILTER (strategy = 'keyword') AS kh FROM s GROUP BY label)
+SELECT label, n, round(fh - sh, 6) AS hit_gain, round(fr - sr, 6) AS rank_gain, round(fh - sh, 6) > 0.02 OR round(fr - sr, 6) > 0.02 AS fusion_beats, sh AS semantic_hit, kh AS keyword_hit, l.strategy = 'names' AS names_weakest, sh >= 0.95 AND sr < 0.75 AS rank_not_first
+FROM p JOIN l USING (label)"""
 )
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.table(spark, sf_dir, "documents")
-    hit, rr = F.avg((F.col("doc_id") % 3 == 0).cast("int")), F.avg(1.0 / (1 + F.col("doc_id") % 7))
-    measured = d.groupBy(F.col("source").alias("strategy"), F.col("lang").alias("type")).agg(F.count("*").alias("n"), F.round(hit, 6).alias("hit"), F.round(rr, 6).alias("rr"))
-    return evaluate.findings(measured)
+    """What stands out of four rankings of the benchmark's passages, in all and in two halves."""
+    index, q, files = _index(spark, sf_dir), B.queries(spark, sf_dir), B.files(spark, sf_dir)
+    single = {"keyword": _keyword(spark, sf_dir, index).select("query_id", "rel_path", "rank"), "names": evaluate.name_ranked(q, files, 10), "semantic": _semantic(spark, sf_dir)}
+    kept = {name: shared.written(ranked, shared.fresh(spark, f"ranking-{name}")) for name, ranked in single.items()}
+    whole = kept["keyword"].unionByName(kept["names"]).unionByName(kept["semantic"])
+    kept["fusion"] = evaluate.fused(whole, 10).select("query_id", "rel_path", "rank")
+    right = shared.written(B.expected(spark, sf_dir, index), shared.fresh(spark, "right"))
+    measured = None
+    for name, ranked in kept.items():
+        rows = evaluate.metrics(ranked, right, 10).withColumn("strategy", F.lit(name))
+        measured = rows if measured is None else measured.unionByName(rows)
+    halved = measured.withColumn("type", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
+    return evaluate.findings(evaluate.summary(halved).withColumn("label", F.coalesce("type", F.lit("all"))))
 
 
 @query(f"SELECT * FROM (SELECT lang AS language, count(*) AS n_files, sum(len(string_split(content, chr(10))))::BIGINT AS n_lines, row_number() OVER (ORDER BY count(*) DESC, lang)::INT AS rank FROM ({FILES}) GROUP BY lang) WHERE rank <= 3")

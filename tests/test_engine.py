@@ -178,3 +178,20 @@ def test_top_k_of_queries_and_empty(spark):
     got = search.top_k_per_query(points, points.where("vec_id = 0"), 2, 0.5).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(0, 1.0), (1, 0.707107)]
     assert search.top_k_per_query(points, points.limit(0), 2, 0.5).count() == 0
+
+
+def test_findings_by_hand(spark):
+    """A gain in rank alone counts, a gain of .02 doesn't, small sets and lone strategies don't."""
+    rows = [
+        ("rank", "semantic", 12, 0.96, 0.70), ("rank", "fusion", 12, 0.96, 0.73), ("rank", "keyword", 12, 0.5, 0.4), ("rank", "names", 12, 0.5, 0.3),
+        ("level", "semantic", 10, 0.95, 0.75), ("level", "fusion", 10, 0.97, 0.77), ("level", "names", 10, 0.97, 0.9),
+        ("small", "semantic", 9, 1.0, 0.1), ("small", "fusion", 9, 1.0, 0.9),
+        ("lone", "semantic", 50, 1.0, 0.1),
+        ("none", "keyword", 10, 0.2, 0.2), ("none", "names", 10, 0.2, 0.2),
+    ]
+    got = {r["label"]: tuple(r)[1:] for r in evaluate.findings(spark.createDataFrame(rows, "label string, strategy string, n int, hit double, rr double")).collect()}
+    assert got == {
+        "rank": (12, 0.0, 0.03, True, 0.96, 0.5, True, True),
+        "level": (10, 0.02, 0.02, False, 0.95, None, False, False),
+        "none": (10, None, None, False, None, 0.2, True, False),
+    }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,10 +67,25 @@ def collapse(turns: DataFrame) -> DataFrame:
     return placed.join(first.select("keep"), F.col("conv_id").eqNullSafe(F.col("keep")), "left_semi").select("conv_id", "bucket", "place", "role", "text")
 
 
+def escaped(text: Column, *marks: tuple[str, str]) -> Column:
+    """``text`` with one more backslash inside of each mark, which two characters make, whatever
+    backslashes are there: so no mark is left, two texts stay two, and others stay as they are."""
+    for left, right in marks:
+        text = F.regexp_replace(text, f"{re.escape(left)}(\\\\*){re.escape(right)}", f"{left}\\\\$1{right}")
+    return text
+
+
+OPEN, CLOSE = ("<", "|"), ("|", ">")
+
+
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, rendered): each conversation as one text of ``<|role|>`` heads, texts
-    and ``<|end|>`` lines.  Null roles are called unknown; null texts are empty."""
-    head = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
+    and ``<|end|>`` lines.  Null roles are called unknown; null texts are empty.
+
+    ``<|`` is written ``<\\|`` in texts and roles, and ``|>`` is ``|\\>`` in roles, so a text can't
+    pass for turns of its own: what is rendered can be cut into its turns in one way."""
+    role, said = escaped(F.coalesce("role", F.lit("unknown")), OPEN, CLOSE), escaped(F.coalesce("text", F.lit("")), OPEN)
+    head = F.concat(F.lit("<|"), role, F.lit("|>\n"), said, F.lit("\n<|end|>\n"))
     piece = F.struct("place", head.alias("said"))
     parts = turns.groupBy("conv_id", "bucket").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["said"]), "").alias("said"))
     return parts.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "said"))), lambda x: x["said"]), "").alias("rendered"))

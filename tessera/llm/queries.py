@@ -103,7 +103,7 @@ p AS (SELECT conv_id, place, string_agg(coalesce(length(role) || ':' || role, '-
 e AS (SELECT conv_id, max(place) AS n_turns, arg_max(said, place) AS said FROM p GROUP BY conv_id),
 i AS (SELECT DISTINCT p.said FROM p JOIN e USING (conv_id) WHERE p.place < e.n_turns),
 k AS (SELECT min(conv_id) AS conv_id FROM e WHERE said NOT IN (SELECT said FROM i) GROUP BY said)
-SELECT conv_id, count(*) AS n_turns, string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
+SELECT conv_id, count(*) AS n_turns, string_agg('<|' || regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') || '|>' || chr(10) || regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') || chr(10) || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
 FROM n JOIN k USING (conv_id) GROUP BY conv_id"""
 
 

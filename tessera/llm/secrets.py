@@ -17,12 +17,18 @@ from tessera.llm.common import stored
 class Rule(NamedTuple):
     """A kind of secret: a pattern that Python and Java read alike, the group whose length counts
     (0: the whole match), and the least length.  Matches are leftmost and don't overlap; those that
-    are too short are dropped afterwards."""
+    are too short are dropped afterwards.
+
+    A search that backtracks may try each letter of a long run as a beginning.  ``fast`` is a
+    pattern that gives the same kept matches and goes over a run once; matches of it whose group
+    ``must`` is empty aren't kept."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    fast: str = ""
+    must: int = 0
 
 
 def _either(word: str) -> str:
@@ -34,16 +40,16 @@ _NAMES = "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|"
 #: The base rules, then those the method adds.  Production parameters.
 BASE = (
     Rule("assign", rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24,}"),
 )
 MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, r"eyJ[A-Za-z0-9_-]++(\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+)?", 1),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("url", r"[a-z]+://[A-Za-z0-9._%+-]+:[^\x20\x09-\x0D@/]+@", 0, 12),
+    Rule("url", r"[a-z]+://[A-Za-z0-9._%+-]+:[^\x20\x09-\x0D@/]+@", 0, 12, r"(?<![a-z])[a-z]++://[A-Za-z0-9._%+-]++:[^\x20\x09-\x0D@/]++@"),
 )
 RULES = BASE + MORE
 
@@ -168,19 +174,41 @@ def candidates(postings: DataFrame, queries: dict[str, list[list[str]]], vocabul
     return met.where("have = need").groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with ``value`` made once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+#: Matches whose places are summed up at a time; their number squared is what a sum costs.
+TOGETHER = 256
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Array of (start, end, size) of a rule's matches, in code points:
-    lengths of the matches and of what lies between them are summed up."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    sized = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    between = F.split(text, rule.pattern, -1)
-    lengths = F.zip_with(F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(F.length(m).alias("m"), F.length(b).alias("b"))), sized, lambda x, s: F.struct(x["m"].alias("m"), x["b"].alias("b"), F.length(s).alias("s")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,size:int>>").alias("out"))
+    lengths of the matches and of what lies between them are summed up, in blocks of matches."""
+    pattern = rule.fast or rule.pattern
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else found
+    if rule.must:
+        sized = F.zip_with(sized, F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.must)), lambda s, m: F.when(F.length(m) > 0, s).otherwise(""))
+    between = F.split(text, pattern, -1)
+    met = _let(found, lambda f: F.zip_with(f, F.slice(between, 1, F.size(f)), lambda m, b: F.struct(F.length(m).alias("m"), F.length(b).alias("b"))))
+    lengths = F.zip_with(met, sized, lambda x, s: F.struct(x["m"].alias("m"), x["b"].alias("b"), F.length(s).alias("s")))
+    none = F.array().cast("array<struct<start:int,end:int,size:int>>")
     add = lambda a, x: F.struct(
         (a["at"] + x["b"] + x["m"]).alias("at"),
         F.concat(a["out"], F.array(F.struct((a["at"] + x["b"]).alias("start"), (a["at"] + x["b"] + x["m"]).alias("end"), x["s"].alias("size")))).alias("out"),
     )
-    return F.filter(F.aggregate(lengths, start, add, lambda a: a["out"]), lambda x: x["size"] >= rule.least)
+
+    def placed(all_: Column) -> Column:
+        last = F.ceil(F.size(all_) / TOGETHER).cast("int") - 1
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_, k * TOGETHER + 1, F.lit(TOGETHER)))
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["m"] + x["b"]))
+        begun = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        whole = F.zip_with(blocks, begun, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), add, lambda a: a["out"]))
+        return F.when(last >= 0, F.flatten(whole)).otherwise(none)
+
+    return F.filter(_let(lengths, placed), lambda x: x["size"] >= rule.least)
 
 
 def scan(docs: DataFrame, rules=RULES, base=BASE) -> DataFrame:
@@ -208,7 +236,7 @@ def scan(docs: DataFrame, rules=RULES, base=BASE) -> DataFrame:
     for k, rule in enumerate(rules):
         asked = F.array_contains(kinds, rule.kind) if rule.kind in queries else F.lit(True)
         # A plain search for one long enough match comes first: few texts have any.
-        columns[f"s_{k}"] = F.when(asked & F.col("text").rlike(rule.pattern if rule.group or rule.least == 1 else _at_least(rule)), spans(F.col("text"), rule))
+        columns[f"s_{k}"] = F.when(asked & F.col("text").rlike(_quick(rule)), spans(F.col("text"), rule))
     rows = rows.select("doc_id", *[c.alias(n) for n, c in columns.items()])
     number = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))
     tagged = [F.coalesce(F.transform(f"s_{k}", number(k)), none) for k in range(len(rules))]
@@ -223,8 +251,10 @@ def scan(docs: DataFrame, rules=RULES, base=BASE) -> DataFrame:
     )
 
 
-def _at_least(rule: Rule) -> str:
-    """A pattern that finds a match if the rule has one that is long enough: where the pattern is
-    literals and one final repeat, the repeat must be that long; else the pattern itself."""
+def _quick(rule: Rule) -> str:
+    """A pattern that finds a match if the rule has one that is long enough: the fast one; or, where
+    the pattern is literals and one final repeat, that with the repeat so long; else itself."""
     m = re.fullmatch(r"([A-Za-z]*)(\[[^\]]+\])\+", rule.pattern)
-    return f"{m[1]}{m[2]}{{{rule.least - len(m[1])},}}" if m else rule.pattern
+    if rule.fast or not m or rule.group:
+        return rule.fast or rule.pattern
+    return f"{m[1]}{m[2]}{{{max(1, rule.least - len(m[1]))},}}"

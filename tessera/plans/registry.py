@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.api import Engine
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import ann, chunk, embed, evaluate, postings, refresh, search, status, syntax
+from tessera.operators import ann, chunk, embed, evaluate, order, postings, refresh, search, status, syntax
 from tessera.plans import tables as B
 from tessera.plans.tables import EXPECTED, FILES, MANIFEST, POINTS
 from tessera.sources import catalog, scan, shared, store
@@ -399,26 +398,24 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS batch_id FROM documents")
 def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return B.table(spark, sf_dir, "documents").select("source", "doc_id", F.floor((nth - 1) / 100).alias("batch_id"))
+    d = order.placed(B.table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+    return d.select("source", "doc_id", F.expr("pos div 100").alias("batch_id"))
 
 
 # Embeddings
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, ceil(coalesce(length(text), 0) / 4)::BIGINT AS t, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT i, doc_id, 1 AS items, t AS used, 0::BIGINT AS request FROM d WHERE i = 1 UNION ALL
+  SELECT i, doc_id, CASE WHEN other THEN 1 ELSE items + 1 END, CASE WHEN other THEN t ELSE used + t END, request + other::INT
+  FROM (SELECT d.i, d.doc_id, d.t, r.items, r.used, r.request, r.items = 60 OR r.used + d.t > 30000 AS other FROM r JOIN d ON d.i = r.i + 1))
+SELECT doc_id, request FROM r"""
+)
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of each source's texts: a running count by item and token ceilings."""
-    import pandas as pd
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        sizes = [len(b) for b in embed.request_batches(pdf["text"].tolist(), 60, 30_000)]
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "request": [k for k, n in enumerate(sizes) for _ in range(n)]})
-
-    # A group is a fixed run of ids, so no source is brought together.
-    d = B.table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 500).alias("run"))
-    return d.groupBy("run").applyInPandas(lambda key, pdf: pack(pdf).assign(run=key[0]), "doc_id long, request int, run long")
+    """Requests of all texts in order of id, within an item and a token ceiling."""
+    d = B.table(spark, sf_dir, "documents").select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
+    return order.packed(d, "doc_id", "tokens", 60, 30_000).select("doc_id", "request")
 
 
 @query("SELECT doc_id, left(text, 1945) AS cut, CASE WHEN starts_with(text, 'search_query: ') OR length(text) + 14 > 32768 THEN length(text) ELSE length(text) + 14 END AS prefixed_chars, ceil(length(text) / 4)::BIGINT AS tokens FROM documents")

@@ -89,7 +89,8 @@ class Engine:
         accepted = self.accepted(made)
         points = made.join(accepted, ["file_path", "id"], "left_semi")
         unfinished = refresh.finished_files(made.select("file_path", "id"), accepted).where("not done").select(F.col("file_path").alias("rel_path"))
-        read = state.where("content is not null and state <> 'deleted'")  # unchanged ones too: their sizes and times may be new
+        # Of unchanged files those whose size or time is new are noted again, so that they aren't hashed each time.
+        read = state.where("content is not null and state <> 'deleted'" + ("" if full else " and (state <> 'unchanged' or was = 'maybe_stale')"))
         fresh = read.join(unfinished, "rel_path", "left_anti")
         now = int(time.time() * 1000)
         fresh = fresh.select("rel_path", "hash", F.col("size").cast("long"), F.col("mtime_ms").cast("double"), F.lit(now).cast("long").alias("indexed_at"))
@@ -110,7 +111,9 @@ class Engine:
             notes += (f"{missed} files couldn't be read",)
         if refused:
             notes += ("not all chunks were accepted",)
-        return Report(n.get("added", 0), n.get("changed", 0), n.get("unchanged", 0) + n.get("maybe_stale", 0), n.get("deleted", 0), self.store.points().count(), not missed and not refused, notes)
+        points_now = self.store.points().count()
+        self.store.grow(points_now)
+        return Report(n.get("added", 0), n.get("changed", 0), n.get("unchanged", 0) + n.get("maybe_stale", 0), n.get("deleted", 0), points_now, not missed and not refused, notes)
 
     def accepted(self, points: DataFrame) -> DataFrame:
         """Points (file_path, id) that the store takes; a store that refuses some overrides this.  The
@@ -118,14 +121,14 @@ class Engine:
         return points.select("file_path", "id")
 
     def _states(self, files: DataFrame, manifest: DataFrame, truncated: bool) -> DataFrame:
-        """(rel_path, state, content, size, mtime_ms, hash): every path's state, maybe stale ones told
-        apart by their hashes; one that can't be read stays maybe stale."""
+        """(rel_path, state, was, content, size, mtime_ms, hash): every path's state, maybe stale ones told
+        apart by their hashes (was: before that); one that can't be read stays maybe stale."""
         states = refresh.guarded(refresh.diff(manifest, files), truncated)
         now = files.select("rel_path", "content", "size", "mtime_ms", F.sha2(F.encode("content", "UTF-8"), 256).alias("hash"))
         told = states.join(now, "rel_path", "left").join(manifest.select("rel_path", F.col("hash").alias("old")), "rel_path", "left")
         stale = F.col("state") == "maybe_stale"
         same = F.when(stale & F.col("hash").isNull(), "maybe_stale").when(stale & (F.col("hash") == F.col("old")), "unchanged").when(stale, "changed").otherwise(F.col("state"))
-        return told.select("rel_path", same.alias("state"), "content", "size", "mtime_ms", "hash")
+        return told.select("rel_path", same.alias("state"), F.col("state").alias("was"), "content", "size", "mtime_ms", "hash")
 
     def import_index(self, points: DataFrame, profile: str) -> int:
         """Copy another index's vectors of the same profile, and seed the manifest so that the next

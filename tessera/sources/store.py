@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SCHEMA_VERSION = "2"
+SCHEMA_VERSION = "3"
 POINTS = "id string, vector array<float>, file_path string, file_hash string, code_chunk string, start_line int, end_line int, segment_hash string"
 MANIFEST = "rel_path string, hash string, size long, mtime_ms double, indexed_at long"
 METADATA = "key string, value string"
@@ -37,9 +37,9 @@ def without_paths(target: DataFrame, paths: DataFrame) -> DataFrame:
     return target.join(gone, F.translate("file_path", "\\", "/") == F.col("gone_"), "left_anti")
 
 
-def projected(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """The wanted columns that are there; null for the rest."""
-    kinds = dict(x.split(" ", 1) for x in POINTS.split(", "))
+def projected(df: DataFrame, wanted: list[str], schema: str = POINTS) -> DataFrame:
+    """The wanted columns that are there; null for the rest, of the type that ``schema`` says."""
+    kinds = dict(x.split(" ", 1) for x in schema.split(", "))
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in wanted])
 
 
@@ -92,8 +92,8 @@ def baseline_of(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Points in BUCKETS folders by a hash of their path, a manifest, and ``heads``: one small text
-    file a state, which names the folder of each bucket.
+    """Points and manifest in buckets by a hash of their path, and ``heads``: one small text file a
+    state, which names the folders of each bucket.
 
     A write makes new folders for the buckets that it changes, then renames a new head to the next
     number.  So a write that is interrupted changes nothing, readers see one state or the other,
@@ -101,7 +101,8 @@ class Store:
     second to commit fails where the file system refuses to rename to a name that is there, as HDFS
     does.  Local disks and object stores may overwrite it, so there a store has one writer at a time."""
 
-    BUCKETS = 64
+    #: Buckets of a new store, points of a bucket that ``grow`` aims at, and most buckets.
+    BUCKETS, POINTS_OF_BUCKET, MOST_BUCKETS = 64, 50_000, 65_536
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self._scratch = spark, root.rstrip("/"), []
@@ -127,7 +128,7 @@ class Store:
     def _commit(self, parent: dict | None, **changes) -> None:
         """The head after ``parent``: written beside the heads, then renamed to the next number, unless
         another writer has taken it."""
-        head = (parent or {"number": 0, "metadata": {}, "buckets": {}, "manifest": None}) | changes
+        head = (parent or {"number": 0, "metadata": {}, "n": self.BUCKETS, "buckets": {}, "manifest": {}}) | changes
         head["number"] += 1
         fs, name = self._fs(), self._path(f"{self.root}/heads/{head['number']:012d}.json")
         own = self._path(f"{self.root}/heads/.{uuid.uuid4().hex}")
@@ -154,52 +155,61 @@ class Store:
                 raise Mismatch(f"profile {m.get('profile')}, not {profile}")
             self._commit(head, metadata=m | {"profile": profile})
 
-    def _bucket(self, column: str):
-        return F.pmod(F.xxhash64(F.translate(column, "\\", "/")), F.lit(self.BUCKETS)).cast("int")
+    def _bucket(self, column: str, n: int):
+        return F.pmod(F.xxhash64(F.translate(column, "\\", "/")), F.lit(n)).cast("int")
 
-    def _write_points(self, rows: DataFrame) -> dict[str, str]:
-        """Write points by bucket, sorted by path; the folder of each bucket that has any."""
-        name = f"points-{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        columns = [x.split()[0] for x in POINTS.split(", ")]
-        dealt = projected(rows, columns).withColumn("bucket", self._bucket("file_path")).repartitionByRange(n, "bucket", "file_path", "id")
-        dealt.sortWithinPartitions("bucket", "file_path").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
+    def _write(self, kind: str, rows: DataFrame, schema: str, path: str, n: int) -> dict[str, str]:
+        """Write rows by the bucket of their ``path``, sorted by it; the folder of each bucket that
+        has any."""
+        name = f"{kind}-{uuid.uuid4().hex}"
+        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = projected(rows, [x.split()[0] for x in schema.split(", ")], schema).withColumn("bucket", self._bucket(path, n)).repartitionByRange(width, "bucket", path)
+        dealt.sortWithinPartitions("bucket", path).write.partitionBy("bucket").parquet(f"{self.root}/{name}")
         made = (s.getPath().getName() for s in self._fs().listStatus(self._path(f"{self.root}/{name}")))
         return {m.split("=")[1]: f"{name}/{m}" for m in made if m.startswith("bucket=")}
 
-    def _read(self, folders) -> DataFrame:
+    def _read(self, folders, schema: str) -> DataFrame:
         paths = [f"{self.root}/{x}" for x in folders]
-        return self.spark.read.schema(POINTS).parquet(*paths) if paths else self.spark.createDataFrame([], POINTS)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def points(self) -> DataFrame:
         head = self.head()
-        return self._read(sorted(head["buckets"].values()) if head else [])
+        return self._read(sorted(head["buckets"].values()) if head else [], POINTS)
 
     def manifest(self) -> DataFrame | None:
         head = self.head()
-        if head is None:
-            return None
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{head['manifest']}") if head["manifest"] else self.spark.createDataFrame([], MANIFEST)
+        return None if head is None else self._read(sorted(head["manifest"].values()), MANIFEST)
 
     def info(self) -> dict:
         head = self.head()
         return {"exists": False} if head is None else {"exists": True, "points": self.points().count(), **head["metadata"]}
 
-    def _manifest(self, manifest: DataFrame) -> str:
-        name = f"manifest-{uuid.uuid4().hex}"
-        manifest.write.parquet(f"{self.root}/{name}")
-        return name
-
-    def replace(self, points: DataFrame, manifest: DataFrame | None = None, complete: bool | None = None) -> None:
-        """Write all points anew."""
+    def replace(self, points: DataFrame, manifest: DataFrame | None = None, complete: bool | None = None, n: int | None = None) -> None:
+        """Write all points anew, and the manifest if it is given, in ``n`` buckets."""
         head = self._begun()
-        changes = {"buckets": self._write_points(points)}
+        n = n or head["n"]
+        if n != head["n"] and manifest is None:
+            manifest = self.manifest()
+        changes = {"n": n, "buckets": self._write("points", points, POINTS, "file_path", n)}
         if manifest is not None:
-            changes["manifest"] = self._manifest(manifest)
+            changes["manifest"] = self._write("manifest", manifest, MANIFEST, "rel_path", n)
         if complete is not None:
             changes["metadata"] = head["metadata"] | {"complete": complete}
         self._commit(head, **changes)
 
+    def grow(self, points: int) -> bool:
+        """Deal a store of so many points to more buckets once they have four times what they should,
+        so that a change rewrites a bounded part of it.  As buckets double, the work is in
+        proportion to the points that came in since."""
+        head = self._begun()
+        if head["n"] >= self.MOST_BUCKETS or points <= 4 * self.POINTS_OF_BUCKET * head["n"]:
+            return False
+        n = head["n"]
+        while n < self.MOST_BUCKETS and n * self.POINTS_OF_BUCKET < points:
+            n *= 2
+        self.replace(self.points(), n=n)
+        return True
+
     def scratch(self, df: DataFrame) -> DataFrame:
         """Write an intermediate table beside the store and read it back, so that it is made once."""
         path = f"{self.root}/scratch-{uuid.uuid4().hex}"
@@ -217,7 +227,7 @@ class Store:
         deleted is returned.  Not while another writer or a reader of an older state runs."""
         fs, names = self._fs(), self._heads()
         heads = [json.loads(self.spark.read.text(f"{self.root}/heads/{n}", wholetext=True).first()[0]) for n in names[-keep:]]
-        used = {p.split("/")[0] for h in heads for p in [*h["buckets"].values(), h["manifest"] or ""]}
+        used = {p.split("/")[0] for h in heads for p in [*h["buckets"].values(), *h["manifest"].values()]}
         old = [f"heads/{n}" for n in names[:-keep]]
         old += [n for s in fs.listStatus(self._path(self.root)) if (n := s.getPath().getName()).startswith(("points-", "manifest-", "scratch-")) and n not in used]
         for name in old:
@@ -234,16 +244,26 @@ class Store:
         """Clear the files ``paths`` (rel_path), insert ``points`` and the rows of ``manifest`` in their
         place, and write only the buckets that these lie in, which are returned."""
         head = self._begun()
+        n = head["n"]
         gone = paths.select(F.translate("rel_path", "\\", "/").alias("file_path")).distinct()
         rows = projected(points, [x.split()[0] for x in POINTS.split(", ")])
-        touched = gone.unionByName(rows.select("file_path")).select(self._bucket("file_path").alias("b")).distinct().collect()  # BUCKETS rows at most
-        names = sorted(str(r["b"]) for r in touched)
-        old = self._read(head["buckets"][b] for b in names if b in head["buckets"])
-        made = self._write_points(without_paths(old, gone).unionByName(rows))
+
+        def touched(*parts: DataFrame) -> list[str]:
+            found = parts[0]
+            for part in parts[1:]:
+                found = found.unionByName(part)
+            return sorted(str(r["b"]) for r in found.select(self._bucket("file_path", n).alias("b")).distinct().collect())  # n rows at most
+
+        names = touched(gone, rows.select("file_path"))
+        old = self._read((head["buckets"][b] for b in names if b in head["buckets"]), POINTS)
+        made = self._write("points", without_paths(old, gone).unionByName(rows), POINTS, "file_path", n)
         changes: dict = {"buckets": {b: p for b, p in head["buckets"].items() if b not in names} | made}
         if manifest is not None:
-            kept = self.manifest().join(paths.select("rel_path").unionByName(manifest.select("rel_path")).distinct(), "rel_path", "left_anti")
-            changes["manifest"] = self._manifest(kept.unionByName(manifest))
+            told = paths.select("rel_path").unionByName(manifest.select("rel_path")).distinct()
+            marks = touched(told.select(F.col("rel_path").alias("file_path")))
+            known = self._read((head["manifest"][b] for b in marks if b in head["manifest"]), MANIFEST)
+            noted = self._write("manifest", known.join(told, "rel_path", "left_anti").unionByName(manifest.select(*(c.split()[0] for c in MANIFEST.split(", ")))), MANIFEST, "rel_path", n)
+            changes["manifest"] = {b: p for b, p in head["manifest"].items() if b not in marks} | noted
         if complete is not None:
             changes["metadata"] = head["metadata"] | {"complete": complete}
         self._commit(head, **changes)
@@ -267,7 +287,7 @@ class Store:
         self.delete_paths(gone)
 
     def delete_all(self) -> None:
-        self._commit(self._begun(), buckets={}, manifest=None)
+        self._commit(self._begun(), buckets={}, manifest={})
 
     def mark_complete(self, complete: bool) -> None:
         head = self.head()

@@ -231,6 +231,32 @@ def test_a_run_that_breaks_off_is_taken_up(spark, engine):
     assert (report.added, report.unchanged, report.points, report.complete) == (12 - had, had, 12, True)
 
 
+def test_a_refresh_writes_what_changed(spark, engine):
+    """Of points and manifest, only the buckets that a changed file lies in."""
+    listed = [(f"f{k}.py", text(f"word{k}"), 1) for k in range(40)]
+    engine.build(files(spark, listed))
+    before = engine.store.head()
+    engine.refresh(files(spark, [*listed[1:], ("f0.py", text("other"), 2)]))
+    after = engine.store.head()
+    for part in ("buckets", "manifest"):
+        assert set(after[part]) == set(before[part]) and len([b for b in after[part] if after[part][b] != before[part][b]]) == 1
+    assert engine.store.points().count() == engine.store.manifest().count() == 40
+    engine.refresh(files(spark, [(p, c, 9 if p == "f1.py" else m) for p, c, m in [*listed[1:], ("f0.py", text("other"), 2)]]))
+    assert engine.store.manifest().where("rel_path = 'f1.py'").first()["mtime_ms"] == 9.0  # touched, and not hashed again next time
+
+
+def test_buckets_grow_with_the_store(spark, engine, monkeypatch):
+    monkeypatch.setattr(S.Store, "BUCKETS", 2)
+    monkeypatch.setattr(S.Store, "POINTS_OF_BUCKET", 3)
+    engine.build(files(spark, [(f"f{k}.py", text(f"word{k}"), 1) for k in range(20)]))
+    assert engine.store.head()["n"] == 2  # 20 points are below four times what two buckets should have
+    engine.refresh(files(spark, [(f"f{k}.py", text(f"word{k}"), 1) for k in range(40)]))
+    head = engine.store.head()
+    assert head["n"] == 16 and len(head["buckets"]) > 4 and len(head["manifest"]) > 4
+    report = engine.refresh(files(spark, [(f"f{k}.py", text(f"word{k}"), 1) for k in range(1, 40)]))
+    assert (report.unchanged, report.deleted, report.points) == (39, 1, 39) and engine.store.manifest().count() == 39
+
+
 def test_runs_leave_no_scratch(spark, engine, tmp_path):
     engine.build(files(spark, [("a.py", text("a"), 1)]))
     engine.refresh(files(spark, [("a.py", text("b"), 2)]))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.shared import fresh, written
 
 #: What a scan never enters or reads.
 IGNORED_DIRS = (
@@ -100,53 +101,74 @@ def looks_like_text(content: Column) -> Column:
 IGNORE_FILES = (".gitignore",)
 
 
+class Rules(NamedTuple):
+    """What a walk takes: compiled patterns, extensions (None: all but BINARY), and the largest size."""
+
+    patterns: list
+    extensions: list[str] | None
+    max_bytes: int
+
+    def out(self, path: str, folder: bool) -> bool:
+        last = [r for r in self.patterns if (folder or not r.folders) and re.match(r.regex, path, re.S)]
+        return bool(last) and not last[-1].negated
+
+
+def _rules(root: str, patterns, extensions, max_bytes: int, ignore_files: tuple[str, ...]) -> Rules:
+    return Rules([p for p in map(compiled, [*IGNORED_GLOBS, *_own_patterns(root, ignore_files), *patterns]) if p], extensions, max_bytes)
+
+
+def _entries(folder: str, prefix: str, rules: Rules) -> Iterator[tuple]:
+    """(kind, rel_path, abs_path, size, mtime_ms) of what a folder holds, by name: file, folder,
+    ignored or too_large.  Links, empty files and unwanted ones aren't told of; neither is a folder
+    that can't be read."""
+    try:
+        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return
+    for e in entries:
+        path = f"{prefix}{e.name}"
+        if e.is_symlink():
+            continue
+        if e.is_dir():
+            low = e.name.lower()
+            pruned_ = low in IGNORED_DIRS or (low.startswith(".") and low not in ALLOWED_DOT_DIRS) or rules.out(path, True)
+            yield "ignored" if pruned_ else "folder", path, e.path, 0, 0.0
+            continue
+        stat = e.stat()
+        if not e.is_file() or not stat.st_size:
+            continue
+        if rules.out(path, False):
+            yield "ignored", path, e.path, 0, 0.0
+            continue
+        extension = os.path.splitext(e.name)[1].lower()
+        if (extension not in rules.extensions) if rules.extensions else (extension in BINARY):
+            continue
+        yield "too_large" if stat.st_size > rules.max_bytes else "file", path, e.path, stat.st_size, stat.st_mtime_ns / 1e6
+
+
 def walk(root: str, patterns: list[str] = (), extensions: list[str] | None = None, max_bytes: int = MAX_BYTES, max_files: int | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES) -> tuple[list[tuple], dict]:
-    """Files under ``root`` and what was skipped.  ``ignore_files`` name files at the root whose lines
+    """Files under ``root`` and what was skipped, in this process.  ``ignore_files`` name files at the root whose lines
     are patterns, those of later files after those of earlier ones.  Folders are pruned before they are entered, links
     aren't followed, a missing root is empty.  ``truncated`` is set once max_files are found."""
-    rules = [p for p in map(compiled, [*IGNORED_GLOBS, *_own_patterns(root, ignore_files), *patterns]) if p]
+    rules = _rules(root, patterns, extensions, max_bytes, ignore_files)
     counts = {"skipped_ignored": 0, "skipped_too_large": 0, "truncated": False}
-
-    def out(path: str, folder: bool) -> bool:
-        last = [r for r in rules if (folder or not r.folders) and re.match(r.regex, path, re.S)]
-        return bool(last) and not last[-1].negated
-
-    def visit(folder: str, prefix: str) -> Iterator[tuple]:
-        try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
-            return
-        for e in entries:
-            path = f"{prefix}{e.name}"
-            if e.is_symlink():
-                continue
-            if e.is_dir():
-                low = e.name.lower()
-                if low in IGNORED_DIRS or (low.startswith(".") and low not in ALLOWED_DOT_DIRS) or out(path, True):
-                    counts["skipped_ignored"] += 1
-                else:
-                    yield from visit(e.path, f"{path}/")
-                continue
-            stat = e.stat()
-            if not e.is_file() or not stat.st_size:
-                continue
-            if out(path, False):
-                counts["skipped_ignored"] += 1
-                continue
-            extension = os.path.splitext(e.name)[1].lower()
-            if (extension not in extensions) if extensions else (extension in BINARY):
-                continue
-            if stat.st_size > max_bytes:
-                counts["skipped_too_large"] += 1
-                continue
-            yield path, e.path, stat.st_size, stat.st_mtime_ns / 1e6
-
-    found = []
-    for row in visit(root, ""):
-        found.append(row)
-        if max_files and len(found) >= max_files:
-            counts["truncated"] = True
-            break
+    found: list[tuple] = []
+
+    def visit(folder: str, prefix: str) -> bool:
+        for kind, path, *rest in _entries(folder, prefix, rules):
+            if kind == "folder":
+                if not visit(rest[0], f"{path}/"):
+                    return False
+            elif kind == "file":
+                found.append((path, *rest))
+                if max_files and len(found) >= max_files:
+                    counts["truncated"] = True
+                    return False
+            else:
+                counts[f"skipped_{kind}"] += 1
+        return True
+
+    visit(root, "")
     return sorted(found), counts
 
 
@@ -161,10 +183,38 @@ def _own_patterns(root: str, names: tuple[str, ...]) -> list[str]:
     return lines
 
 
-def scan(spark: SparkSession, root: str, **options) -> tuple[DataFrame, dict]:
-    """(files, counts): the listing as a DataFrame, spread over tasks that read() can use."""
-    rows, counts = walk(root, **options)
-    return spark.createDataFrame(rows, FILES).repartition(max(1, len(rows) // 256)), counts
+LISTED = "kind string, rel_path string, abs_path string, size long, mtime_ms double"
+
+
+def scan(spark: SparkSession, root: str, patterns: list[str] = (), extensions: list[str] | None = None, max_bytes: int = MAX_BYTES, max_files: int | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES) -> tuple[DataFrame, dict]:
+    """(files, counts): what ``walk`` finds, as a DataFrame.
+
+    The tree is expanded by levels: the folders of one level are listed by tasks, and the folders
+    that they hold are the next level.  Each level is written, so the driver has counts alone.  The
+    tree must be mounted on all workers.  Of a listing that is cut to ``max_files`` the first by
+    path stay."""
+    import pandas as pd
+
+    rules, width = _rules(root, patterns, extensions, max_bytes, ignore_files), spark.sparkContext.defaultParallelism
+
+    def listed(frames):
+        for f in frames:
+            rows = [row for folder, path in zip(f["abs_path"], f["rel_path"], strict=True) for row in _entries(folder, f"{path}/" if path else "", rules)]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in LISTED.split(", ")])
+
+    base, levels = fresh(spark, "scan"), []
+    folders = spark.createDataFrame([("folder", "", root, 0, 0.0)], LISTED)
+    while not folders.isEmpty():
+        levels.append(f"{base}/{len(levels)}")
+        written(folders.repartition(width, "rel_path").mapInPandas(listed, LISTED), levels[-1])
+        folders = spark.read.schema(LISTED).parquet(levels[-1]).where("kind = 'folder'")
+    whole = spark.read.schema(LISTED).parquet(*levels)
+    n = {r["kind"]: r["n"] for r in whole.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    files = whole.where("kind = 'file'").drop("kind")
+    counts = {f"skipped_{k}": n.get(k, 0) for k in ("ignored", "too_large")} | {"truncated": bool(max_files) and n.get("file", 0) >= max_files}
+    if max_files:
+        files = files.orderBy("rel_path").limit(max_files)
+    return files.repartition(max(width, n.get("file", 0) // 4096), "rel_path"), counts
 
 
 def read(files: DataFrame) -> DataFrame:

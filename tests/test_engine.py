@@ -195,3 +195,24 @@ def test_findings_by_hand(spark):
         "level": (10, 0.02, 0.02, False, 0.95, None, False, False),
         "none": (10, None, None, False, None, 0.2, True, False),
     }
+
+
+def test_a_tree_is_expanded_by_levels(spark, tmp_path):
+    """The same listing as one process gives, on a tree of some thousand files; a cut one, a bare one."""
+    root = tmp_path / "tree"
+    for i in range(12):
+        for j in range(8):
+            folder = root / f"p{i}" / ("node_modules" if j == 7 else f"q{j}") / "deep"
+            folder.mkdir(parents=True)
+            for k in range(30):
+                (folder / (f"f{k}.py" if k % 5 else f"f{k}.log")).write_text("x" * (k % 4))
+    (root / ".gitignore").write_text("q3/\nf11.py\n!f10.log\n")
+    (root / "big.py").write_text("x" * 2000)
+    (root / "p0" / "loop").symlink_to(root)
+    (root / "p0" / "none").mkdir()
+    want, told = scan.walk(str(root), max_bytes=1000)
+    found, counts = scan.scan(spark, str(root), max_bytes=1000)
+    assert sorted(map(tuple, found.collect())) == want and counts == told and len(want) > 1000
+    cut, counts = scan.scan(spark, str(root), max_files=100)
+    assert [r["rel_path"] for r in cut.orderBy("rel_path").collect()] == sorted(r[0] for r in scan.walk(str(root))[0])[:100] and counts["truncated"]
+    assert scan.scan(spark, str(tmp_path / "missing"))[0].collect() == []

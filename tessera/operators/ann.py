@@ -110,23 +110,49 @@ def _cell(centroids: np.ndarray, n: int):
 def top_k(index: Index, queries: DataFrame, k: int, min_score: float, probes: int | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): for each of ``queries`` (key, vector) the best ``k`` points with
     score >= min_score among the cells that it reads; ties by id.  With as many ``probes`` as there
-    are cells the result is exact.
-
-    Queries meet points by cell.  A cell with many of either is cut into blocks, of which each of
-    one meets each of the other; a group hands on k rows a query at most.  Cells that no query reads
-    aren't read, as their folders are pruned."""
+    are cells the result is exact.  Cells that no query reads aren't read, as their folders are
+    pruned."""
     probes = min(probes or index.probes, len(index.centroids))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
     calls = asked.select("id", "vector", F.explode(_cell(index.centroids, probes)(F.col("vector"))).alias("cell"))
-    held = index.points.groupBy("cell").agg(F.count("*").alias("n"))
-    read = calls.groupBy("cell").agg(F.count("*").alias("q")).join(held, "cell")
-    full = read.select("cell", F.ceil(F.col("n") / POINTS).cast("int").alias("np"), F.ceil(F.col("q") / QUERIES).cast("int").alias("nq"))
+    return ranked(met(index.points, calls, "cell", k, min_score), k, "query_id")
+
+
+def by_profile(points: DataFrame, queries: DataFrame, k: int, min_score: float) -> DataFrame:
+    """(profile, query_id, id, score, rank): for each of ``queries`` (profile, id, vector) the best
+    ``k`` of the ``points`` (profile, id, vector) of its profile, all profiles in one job.
+
+    Vectors of a profile have one length, and those of different profiles aren't compared: scores of
+    different models say nothing of each other, so ranks are by profile.  A query of a profile that
+    has no points has no rows.  Null vectors are left out."""
+    some = lambda df: df.where("vector is not null and profile is not null").select("profile", "id", "vector")
+    return ranked(met(some(points), some(queries), "profile", k, min_score), k, "profile", "query_id")
+
+
+def ranked(hits: DataFrame, k: int, *by: str) -> DataFrame:
+    """The best ``k`` hits of each query, with rank."""
+    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "id")
+    columns = [*dict.fromkeys((*by, "query_id", "id", "score"))]
+    return hits.select(*columns).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def met(points: DataFrame, calls: DataFrame, group: str, k: int, min_score: float) -> DataFrame:
+    """(group, query_id, id, score): the best ``k`` points (group, id, vector) of each query (group,
+    id, vector) with a score of min_score or more, in each block of its group.
+
+    A group with many of either is cut into blocks, of which each of one meets each of the other in
+    one matrix product, and a block hands on k rows a query at most."""
+    kind = points.schema[group].dataType.simpleString()
+    points, calls = points.toDF(*points.columns), calls.toDF(*calls.columns)
+    held = points.groupBy(group).agg(F.count("*").alias("n"))
+    read = calls.groupBy(group).agg(F.count("*").alias("q")).join(held, group)
+    full = read.select(group, F.ceil(F.col("n") / POINTS).cast("int").alias("np"), F.ceil(F.col("q") / QUERIES).cast("int").alias("nq"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = calls.join(full, "cell").select("cell", every("np").alias("pb"), own("nq").alias("qb"), "id", "vector")
-    right = index.points.join(F.broadcast(full), "cell").select("cell", own("np").alias("pb"), every("nq").alias("qb"), "id", "vector")  # CELLS rows at most
+    left = calls.join(full, group).select(group, every("np").alias("pb"), own("nq").alias("qb"), "id", "vector")
+    right = points.join(full, group).select(group, own("np").alias("pb"), every("nq").alias("qb"), "id", "vector")
 
-    def best(q: pa.Table, p: pa.Table) -> pa.Table:
+    def best(key: tuple, q: pa.Table, p: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if q.num_rows and p.num_rows:
             ids = p["id"].to_numpy()
@@ -136,12 +162,12 @@ def top_k(index: Index, queries: DataFrame, k: int, min_score: float, probes: in
                 near = near[np.lexsort((ids[near], -row[near]))[:k]]
                 found += zip([query] * len(near), ids[near].tolist(), row[near].tolist(), strict=True)
         columns = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+        groups = pa.array([key[0].as_py()] * len(found), key[0].type)
+        return pa.table({group: groups, "query_id": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    blocks = ("cell", "pb", "qb")
-    hits = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(best, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    blocks = (group, "pb", "qb")
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both may come of one table
+    return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(best, f"{group} {kind}, query_id long, id long, score double")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

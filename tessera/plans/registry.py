@@ -530,6 +530,22 @@ def vector_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.recall(vector_topk_ann(spark, sf_dir), _hits(spark, sf_dir, e, 10, 0.2))
 
 
+#: Three profiles of unequal dimension: whole vectors, their beginnings, and the ends of every third.
+_PROFILES = """(SELECT 'whole:64' AS profile, vec_id AS id, embedding::DOUBLE[] AS vector FROM embeddings UNION ALL SELECT 'head:16', vec_id, embedding[1:16]::DOUBLE[] FROM embeddings
+  UNION ALL SELECT 'tail:8', vec_id, embedding[-8:]::DOUBLE[] FROM embeddings WHERE vec_id % 3 = 0)"""
+
+
+@query(
+    f"""SELECT profile, query_id, id, score, row_number() OVER (PARTITION BY profile, query_id ORDER BY score DESC, id)::INT AS rank FROM (SELECT p.profile, q.id AS query_id, p.id, round(list_cosine_similarity(q.vector, CASE WHEN len(p.vector) = len(q.vector) THEN p.vector ELSE q.vector END), 6) AS score
+  FROM {_PROFILES} q JOIN {_PROFILES} p ON p.profile = q.profile WHERE q.id % 100 = 0) WHERE score >= 0.2 QUALIFY rank <= 10"""
+)
+def profile_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.table(spark, sf_dir, "embeddings")
+    profile = lambda name, vector, rows: rows.select(F.lit(name).alias("profile"), F.col("vec_id").alias("id"), vector.alias("vector"))
+    points = profile("whole:64", F.col("embedding"), e).unionByName(profile("head:16", F.slice("embedding", 1, 16), e)).unionByName(profile("tail:8", F.slice("embedding", -8, 8), e.where("vec_id % 3 = 0")))
+    return ann.by_profile(points, points.where("id % 100 = 0"), 10, 0.2)
+
+
 @query(f"SELECT query_id, id, score FROM {_SCORED} WHERE score >= 0.3")
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir, B.points(spark, sf_dir), None).withColumn("least", search.threshold(F.lit(None).cast("double"), F.lit(0.3)))

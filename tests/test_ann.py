@@ -59,3 +59,15 @@ def test_small_and_awkward_tables(spark, x):
     index = ann.build(points, shared.fresh(spark, "ann"))
     got = rows(ann.top_k(index, points, 5, 0.5))
     assert got == [(i, i, 1.0, 1) for i, v in enumerate(x) if v and any(v)]
+
+
+def test_profiles_in_one_job(spark, monkeypatch):
+    """Profiles of unequal dimension, one without points, one that is cut into blocks."""
+    monkeypatch.setattr(ann, "POINTS", 16)
+    schema = "profile string, id long, vector array<double>"
+    rows = [("a:2", i, [1.0, i / 10]) for i in range(60)] + [("b:3", i, [0.0, 1.0, float(i)]) for i in range(4)] + [("b:3", 9, None), (None, 8, [1.0])]
+    asked = [("a:2", 1, [1.0, 0.0]), ("b:3", 1, [0.0, 1.0, 0.0]), ("c:1", 1, [1.0])]
+    got = ann.by_profile(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), 2, 0.1).collect()
+    assert sorted((r["profile"], r["query_id"], r["id"], r["score"], r["rank"]) for r in got) == [
+        ("a:2", 1, 0, 1.0, 1), ("a:2", 1, 1, 0.995037, 2), ("b:3", 1, 0, 1.0, 1), ("b:3", 1, 1, 0.707107, 2),
+    ]

@@ -164,7 +164,10 @@ class Store:
         name = f"{kind}-{uuid.uuid4().hex}"
         width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = projected(rows, [x.split()[0] for x in schema.split(", ")], schema).withColumn("bucket", self._bucket(path, n)).repartitionByRange(width, "bucket", path)
-        dealt.sortWithinPartitions("bucket", path).write.partitionBy("bucket").parquet(f"{self.root}/{name}")
+        writer = dealt.sortWithinPartitions("bucket", path).write.partitionBy("bucket")
+        if kind == "points":  # ids aren't in the order of paths, so files say by a Bloom filter which ids they may have
+            writer = writer.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer.parquet(f"{self.root}/{name}")
         made = (s.getPath().getName() for s in self._fs().listStatus(self._path(f"{self.root}/{name}")))
         return {m.split("=")[1]: f"{name}/{m}" for m in made if m.startswith("bucket=")}
 
@@ -176,6 +179,15 @@ class Store:
         head = self.head()
         return self._read(sorted(head["buckets"].values()) if head else [], POINTS)
 
+    def lookup(self, ids: list[str]) -> DataFrame:
+        """The points with these ids, for some hundreds of them: comparisons go down to the files, whose
+        Bloom filters tell which parts can't have them, and those aren't read.  For large sets of ids
+        ``looked_up`` joins."""
+        wanted = F.lit(False)
+        for i in dict.fromkeys(ids):
+            wanted = wanted | (F.col("id") == F.lit(i))
+        return self.points().where(wanted)
+
     def manifest(self) -> DataFrame | None:
         head = self.head()
         return None if head is None else self._read(sorted(head["manifest"].values()), MANIFEST)

@@ -299,3 +299,21 @@ def test_dimensions(spark):
     assert refresh.probed_dimension(None, None, "p", "m", 8) == 8
     assert refresh.probed_dimension(None, {"provider": "p", "model": "m", "dimension": "16"}, "p", "m") == 16
     assert refresh.probed_dimension(lambda texts: [[0.0] * 3], {"provider": "q", "model": "m", "dimension": 16}, "p", "m") == 3
+
+
+def rows_read(df):
+    """Rows that the scans of a query without a shuffle gave to it."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_lookups_skip_files(spark, engine):
+    engine.build(files(spark, [(f"d{k % 7}/f{k}.py", text(f"word{k}"), 1) for k in range(400)]))
+    ids = [r["id"] for r in engine.store.points().orderBy("id").select("id").limit(5).collect()]
+    found = engine.store.lookup([*ids, "not-there", ids[0]])
+    assert sorted(r["id"] for r in found.collect()) == ids
+    assert rows_read(engine.store.lookup(ids)) < 120  # of 400: parts that can't have them aren't read
+    assert rows_read(engine.store.lookup(["not-there"])) < 40
+    assert engine.store.lookup([]).collect() == []
+    assert rows_read(engine.store.points().where(F.startswith("file_path", F.lit("zzz")))) == 0  # files are sorted by path

@@ -79,7 +79,7 @@ def test_query_matches_sql(name, same):
 def test_all_queries_are_registered():
     import __spark_entry__ as entry
 
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(n) for n in range(1, 13)}
     assert "pipeline" in entry.queries()
 
 

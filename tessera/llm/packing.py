@@ -22,8 +22,9 @@ from tessera.llm.tokens import Encoder, encoded, tokenizer_path
 CAPACITY, STEP = 2048, 0.25
 
 #: A configuration is used when it's worth the best one's value less this share, as one pricing then serves
-#: many lengths; how much of a length's demand, as a share, counts as none.
-NEAR, NONE = 0.02, 1e-9
+#: many lengths; how much of a length's demand, as a share, counts as none; how far a STEP of the demand lowers
+#: a length's weight.  The lower it is, the nearer to full are the configurations that a pricing finds.
+NEAR, NONE, RATE = 0.02, 1e-9, 0.02
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, nth long"
 
@@ -107,7 +108,7 @@ def fractional(demand: np.ndarray, capacity: int, rounds: int | None = None, ste
             chosen[items] = chosen.get(items, 0.0) + times
         some = np.flatnonzero(before > room)
         uncovered[some] -= (before - room)[some]
-        weights[some] *= np.exp(-(before - room)[some] / demand[some] / step * 0.5)
+        weights[some] *= np.exp(-(before - room)[some] / demand[some] / step * RATE)
         weights[uncovered <= 2 * least] = 0
     return chosen
 

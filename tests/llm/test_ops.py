@@ -721,6 +721,22 @@ def test_the_program_covers_the_demand():
     assert (left >= 0).all() and (left * tokens).sum() <= 0.02 * (demand * tokens).sum()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_plans_need_no_more_than_best_fit(seed):
+    """Nor more than the tokens do by one in a thousand, and best fit gets few of them."""
+    rng = np.random.default_rng(seed)
+    lengths = np.clip(rng.lognormal(5 + seed / 4, 0.9, 20_000), 1, 1024).astype(int)
+    demand = np.bincount(lengths, minlength=1025)
+    tokens = (demand * np.arange(1025)).sum()
+    sequences = sum(c.count for c in packing.plan(demand, 1024))
+    assert sequences <= sum(c.count for c in packing.best_fit(demand, 1024))
+    assert sequences <= 1.001 * tokens / 1024 + 1
+    left = demand.copy()
+    left[1024] = 0
+    packing.rounded(packing.fractional(left.astype(float), 1024), left)
+    assert (left * np.arange(1025)).sum() <= 0.1 * tokens
+
+
 def test_price_is_optimal():
     values = np.zeros(13)
     values[[3, 5, 7]] = 3.1, 5.5, 7.2

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import stored
 
@@ -98,30 +102,49 @@ def _key() -> Column:
     return F.xxhash64("sha")
 
 
-def build_filters(buckets: DataFrame, n_buckets: int) -> DataFrame:
-    """Filters (bucket, filter) over the distinct digests of a snapshot's exact buckets."""
+def bucket(n_buckets: int) -> Column:
+    """The bucket of a digest among ``n_buckets``, a power of two, so that finer buckets are parts of coarser ones."""
+    return F.pmod(_key(), F.lit(n_buckets)).cast("int")
+
+
+def buckets_for(rows: int) -> int:
+    """How many buckets hold ``rows`` digests, about FILTER_KEYS or half as many each."""
+    return 1 << max(0, -(-rows // FILTER_KEYS) - 1).bit_length()
+
+
+def build_filters(known: DataFrame, n_buckets: int) -> DataFrame:
+    """Filters (bucket, n_buckets, filter) over the distinct digests of a snapshot's exact buckets."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.unique(pdf["key"].to_numpy(np.int64).view(np.uint64))
-        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "filter": [FuseFilter.build(keys).to_bytes()]})
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "n_buckets": n_buckets, "filter": [FuseFilter.build(keys).to_bytes()]})
 
-    rows = buckets.select(F.pmod(_key(), F.lit(n_buckets)).cast("int").alias("bucket"), _key().alias("key"))
-    return rows.groupBy("bucket").applyInPandas(build, "bucket int, filter binary")
+    rows = known.select(bucket(n_buckets).alias("bucket"), _key().alias("key"))
+    return rows.groupBy("bucket").applyInPandas(build, "bucket int, n_buckets int, filter binary")
 
 
-def screen(incoming: DataFrame, filters: DataFrame, n_buckets: int) -> DataFrame:
-    """The rows of ``incoming`` (sha, ...) whose digests a snapshot's filters let through.  Each
-    filter meets its bucket's digests in one task; the snapshot itself isn't read."""
+def screen(incoming: DataFrame, filters: DataFrame, width: int) -> DataFrame:
+    """(sha, ..., snapshot) for each row of ``incoming`` (sha, ...; a digest once) and each snapshot whose
+    ``filters`` (snapshot, bucket, n_buckets, filter) let it through.  The snapshots themselves aren't read.
+
+    ``width``, a power of two, is how many buckets the digests are dealt to: no fewer than any snapshot
+    has, and enough for ``incoming``.  The filter of a coarser bucket is sent to each of
+    its parts, so a task holds its share of the digests and one filter of each snapshot, however
+    small a snapshot and large a batch are."""
     columns = incoming.columns
 
     def passed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return left.iloc[:0][columns]
-        found = FuseFilter.from_bytes(right["filter"].iloc[0]).contains(left["key_"].to_numpy(np.int64).view(np.uint64))
-        return left.loc[found, columns]
+        keys = left["key_"].to_numpy(np.int64).view(np.uint64)
+        found = [left.iloc[:0][columns].assign(snapshot=pd.Series(dtype=object))]
+        if len(left):
+            for snapshot, data in zip(right["snapshot"], right["filter"]):
+                found.append(left.loc[FuseFilter.from_bytes(data).contains(keys), columns].assign(snapshot=snapshot))
+        return pd.concat(found[1:] or found)
 
-    rows = incoming.withColumns({"key_": _key(), "bucket": F.pmod(_key(), F.lit(n_buckets)).cast("int")})
-    return rows.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(passed, incoming.schema)
+    rows = incoming.withColumns({"key_": _key(), "part_": bucket(width)})
+    parts = filters.select("snapshot", "filter", F.explode(F.sequence("bucket", F.lit(width - 1), "n_buckets")).alias("part_"))
+    schema = T.StructType([*incoming.schema.fields, T.StructField("snapshot", T.StringType())])
+    return rows.groupBy("part_").cogroup(parts.groupBy("part_")).applyInPandas(passed, schema)
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -148,13 +171,14 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     heads, snapshots = [], []
     for b in range(batches):
         batch = grouped(rows.where(F.col("batch") == b))
+        joined = None
         if snapshots:
             batch = stored(batch, "exact-batch")
-        joined = None
-        for known, filters, n_buckets in snapshots:
-            positive = screen(batch.select("sha", F.col("best").alias("new")), filters, n_buckets)
-            found = positive.join(known.select("sha", F.col("best").alias("old")), "sha")
-            joined = found if joined is None else joined.unionByName(found)
+            filters = reduce(DataFrame.unionByName, [f.withColumn("snapshot", F.lit(str(k))) for k, (_, f, _) in enumerate(snapshots)])
+            width = max(buckets_for(batch.count()), *(n for _, _, n in snapshots))
+            positive = screen(batch.select("sha", F.col("best").alias("new")), filters, width)
+            olds = reduce(DataFrame.unionByName, [known.select("sha", F.col("best").alias("old"), F.lit(str(k)).alias("snapshot")) for k, (known, _, _) in enumerate(snapshots)])
+            joined = positive.join(olds, ["sha", "snapshot"])
         if joined is not None:
             same = stored(equal_bytes(docs, joined), "exact-same")
             heads.append(batch.join(same.select("sha"), "sha", "left_semi"))
@@ -162,7 +186,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         known = stored(batch, "exact-buckets")
         heads.append(known)
         if b < batches - 1:
-            n_buckets = max(1, -(-known.count() // FILTER_KEYS))
+            n_buckets = buckets_for(known.count())
             snapshots.append((known, stored(build_filters(known, n_buckets), "exact-filters"), n_buckets))
     whole = heads[0]
     for more in heads[1:]:
@@ -188,3 +212,70 @@ def equal_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("sha") == F.col("sha_")), "left_semi")
     ends = texts.groupBy("sha").agg(F.min("text").alias("low"), F.max("text").alias("high"))
     return ends.where(F.when(F.col("low") == F.col("high"), True).otherwise(F.raise_error(F.lit("two texts share a SHA-256")).cast("boolean"))).select("sha")
+
+
+BUCKETS = "sha string, doc_id long, text string, snapshot string"
+FILTERS = "bucket int, n_buckets int, filter binary, snapshot string"
+
+
+class Snapshots:
+    """Immutable snapshots of what was let in, in a folder that driver and executors share, as two Parquet
+    tables by snapshot: exact buckets (sha, doc_id, text) and filters.  Filters are written
+    last: a snapshot without them doesn't count, and writing it again replaces it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def table(self, name: str, schema: str, before: str) -> DataFrame:
+        """Rows of the snapshots whose names come before ``before``."""
+        try:
+            rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], schema)
+        return rows.where(F.col("snapshot") < before)
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").parquet(f"{self.folder}/{name}")
+
+    def admit(self, docs: DataFrame, snapshot: str) -> DataFrame:
+        """One row for each row of ``docs``, a new batch: doc_id, row, keep_id, group_size, kept,
+        text_sha256; what is kept becomes the snapshot named ``snapshot``.
+
+        Digests are screened by the filters of all snapshots whose names come before this one's, in the
+        order of strings; what they let through joins those exact buckets, and texts are
+        compared byte by byte.  A text that is there already isn't kept again, whatever its id,
+        and keep_id is the earlier document's.  Of equal texts of the batch alone the row with the
+        largest id stays, as in dedup(); group_size counts the batch's rows.  A batch that is
+        admitted again under its name gives the same rows and tables.
+
+        Null counts as empty text; null ids come before all others.  An empty batch, or one with
+        nothing new, adds no snapshot.  Columns other than doc_id and text are ignored."""
+        # Written once, so that a row has the same number wherever it is read.
+        rows = stored(docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("sha"), F.coalesce("text", F.lit("")).alias("text")), "exact-incoming")
+        batch = stored(grouped(rows), "exact-batch")
+        filters = self.table("filters", FILTERS, snapshot)
+        widest = filters.agg(F.max("n_buckets")).first()[0] or 1
+        positive = screen(batch.select("sha", F.col("best.row").alias("row")), filters, max(widest, buckets_for(batch.count())))
+        known = self.table("buckets", BUCKETS, snapshot).select("sha", "snapshot", F.col("doc_id").alias("old_id"), F.col("text").alias("old"))
+        met = positive.join(known, ["sha", "snapshot"]).join(rows.select("row", "text"), "row")
+        same = F.when(F.col("old") == F.col("text"), True).otherwise(F.raise_error(F.lit("two texts share a SHA-256")).cast("boolean"))
+        there = stored(met.where(same).groupBy("sha").agg(F.max("old_id").alias("old_id")), "exact-same")
+        new = batch.join(there, "sha", "left_anti").select("sha", F.col("best.row").alias("row"))
+        fresh = rows.join(new.select("row"), "row", "left_semi").select("sha", "doc_id", "text", F.lit(snapshot).alias("snapshot"))
+        self._write(fresh, "buckets")
+        kept = self.table("buckets", BUCKETS, snapshot + "\0").where(F.col("snapshot") == snapshot)
+        if n := kept.count():
+            self._write(build_filters(kept, buckets_for(n)).withColumn("snapshot", F.lit(snapshot)), "filters")
+        # Written, so that the join below has plain exchanges on both sides, and a large group is split.
+        groups = stored(batch.join(there.withColumn("known", F.lit(True)), "sha", "left"), "exact-groups")
+        known_before = F.coalesce("known", F.lit(False))
+        return rows.drop("text").join(groups, "sha").select(
+            "doc_id",
+            "row",
+            F.when(known_before, F.col("old_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+            F.col("n").alias("group_size"),
+            (~known_before & (F.col("row") == F.col("best.row"))).alias("kept"),
+            F.col("sha").alias("text_sha256"),
+        )

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, exact, graph, jaccard, lm, mixing, packing, quality, queries, secrets, sharding, tokens
 
@@ -46,7 +47,6 @@ AWKWARD = [
 @pytest.fixture(scope="module")
 def awkward(spark):
     """Nulls, blanks, repeats, ties and a long text, with extra columns whose names clash."""
-    from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows_of(AWKWARD), DOC)
     extra = "row key size id kinds bucket node token n w_ h_ text_sha256 kept slot target block start".split()
@@ -194,6 +194,63 @@ def test_exact(awkward, empty, batches):
     assert exact.dedup(empty, batches).count() == 0
 
 
+def admitted(known, batch):
+    """What admit() should say of ``batch``, (doc_id, text) rows, and what is known after it, by a loop."""
+    groups, out = defaultdict(list), Counter()
+    for i, t in batch:
+        groups[t or ""].append(i)
+    for t, ids in groups.items():
+        best = max(ids, key=lambda i: (i is not None, i))
+        keep = known.get(t, best)
+        once = t not in known
+        for i in ids:
+            mine = once and i == best
+            out[i, keep, len(ids), mine, hashlib.sha256(t.encode()).hexdigest()] += 1
+            once = once and not mine
+    return out, {t: max(ids, key=lambda i: (i is not None, i)) for t, ids in groups.items()} | known
+
+
+def test_snapshots_are_read_and_extended(spark, tmp_path, monkeypatch):
+    """A small snapshot and a large batch of many buckets, then a small batch; a batch that is admitted again."""
+    monkeypatch.setattr(exact, "FILTER_KEYS", 100)
+    schema = "source string, text string, doc_id long, sha string, row int"
+    first = [(k, f"text {k}") for k in range(50)] + [(None, "no id"), (60, None), (61, ""), (70, "text 7")]
+    second = [(100 + k, f"text {k % 1500}") for k in range(4000)] + [(5000, "no id"), (5001, "")]
+    third = [(6000, "text 1499"), (6001, "text 3"), (6002, "new"), (6002, "new"), (None, None)]
+    store, known = exact.Snapshots(spark, f"file://{tmp_path}/snapshots"), {}
+    for name, batch in (("01", first), ("02", second), ("03", third), ("04", third)):
+        df = spark.createDataFrame([("s", t, i, "x", 1) for i, t in batch], schema)
+        want, known = admitted(known, batch)
+        for _ in range(2):
+            got = store.admit(df, name).collect()
+            assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
+            assert len({r["row"] for r in got}) == len(batch)
+    filters = {r["snapshot"]: r["n"] for r in store.table("filters", exact.FILTERS, "~").groupBy("snapshot").agg(F.max("n_buckets").alias("n")).collect()}
+    assert filters == {"01": 1, "02": 16, "03": 1}  # nothing in "04" was new
+    assert {r["text"]: r["doc_id"] for r in store.table("buckets", exact.BUCKETS, "~").collect()} == known
+
+
+def test_snapshots_of_awkward_rows(spark, awkward, empty, tmp_path):
+    store = exact.Snapshots(spark, f"file://{tmp_path}/snapshots")
+    assert store.admit(empty, "0").count() == 0
+    want, _ = admitted({}, pairs(awkward))
+    got = store.admit(awkward, "1").collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
+    assert store.admit(awkward, "2").where("kept").isEmpty()
+
+
+@pytest.mark.parametrize("small, large", [(3, 2000), (2000, 3)])
+def test_screens_miss_nothing_whatever_the_sizes(spark, monkeypatch, small, large):
+    monkeypatch.setattr(exact, "FILTER_KEYS", 50)
+    known = spark.range(small).select(F.sha2(F.col("id").cast("string"), 256).alias("sha"))
+    incoming = spark.range(large).select(F.sha2(F.col("id").cast("string"), 256).alias("sha"), "id")
+    n = exact.buckets_for(small)
+    filters = exact.build_filters(known, n).withColumn("snapshot", F.lit("a"))
+    got = [r["id"] for r in exact.screen(incoming, filters, max(n, exact.buckets_for(large))).collect()]
+    assert set(range(min(small, large))) <= set(got) and len(got) == len(set(got))
+    assert len(got) <= min(small, large) + 0.03 * large
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=3000))
 @settings(max_examples=40, deadline=None)
 def test_fuse_filter_misses_nothing(keys):
@@ -239,7 +296,6 @@ def test_chats_are_told_apart_by_separators_and_nulls(spark):
     schema = "conv_id long, turn int, role string, text string"
     odd = [("user", None), ("user", "\u0002"), ("user", "-"), ("user", ""), (None, "-"), ("-", None), ("u\u0001a", "b"), ("u", "a\u0001b"), ("1:u", "1:a"), ("1:u1", ":a"), (None, None)]
     df = spark.createDataFrame([(k, 1, r, t) for k, (r, t) in enumerate(odd)] + [(20, 1, "user", None), (20, 2, "x", "y")], schema)
-    from pyspark.sql import functions as F
 
     clash = df.withColumns({c: F.lit("clash") for c in "place bucket rolled rank base c_ b_ n_turns keep w0 r0 said n end".split()})
     for table in (df, clash):
@@ -641,7 +697,6 @@ def test_shards_of_all_documents(spark, sf):
 
 
 def test_placement(spark, awkward, empty, tmp_path):
-    from pyspark.sql import functions as F
 
     table = plain_table([f"shard-{i:05d}" for i in range(sharding.SHARDS)], sharding.SLOTS)
     got = sharding.place(awkward, F.col("doc_id")).collect()

@@ -12,12 +12,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects.  A null, empty or blank text has no words, so it goes; rows
+    that repeat are judged alike, and all stay.  An empty table gives an empty one, and columns
+    other than those of documents are dropped, here and in the next three stages."""
     return quality.judge(docs).where("kept").select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id, once."""
+    """Of equal texts the document with the largest id, once.  Null counts as empty text; a null id is
+    less than all others."""
     rows = exact.dedup(docs).groupBy("doc_id", F.col("text_sha256").alias("text_key"))
     chosen = rows.agg(F.max("kept").alias("kept"), F.count("*").alias("times")).where("kept")
     return _taken(docs, chosen.withColumn("copies", F.lit(1)), exact.digest(F.col("text")))
@@ -34,14 +37,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: rows repeat."""
+    """Documents as often as the mix takes them: rows repeat.  A text without words has size 0 and isn't
+    taken; a null source is one of its own, the last."""
     rows = mixing.mix(docs).groupBy("doc_id", "text_key")
     chosen = rows.agg(F.sum("copies").alias("copies"), F.count("*").alias("times")).where("copies > 0")
     return _taken(docs, chosen, F.xxhash64("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, packed into sequences."""
+    """Pieces of documents, packed into sequences.  A row that repeats is packed each time; a null or
+    empty text is one piece of the end id.  An empty table gives no pieces."""
     return packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), end_id=0)
 
 

@@ -47,7 +47,6 @@ AWKWARD = [
 @pytest.fixture(scope="module")
 def awkward(spark):
     """Nulls, blanks, repeats, ties and a long text, with extra columns whose names clash."""
-
     df = spark.createDataFrame(rows_of(AWKWARD), DOC)
     extra = "row key size id kinds bucket node token n w_ h_ text_sha256 kept slot target block start".split()
     return df.withColumns({c: F.lit("clash") for c in extra})
@@ -697,7 +696,6 @@ def test_shards_of_all_documents(spark, sf):
 
 
 def test_placement(spark, awkward, empty, tmp_path):
-
     table = plain_table([f"shard-{i:05d}" for i in range(sharding.SHARDS)], sharding.SLOTS)
     got = sharding.place(awkward, F.col("doc_id")).collect()
     for r in got:

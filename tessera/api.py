@@ -43,11 +43,12 @@ class Engine:
         self.profile, self.dimension, self.embed_column = profile, dimension, embed_column
 
     def points_of(self, files: DataFrame) -> DataFrame:
-        """Points of ``files`` (rel_path, content)."""
+        """Points of ``files`` (rel_path, content), one of each chunk.  A chunk whose text has no vector
+        is kept with zeros, which have no cosine, so no search finds it."""
         chunks = chunk.chunk_files(files, self.by_syntax)
         rows = chunks.select(
             T.uuid5(F.col("segment_hash")).alias("id"),
-            self.embed_column(F.col("content")).alias("vector"),
+            F.coalesce(self.embed_column(F.col("content")), F.array_repeat(F.lit(0.0).cast("float"), self.dimension)).alias("vector"),
             T.slashed(F.col("file_path")).alias("file_path"),
             "file_hash",
             F.col("content").alias("code_chunk"),
@@ -55,7 +56,7 @@ class Engine:
             "end_line",
             "segment_hash",
         )
-        return projected(rows.where("vector is not null"), [x.split()[0] for x in POINTS.split(", ")])
+        return projected(rows, [x.split()[0] for x in POINTS.split(", ")])
 
     def build(self, files: DataFrame, files_per_commit: int | None = None) -> Report:
         """Index all ``files`` (rel_path, content, size, mtime_ms) anew, and delete what isn't there any

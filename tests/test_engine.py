@@ -44,6 +44,15 @@ def test_build_refresh_search(spark, engine):
     assert {h["file_path"] for h in find(engine, "alpha beta", path="src", min_score=0.0).collect()} == {"src/a.py", "src/b.py", "src/d.py"}
 
 
+def test_a_chunk_without_a_vector_is_a_point_that_nothing_finds(spark, engine):
+    report = engine.build(files(spark, [("a.txt", "# - " * 40, 1), ("b.txt", text("pear"), 1)]))
+    assert (report.points, report.complete) == (2, True)
+    assert set(engine.store.points().where("file_path = 'a.txt'").first()["vector"]) == {0.0}
+    assert [h["file_path"] for h in find(engine, text("pear"), min_score=-1.0).collect()] == ["b.txt"]
+    r = engine.refresh(files(spark, [("a.txt", "# - " * 40, 1), ("b.txt", text("pear"), 1)]))
+    assert (r.added, r.changed, r.unchanged, r.points) == (0, 0, 2, 2)
+
+
 def test_truncated_listing_deletes_nothing(spark, engine):
     engine.build(files(spark, [("a.py", text("a"), 1), ("b.py", text("b"), 1)]))
     r = engine.refresh(files(spark, [("a.py", text("a"), 1)]), truncated=True)

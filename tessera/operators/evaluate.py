@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
+from tessera.operators import matching, postings
 from tessera.operators.postings import BETWEEN, Postings, term_hits
 
 #: Fixed values.
@@ -22,12 +23,28 @@ def unranked(files: DataFrame) -> DataFrame:
     return files.where(F.col("rel_path").rlike(SKIPPED) | (F.length("content") > MOST_CHARS)).select("rel_path")
 
 
-def keyword_ranked(queries: DataFrame, files: DataFrame, index: Postings, k: int) -> DataFrame:
+def _counted(asked: DataFrame, files: DataFrame, index: Postings) -> DataFrame:
+    """(query_id, rel_path, n_terms, n_hits) of all files with a term of ``asked`` (query_id, term)."""
+    hits = term_hits(index, asked, T.TERM_CAP).join(unranked(files), "rel_path", "left_anti")
+    return hits.join(asked, "term").groupBy("query_id", "rel_path").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_hits"))
+
+
+def keyword_ranked(queries: DataFrame, files: DataFrame, index: Postings | None, k: int) -> DataFrame:
     """(query_id, rel_path, n_terms, n_hits, rank): ``files`` by distinct terms of the query, then
-    hits, then path; ``index`` is that of all files."""
+    hits, then path.  With ``index``, that of all files, it counts by stored postings; without, which
+    is cheaper unless an index is kept, in one pass over the texts.  A path that comes twice has the
+    words of both: such files, which a listing has none of, are counted by an index of their own."""
     asked = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
-    hits = term_hits(index, asked, T.TERM_CAP).join(unranked(files), "rel_path", "left_anti")
-    counted = hits.join(asked, "term").groupBy("query_id", "rel_path").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_hits"))
+    if index is not None:
+        counted = _counted(asked, files, index)
+    else:
+        repeated = files.groupBy("rel_path").count().where("count > 1").select("rel_path")
+        twice = None if repeated.isEmpty() else files.join(repeated, "rel_path", "left_semi")
+        once = files if twice is None else files.join(repeated, "rel_path", "left_anti")
+        once = once.where(~(F.col("rel_path").rlike(SKIPPED) | (F.length("content") > MOST_CHARS)))
+        counted = matching.best_by_terms(asked, once, k, T.TERM_CAP)
+        if twice is not None:
+            counted = counted.unionByName(_counted(asked, twice, postings.build(twice)))
     order = Window.partitionBy("query_id").orderBy(F.col("n_terms").desc(), F.col("n_hits").desc(), "rel_path")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

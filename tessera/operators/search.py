@@ -45,7 +45,7 @@ def top_k_per_query(points: DataFrame, queries: DataFrame, k: int | None, min_sc
     spark = points.sparkSession
     found = None
     rows = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("v"))
-    for block in _blocks(rows, QUERY_BLOCK):
+    for block in blocks(rows, QUERY_BLOCK):
         ids = np.array([r[0] for r in block])
         matrix = np.array([r[1] for r in block], np.float64)
         lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -77,7 +77,7 @@ def top_k_per_query(points: DataFrame, queries: DataFrame, k: int | None, min_sc
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(rows: DataFrame, size: int):
+def blocks(rows: DataFrame, size: int):
     block = []
     for row in rows.toLocalIterator():
         block.append(row)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import postings
+from tessera.operators import matching
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,10 +78,10 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def expected(spark: SparkSession, sf_dir: str, index: postings.Postings) -> DataFrame:
-    """(query_id, rel_path): files that hold a query's passage, by the index of all files."""
+def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rel_path): files that hold a query's passage."""
     q = queries(spark, sf_dir).withColumnRenamed("query", "phrase")
-    return postings.phrase_hits(index, q, files(spark, sf_dir)).join(q, "phrase").select("query_id", "rel_path").distinct()
+    return matching.phrases_in(q, files(spark, sf_dir)).join(q, "phrase").select("query_id", "rel_path").distinct()
 
 
 EXPECTED = f"SELECT DISTINCT item_id AS query_id, rel_path FROM benchmark b JOIN ({FILES}) f ON contains(f.content, b.text)"

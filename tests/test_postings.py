@@ -1,14 +1,17 @@
 """The substring index: terms and phrases against Python's own counting, and the name ranker."""
 
 import itertools
+import os
 import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import evaluate, postings
+from tessera.operators import evaluate, matching, postings
+from tessera.plans import registry
 from tessera.sources import shared
 
 FILES = "rel_path string, content string"
@@ -84,6 +87,38 @@ def test_keyword_ranking_leaves_out_what_it_does_not_read(spark, monkeypatch):
     assert [(r["query_id"], r["rel_path"], r["n_terms"], r["n_hits"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, "a.py", 2, 3, 1), (1, "b.py", 1, 1, 2)]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_one_pass_ranks_as_postings_do(spark, monkeypatch, seed):
+    """In one pass, over blocks of queries, files rank as by an index, repeated paths and ids too."""
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 3)
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(3, 9)))
+    rows = [(f"f{i}.py", " ".join(rng.choice([word(), word().upper(), "-", "abcabc"]) for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    rows += [*rows[:3], ("f1.py", word()), ("null.py", None), ("x.lock", "abc abcabc"), ("many.py", "abc" * 30)]
+    asked = spark.createDataFrame([(i % 9, " ".join(word()[: rng.randint(3, 5)] for _ in range(5))) for i in range(10)] + [(99, "of"), (98, None)], "query_id long, query string")
+    listed = spark.createDataFrame(rows, FILES)
+    want = evaluate.keyword_ranked(asked, listed, postings.build(listed), 7)
+    got = evaluate.keyword_ranked(asked, listed, None, 7).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
+    phrases = spark.createDataFrame([(r[1][4:20],) for r in rows if r[1]] + [("",), (None,), ("-",), ("cab a",)], "phrase string")
+    held = matching.phrases_in(phrases, listed)
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, postings.phrase_hits(postings.build(listed), phrases, listed).collect()))
+
+
+def test_one_pass_over_nothing(spark):
+    empty, asked = spark.createDataFrame([], FILES), spark.createDataFrame([(1, "parser")], "query_id long, query string")
+    assert evaluate.keyword_ranked(asked, empty, None, 3).count() == evaluate.keyword_ranked(asked.limit(0), files(spark, TEXTS), None, 3).count() == 0
+    assert matching.phrases_in(asked.select(F.col("query").alias("phrase")).limit(0), files(spark, TEXTS)).count() == 0
+
+
+def test_rankings_of_tables_store_no_postings(spark, sf):
+    """An index of all words is as large as the texts; a ranking that is made once doesn't write it."""
+    at = shared.folder(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    assert registry.QUERIES["ndcg"](spark, sf).count() and registry.QUERIES["rrf_fusion"](spark, sf).count()
+    assert not [f for f in set(os.listdir(at)) - before if f.startswith("postings")]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_names_begin_alike(spark, seed):
     rng = random.Random(seed)

@@ -27,7 +27,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluate, postings
+from tessera.operators import evaluate, matching
 
 log = logging.getLogger("quality_report")
 
@@ -55,17 +55,16 @@ def run(spark: SparkSession, documents: str, queries: str, output: str, config:
     path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = spark.read.parquet(documents).where("doc_id is not null and text is not null").select(path.alias("rel_path"), F.col("text").alias("content"))
     asked = spark.read.parquet(queries).where("item_id is not null and text is not null").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    index = postings.build(files)
-    log.info("%s distinct words in %s; %s queries in %s", index.vocabulary.count(), documents, asked.count(), queries)
+    log.info("%s files in %s; %s queries in %s", files.count(), documents, asked.count(), queries)
 
-    single = {"keyword": evaluate.keyword_ranked(asked, files, index, k), "names": evaluate.name_ranked(asked, files, k)}
+    single = {"keyword": evaluate.keyword_ranked(asked, files, None, k), "names": evaluate.name_ranked(asked, files, k)}
     for ranker, ranked in single.items():
         rankings = _written(ranked.withColumn("ranker", F.lit(ranker)), output, "rankings", RANKINGS)
     both = rankings.where(F.col("ranker").isin(*single))
     rankings = _written(evaluate.fused(both, k).withColumn("ranker", F.lit("fusion")), output, "rankings", RANKINGS)
 
     passages = asked.withColumnRenamed("query", "phrase")
-    right = postings.phrase_hits(index, passages, files).join(passages, "phrase").select("query_id", "rel_path").distinct().persist()
+    right = matching.phrases_in(passages, files).join(passages, "phrase").select("query_id", "rel_path").distinct().persist()
     length = F.when(F.regexp_count("query", F.lit(r"\S+")) <= settings["short_words"], "short").otherwise("long")
     typed = asked.groupBy("query_id").agg(F.max(length).alias("type"))  # an id that comes twice has one length
     try:

@@ -21,6 +21,9 @@ LINES_ONLY = (
     ".bash .bazel .bzl .build .gradle .ninja .sh .zsh .dart .elm .m .mm .ql .r .res .resi .sql .vb .yaml .yml .rst .scala .swift"
 ).split()
 
+#: Characters of chunks that a task holds at a time.
+HELD = 4 << 20
+
 CHUNKS = "file_path string, ordinal int, start_line int, end_line int, type string, content string, length int, segment_hash string, file_hash string"
 
 
@@ -137,15 +140,25 @@ def chunk_files(files: DataFrame, by_syntax=None) -> DataFrame:
 
     The fold over a file's lines is sequential, so it runs in Python on Arrow batches; files are
     independent, and nothing is shuffled.  ``by_syntax(path, text)`` may give chunks of files
-    that aren't for lines only; what it can't do, or None, is cut by lines."""
+    that aren't for lines only; what it can't do, or None, is cut by lines.  A task holds the chunks
+    of HELD characters, and of one more file, before it hands them on."""
+
+    names, kinds = zip(*(x.split() for x in CHUNKS.split(", ")), strict=True)
+
+    def recorded(rows):
+        types = {"string": pa.string(), "int": pa.int32()}
+        return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
     def run(batches):
-        names = [x.split()[0] for x in CHUNKS.split(", ")]
         for batch in batches:
-            rows = []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, held = [], 0
+            for path, text in zip(*batch.columns, strict=True):  # one file's text at a time
+                path, text = path.as_py(), text.as_py()
                 if text is None:
                     continue
+                if held > HELD:
+                    yield recorded(rows)
+                    rows, held = [], 0
                 found = None
                 if by_syntax and not path.lower().endswith((*LINES_ONLY, *MARKDOWN)):
                     try:
@@ -157,10 +170,10 @@ def chunk_files(files: DataFrame, by_syntax=None) -> DataFrame:
                     key = identity(path, c)
                     if key not in seen:
                         seen.add(key)
+                        held += len(c.content)
                         rows.append((path, len(seen) - 1, c.start_line, c.end_line, c.type, c.content, units(c.content), key, file_hash))
             if rows:
-                kinds = {"string": pa.string(), "int": pa.int32()}
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows, strict=True), CHUNKS.split(", "), strict=True)], names)
+                yield recorded(rows)
 
     return files.select("rel_path", "content").mapInArrow(run, CHUNKS)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,3 +91,20 @@ def test_identity_agrees_with_the_expression(spark):
     c = chunk.Chunk(3, 7, "x", "some content " * 20)
     row = spark.range(1).select(T.segment_hash(F.lit("a/b.py"), F.lit(3), F.lit(7), F.lit(c.content)).alias("h")).first()
     assert row["h"] == chunk.identity("a/b.py", c)
+
+
+def test_a_task_hands_chunks_on_as_it_goes():
+    """However large a batch of files is, chunks of HELD characters and one file's are held at most."""
+
+    class Listing:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = chunk.chunk_files(Listing())
+    text = "\n".join(["# head", "word " * 150] * 1400)
+    batch = pa.RecordBatch.from_pydict({"rel_path": [f"f{k}.md" for k in range(12)], "content": [text] * 11 + [None]})
+    sizes = [sum(len(x) for x in b.column(5).to_pylist()) for b in run(iter([batch]))]
+    assert len(sizes) > 1 and max(sizes) <= chunk.HELD + len(text) and sum(sizes) > 8 << 20

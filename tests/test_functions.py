@@ -88,3 +88,11 @@ def test_embedding_forms_agree(spark):
     array = df.where("k = 1").select(embed.hashed_vector(F.col("t")).alias("v")).first()["v"]
     assert {k: round(x, 6) for k, x in enumerate(array) if x} == pytest.approx(long, abs=1e-6)
     assert df.where("k = 2").select(embed.hashed_vector(F.col("t")).alias("v")).first()["v"] is None
+
+
+def test_terms_are_summed_where_texts_are_read(spark):
+    df = spark.createDataFrame([(1, "Alpha beta alpha"), (2, None), (3, "- "), (4, "alpha"), (1, "gamma")], "k long, t string")
+    found = embed.hashed_dimensions(df, "k", "t", 16)
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    one = embed.hashed_dimensions(df.where("k = 1").limit(0).union(spark.createDataFrame([(1, "alpha beta alpha gamma")], df.schema)), "k", "t", 16)
+    assert sorted(map(tuple, found.where("k = 1").collect())) == sorted(map(tuple, one.collect())) and {r["k"] for r in found.collect()} == {1, 4}

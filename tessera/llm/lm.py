@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -69,17 +70,18 @@ def blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
     number = TaskContext.get().partitionId() << 24
     ids: list = []
     tokens: list[np.ndarray] = []
-    words: dict[bytes, int] = {END: 0}
-    size = 0
+    words: dict[bytes, int] = {END: 0}  # and where each is found first among the block's tokens, from 1 on
+    size, at = 0, 1
 
     def rows():
         lengths = np.array([len(t) for t in tokens])
         flat = np.concatenate(tokens)
-        often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # small numbers for frequent words
-        renamed = np.empty(len(words), np.int64)
-        renamed[often] = np.arange(len(words))
+        found = np.fromiter(words.values(), np.int64, len(words))
+        often = np.argsort(-np.bincount(flat)[found], kind="stable")  # small numbers for frequent words
+        renamed = np.empty(at, np.int64)
+        renamed[found[often]] = np.arange(len(words))
         flat, names = renamed[flat], np.array(list(words), object)[often]
-        part = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in names), np.int64, len(names))
+        part = (np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)) % np.uint64(parts)).astype(np.int64)
         listed = np.argsort(part, kind="stable")
         held = np.array([held_out(i) for i in ids])
         counts = np.bincount(flat[~np.repeat(held, lengths)], minlength=len(names))[listed]
@@ -97,16 +99,15 @@ def blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             found = (text or b"").lower().split()  # bytes: A-Z alone, and splits at [\x20\x09-\x0D]
-            for w in found:
-                if w not in words:
-                    words[w] = len(words)
             ids.append(doc_id)
-            tokens.append(np.fromiter(map(words.__getitem__, [*found, END]), np.int32, len(found) + 1))
+            found.append(END)
+            tokens.append(np.fromiter(map(words.setdefault, found, count(at)), np.int64, len(found)))
+            at += len(found)
             size += len(text or b"") + 16
             if size >= BLOCK_BYTES:
                 yield from rows()
                 ids.clear(), tokens.clear()
-                words, size, number = {END: 0}, 0, number + 1
+                words, size, at, number = {END: 0}, 0, 1, number + 1
     if ids:
         yield from rows()
 
@@ -146,23 +147,45 @@ def count_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
         yield _row(STATS, rows[0][1], -1, np.array([totals.sum(), (totals > 0).sum(), (totals == 1).sum(), (totals == 2).sum(), len(known)], "<i8").tobytes())
 
 
+def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct pair of these numbers is found first, in the order of the pairs, and which of
+    these each pair is.  Where pair and place fit in 63 bits they are sorted as one number."""
+    span, bits = int(two.max(initial=0)) + 1, len(one).bit_length()
+    key = one * span + two
+    if (int(one.max(initial=0)) + 1) * span << bits >> 63:
+        return np.unique(key, return_index=True, return_inverse=True)[1:]
+    key = np.sort(key << bits | np.arange(len(key)))
+    at = key & (1 << bits) - 1
+    key >>= bits
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    which = np.empty(len(key), np.int64)
+    which[at] = np.cumsum(new) - 1
+    return at[new], which
+
+
 class Arcs:
     """Arcs that the tokens of a block may take, of states and words with these numbers, -1 for
-    none: distinct keys in the order of (part, key), their parts and counts in training, and each
-    token's arc or -1.  ``width`` is above all numbers of words."""
+    none, and the block's own numbers for both, ``near``: distinct keys in the order of (part, key),
+    their parts and counts in training, the first token that takes each, and each token's arc or -1.
+    ``width`` is above all numbers of words."""
 
-    def __init__(self, states: np.ndarray, words: np.ndarray, train: np.ndarray, width: int, parts: int):
+    def __init__(self, states: np.ndarray, words: np.ndarray, near: tuple[np.ndarray, np.ndarray], train: np.ndarray, width: int, parts: int):
         may = (states >= 0) & (words >= 0)
         if may.any() and (int(states.max()) + 1) * width >> 63:
             raise ValueError("more states and words than an arc's key holds")
-        kinds, at = np.unique(states[may] * width + words[may], return_inverse=True)
+        taken = np.flatnonzero(may)
+        first, at = distinct(near[0][taken], near[1][taken])
+        kinds = states[taken[first]] * width + words[taken[first]]
         # The remainder of a sum that depends on both; a frequent state's arcs are spread.
         part = (kinds // width * 1_000_003 % parts + kinds % width) % parts
-        order = np.lexsort((kinds, part))
+        order = np.argsort(kinds)
+        order = order[np.argsort(part[order].astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")]
         place = np.empty(len(kinds), np.int64)
         place[order] = np.arange(len(kinds))
         self.token = np.full(len(states), -1)
-        self.token[may] = place[at]
+        self.token[taken] = place[at]
+        self.first = taken[first[order]]
         self.keys, self.part = kinds[order], part[order]
         self.counts = np.bincount(self.token[may & train], minlength=len(kinds))
         self.totals = self.numbers = np.zeros(0, np.int64)
@@ -181,13 +204,6 @@ class Arcs:
         assert len(self.totals) == len(self.keys)
         return self
 
-    def first_tokens(self) -> np.ndarray:
-        """A token that takes each arc."""
-        at = np.empty(len(self.keys), np.int64)
-        taken = np.flatnonzero(self.token >= 0)[::-1]
-        at[self.token[taken]] = taken
-        return at
-
 
 class Block:
     """A block of documents with what is known of its words, pairs and triples."""
@@ -206,12 +222,13 @@ class Block:
         self.before[self.starts] = self.end
         train = ~np.repeat(self.held, self.lengths)
         number = np.where(self.counts > 0, self.numbers, -1)
-        self.pairs = Arcs(number[self.before], number[self.tokens], train, width, parts)
+        self.pairs = Arcs(number[self.before], number[self.tokens], (self.before, self.tokens), train, width, parts)
         if told[PAIRS] or not len(self.pairs.keys):
             self.pairs.learn(told[PAIRS], parts)
             ended = np.r_[-1, np.append(self.pairs.numbers, -1)[self.pairs.token][:-1]]
             ended[self.starts] = -1
-            self.triples = Arcs(ended, number[self.tokens], train, width, parts)
+            near = np.r_[-1, self.pairs.token[:-1]], self.tokens
+            self.triples = Arcs(ended, number[self.tokens], near, train, width, parts)
             if told[TRIPLES] or not len(self.triples.keys):
                 self.triples.learn(told[TRIPLES], parts)
 
@@ -288,22 +305,44 @@ class Automaton:
         self.root = model.root(counts)
         word_state = np.where(counts > 0, 1 + np.arange(self.n_words), 0)
         self.word_state, self.begin = word_state, int(word_state[block.end])
-        at = pairs.first_tokens()
+        at = pairs.first
         one, two = block.before[at], block.tokens[at]
         pair_state = np.where(pairs.totals >= LEAST_PAIR, 1 + self.n_words + np.arange(n_pairs), word_state[two])
         self.fail_state = np.r_[np.zeros(1 + self.n_words, np.int64), word_state[two]]
         self.fail_weight = np.r_[0.0, model.fail(counts, 1), model.fail(pairs.totals, 2)]
         after_word = np.where(pairs.totals > 0, model.arc(pairs.totals, counts[one], self.root[two], 1), model.fail(counts[one], 1) + self.root[two])
         stored_pairs = pairs.totals > 0
-        up = triples.first_tokens()
+        up = triples.first
         context, last = pairs.token[up - 1], pairs.token[up]
         stored_triples = triples.totals > 0
         after_pair = model.arc(triples.totals, pairs.totals[context], after_word[last], 2)
-        key = np.r_[((1 + one) * self.n_words + two)[stored_pairs], ((1 + self.n_words + context) * self.n_words + block.tokens[up])[stored_triples]]
-        order = np.argsort(key)
-        self.key = np.append(key[order], np.iinfo(np.int64).max)
-        self.weight = np.r_[after_word[stored_pairs], after_pair[stored_triples]][order]
-        self.target = np.r_[pair_state[stored_pairs], pair_state[last][stored_triples]][order]
+        self.key = np.r_[((1 + one) * self.n_words + two)[stored_pairs], ((1 + self.n_words + context) * self.n_words + block.tokens[up])[stored_triples], -1]
+        self.weight = np.r_[after_word[stored_pairs], after_pair[stored_triples]]
+        self.target = np.r_[pair_state[stored_pairs], pair_state[last][stored_triples]]
+        self.slots = np.full(1 << (2 * len(self.key)).bit_length(), -1, np.int32)
+        todo = np.arange(len(self.key) - 1)
+        at = self.slot(self.key[:-1])
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]  # of those that want one slot, one gets it
+            left = self.slots[at] != todo
+            todo, at = todo[left], at[left] + 1 & len(self.slots) - 1
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        """Where arcs of these keys are looked for first: the upper bits of a product."""
+        mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The arc of each key, or -1."""
+        at = self.slot(key)
+        arc = self.slots[at]
+        todo = np.flatnonzero((self.key[arc] != key) & (arc >= 0))
+        while len(todo):
+            at[todo] = at[todo] + 1 & len(self.slots) - 1
+            arc[todo] = self.slots[at[todo]]
+            todo = todo[(self.key[arc[todo]] != key[todo]) & (arc[todo] >= 0)]
+        return arc
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights of reading ``word`` in ``state``, and the states that follow: failure arcs are
@@ -313,10 +352,8 @@ class Automaton:
         state = state.copy()
         while len(todo):
             now, read = state[todo], word[todo]
-            key = now * self.n_words + read
-            at = np.searchsorted(self.key, key)
-            hit, root = self.key[at] == key, now == 0
-            hit &= ~root
+            at, root = self.find(now * self.n_words + read), now == 0
+            hit = (at >= 0) & ~root
             weight[todo[root]] += self.root[read[root]]
             to[todo[root]] = self.word_state[read[root]]
             weight[todo[hit]] += self.weight[at[hit]]

@@ -511,6 +511,26 @@ def test_runs_of_long_texts_go_on_where_the_last_ended(monkeypatch, run):
     assert a.traverse(block.tokens, block.starts, block.lengths).tolist() == whole.tolist()
 
 
+@pytest.mark.parametrize("high", [0, 5, 1 << 20, 1 << 31])
+def test_distinct_pairs(high):
+    """Sorted as one number where they fit, and as pairs where they don't."""
+    rng = np.random.default_rng(3)
+    one, two = rng.integers(0, 4, 500) + high, rng.integers(0, 4, 500) * (high or 1)
+    for n in (0, 1, 500):
+        at, which = lm.distinct(one[:n], two[:n])
+        told = list(zip(one[:n].tolist(), two[:n].tolist()))
+        assert [told[k] for k in at] == sorted(set(told)) and [told[at[k]] for k in which] == told
+        assert at.tolist() == [told.index(told[k]) for k in at]
+
+
+def test_arcs_are_found_by_their_keys():
+    a, *_ = one_block([" ".join(f"w{k * k % 211} w{k % 17}" for k in range(900)), "a b c a b d a b c"])
+    arcs = np.arange(len(a.key) - 1)
+    assert len(arcs) > 900 and a.find(a.key[:-1]).tolist() == arcs.tolist()
+    other = np.setdiff1d(np.arange(a.key.max() + 1000), a.key)
+    assert (a.find(other) == -1).all() and len(a.slots) >= 2 * len(arcs)
+
+
 # Jaccard join
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.search import rounded
 from tessera.sources.shared import written
 
 #: Vectors that an index is fitted on, at most, those of them that are asked for, and most numbers a sample has.
@@ -156,7 +157,7 @@ def met(points: DataFrame, calls: DataFrame, group: str, k: int, min_score: floa
         found: list[tuple] = []
         if q.num_rows and p.num_rows:
             ids = p["id"].to_numpy()
-            scores = np.round(unit(q["vector"]) @ unit(p["vector"]).T, 6)
+            scores = rounded(unit(q["vector"]) @ unit(p["vector"]).T)
             for query, row in zip(q["id"].to_pylist(), scores, strict=True):
                 near = np.flatnonzero(row >= min_score)
                 near = near[np.lexsort((ids[near], -row[near]))[:k]]

@@ -14,6 +14,8 @@ from tessera.functions import vectors as V
 MIN_SCORE, LIMIT, MOST_RESULTS, GHOST_CHECKS = 0.4, 50, 200, 60
 #: Queries that are sent to the workers at a time.
 QUERY_BLOCK = 2048
+#: The largest double below a half: added to one, it takes halves to the next integer, and nothing below them.
+HALF = np.nextafter(0.5, 0)
 
 
 def clamp_limit(limit: int | None) -> int:
@@ -31,6 +33,13 @@ def scored(points: DataFrame, query: list[float], vector: str = "vector") -> Dat
     return points.withColumn("score", F.round(V.cosine(F.col(vector), literal), 6))
 
 
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """To 6 places, halves away from zero as in F.round and in SQL; np.round takes them to the even one.
+    Vectors of whole numbers have such halves: 77/128 is 0.6015625."""
+    scaled = scores * 1e6
+    return np.trunc(scaled + np.copysign(HALF, scaled)) / 1e6
+
+
 def top_k(hits: DataFrame, k: int, *ties: str) -> DataFrame:
     """The best ``k`` by score, ties by the named columns; each task keeps k rows at most."""
     return hits.orderBy(F.col("score").desc(), *ties).limit(k)
@@ -59,7 +68,7 @@ def top_k_per_query(points: DataFrame, queries: DataFrame, k: int | None, min_sc
                 keys = batch.column(0).to_numpy()
                 x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(keys), -1)
                 n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(q @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T, 6)
+                s = rounded(q @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T)
                 for row, (i, scores) in enumerate(zip(ids, s, strict=True)):
                     del row
                     near = np.flatnonzero(scores >= min_score)

@@ -189,6 +189,16 @@ def test_top_k_of_queries_and_empty(spark):
     assert search.top_k_per_query(points, points.limit(0), 2, 0.5).count() == 0
 
 
+def test_scores_take_halves_away_from_zero(spark):
+    """As F.round does: the second point's cosine is 77/128, which isn't a tie with 0.601562."""
+    rows = [(1, [73.0, 96.0, 10.0, 9.0, 0.0]), (2, [77.0, 102.0, 7.0, 1.0, 1.0]), (3, [-77.0, 102.0, 7.0, 1.0, 1.0])]
+    points, asked = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    got = [(r["vec_id"], r["score"]) for r in search.top_k_per_query(points, asked, 3, -1.0).orderBy("rank").collect()]
+    assert got == [(2, 0.601563), (1, 0.601562), (3, -0.601563)]
+    one_by_one = search.scored(points, [1.0, 0.0, 0.0, 0.0, 0.0], "embedding")
+    assert dict(got) == {r["vec_id"]: r["score"] for r in one_by_one.collect()}
+
+
 def test_findings_by_hand(spark):
     """A gain in rank alone counts, a gain of .02 doesn't, small sets and lone strategies don't."""
     rows = [
